@@ -7,20 +7,79 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
+from .html_extract import extract_text
+from .line_dedup import dedupe_lines
+from .quality import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM d),
+s AS (SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k, regexp_replace(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n
+      FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+r AS (SELECT a.doc_id, a.no AS n1, b.no AS n2, c.no AS n3, a.n || chr(10) || b.n || chr(10) || c.n AS g
+      FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN s c ON a.doc_id = c.doc_id AND c.k = a.k + 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, n1) AS place FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest([n1, n2, n3]) AS no FROM o WHERE place > 1),
+k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) FILTER (gone.no IS NULL) AS kept, count(gone.no) AS n_removed,
+             count(*) FILTER (regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS n_lines
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.no = gone.no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN d.lines IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS h, text AS raw, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, h, raw, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM dup) GROUP BY doc_id),
+l AS (SELECT * FROM (SELECT doc_id, h, raw, unnest(range(len(string_split(t, chr(10))))) AS no, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ln AS (SELECT doc_id, h, raw, line, regexp_replace(lower(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM l),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
+host AS (SELECT h, count(DISTINCT raw) AS a FROM d GROUP BY h),
+flagged AS (SELECT ln.h, n FROM ln JOIN host ON ln.h = host.h GROUP BY ln.h, n, a HAVING count(DISTINCT raw) > 20 AND 100 * count(DISTINCT raw) > 10 * a),
+gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS n FROM ln JOIN flagged USING (h, n) GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines,
+             coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+      FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words,
+       NOT base_failed AND NOT (n_removed_words > 0 AND (100 * n_removed_words > 50 * n_words OR n_words - n_removed_words < 20)) AS kept
+FROM b
+"""
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontaminate": op8_decontaminate}
+    return {"op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL, "op9_quality": OP9_SQL}
