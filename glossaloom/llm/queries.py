@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import decontaminate
 from .html_extract import extract_text
+from .language_id import evidence, fit, fuse
 from .line_dedup import dedupe_lines
 from .quality import judge
+from .secret_scan import KINDS, scan
+from .sentencepiece import Vocabulary, round_trip
+from .substring_dedup import dedupe_substrings
+from .token_counts import Unigram, count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """A public vocabulary file; the folder is a parameter of the environment."""
+    return os.path.join(os.environ.get("GLOSSALOOM_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their source and pages by their host; doc_id or page_id is null."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit(docs)
+    of_docs = evidence(docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "source"), model, text="text", host="source")
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    of_pages = evidence(pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "html", host.alias("host")), model, text="html", host="host", is_html=True)
+    return fuse(of_docs.unionByName(of_pages), model)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), Unigram.load(_vocabulary("piece_bpe_32k.model")))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("secrets", lambda x: ~x["learned"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"), F.array_join(F.transform("secrets", shown), ",").alias("spans"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), Vocabulary.load(_vocabulary("piece_bpe_32k.model")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -78,7 +119,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract}
+    return {"op1_language_id": op1_language_id, "op2_substring_dedup": op2_substring_dedup, "op3_token_counts": op3_token_counts, "op4_secret_scan": op4_secret_scan, "op5_sentencepiece": op5_sentencepiece, "op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -52,23 +52,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class Powers:
+    """Powers of the hash's step and of its inverse, as far as they were needed."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK + (BLOCK >> 2))
-        for i, base in enumerate((_STEP, _BACK)):
-            steps = np.full(size, base, np.uint64)
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, BLOCK + 1)
+            steps = np.full(size, _STEP, np.uint64)
             steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            self.up = np.cumprod(steps, dtype=np.uint64)
+            steps[1:] = _BACK
+            self.down = np.cumprod(steps, dtype=np.uint64)
+        return self.up, self.down
 
 
 class Block:
     """Consecutive documents of a batch: rows [first, last) and their words."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, first: int, table: np.ndarray, fold: np.ndarray | None):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, first: int, table: np.ndarray, fold: np.ndarray | None, powers: Powers):
+        self.powers = powers
         self.data, self.first, self.last = data, first, first + len(ends) - 1
         is_word = table[data] if len(data) else np.zeros(0, bool)
         begin = is_word.copy()
@@ -95,7 +100,7 @@ class Block:
         """A 64-bit hash of each word."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        up, down = _power_tables(len(self.data) + 1)
+        up, down = self.powers.to(len(self.data) + 1)
         table = _BYTE if self.fold is None else _BYTE[self.fold]
         total = np.empty(len(self.data) + 1, np.uint64)
         total[0] = 0
@@ -145,10 +150,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(column: pa.Array, table: np.ndarray, fold: np.ndarray | None = None) -> Iterator[Block]:
     """Cut a column into blocks of whole documents, of about ``BLOCK`` bytes."""
     data, ends = text_bytes(column)
-    first, rows = 0, len(ends) - 1
+    first, rows, powers = 0, len(ends) - 1, Powers()
     while first < rows:
         last = int(np.searchsorted(ends, ends[first] + BLOCK, "right")) - 1
         last = min(rows, max(first + 1, last))
         part = ends[first : last + 1]
-        yield Block(data[part[0] : part[-1]], part - part[0], first, table, fold)
+        yield Block(data[part[0] : part[-1]], part - part[0], first, table, fold, powers)
         first = last
