@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .html_extract import extract_text
 from .language_id import evidence, fit, fuse
 from .line_dedup import dedupe_lines
+from .ngram_join import join_classes
 from .quality import judge
 from .secret_scan import KINDS, scan
 from .sentencepiece import Vocabulary, round_trip
@@ -57,6 +58,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), Vocabulary.load(_vocabulary("piece_bpe_32k.model")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -119,7 +124,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_substring_dedup": op2_substring_dedup, "op3_token_counts": op3_token_counts, "op4_secret_scan": op4_secret_scan, "op5_sentencepiece": op5_sentencepiece, "op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract}
+    return {"op1_language_id": op1_language_id, "op2_substring_dedup": op2_substring_dedup, "op3_token_counts": op3_token_counts, "op4_secret_scan": op4_secret_scan, "op5_sentencepiece": op5_sentencepiece, "op6_ngram_join": op6_ngram_join, "op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract}
 
 
 def oracle_sql() -> dict[str, str]:
