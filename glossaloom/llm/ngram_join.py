@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
-from .shared import written
+from .shared import sieved, written
 from .words import blocks, lower_ascii, mix, white_space_words, window_hashes, window_starts
 
 SIZE = 4
@@ -233,7 +233,8 @@ def _connect(size: int, percent: int):
 
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of tasks (task, key, id) over the texts of their sets."""
-    rows = members.join(texts, "id").select("task", "key", "text")
+    some, _ = sieved(texts, "id", members, "id")
+    rows = members.join(some, "id").select("task", "key", "text")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_connect(size, percent), "a long, b long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +26,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/glossaloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SIEVE_BITS = 1 << 22
+
+
+def sieved(rows: DataFrame, id: str, wanted: DataFrame, wanted_id: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose id may be among ``wanted``, and the others, without moving a row.
+
+    Ids are hashed to ``SIEVE_BITS`` bits, which are broadcast as at most
+    ``SIEVE_BITS / 64`` rows of 64 bits: that bound does not grow with the data.
+    With many more ids than bits, more rows than needed are in the first part;
+    both parts together are always all rows. Null ids are in the second part.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(SIEVE_BITS))
+    mask = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` % 64 as int))")
+    words = wanted.where(F.col(wanted_id).isNotNull()).select(bit(wanted_id).alias("_bit"))
+    words = words.select(F.expr("_bit div 64").alias("_word"), mask("_bit").alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_ones"))
+    placed = rows.withColumn("_bit", bit(id)).withColumn("_at", F.expr("_bit div 64"))
+    placed = placed.join(F.broadcast(words), placed["_at"] == words["_word"], "left")
+    may = F.coalesce(F.col("_ones").bitwiseAND(mask("_bit")) != 0, F.lit(False))
+    placed = placed.withColumn("_may", may).drop("_bit", "_at", "_word", "_ones")
+    return placed.where("_may").drop("_may"), placed.where("not _may").drop("_may")
