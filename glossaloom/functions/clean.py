@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .html import strip_markup
 from .numbers import digits_to_words
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_markup(texts: pd.Series) -> pd.Series:
     return texts.map(strip_markup, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _digits_to_words(texts: pd.Series) -> pd.Series:
     return texts.map(digits_to_words, na_action="ignore")
 

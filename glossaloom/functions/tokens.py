@@ -65,12 +65,16 @@ def key_index(words: Column, keys: Sequence[str]) -> Column:
     return let(words, of)
 
 
+def _equal(word: str):
+    return lambda x: x == word
+
+
 def add_qualifiers(words: Column, qualifiers: Sequence[str]) -> Column:
     """Words with the sorted qualifiers that were found as prefix; qualifiers stay as they are."""
     if not qualifiers:
         return words
     of = F.array(*map(F.lit, qualifiers))
-    prefix = lambda w: F.array_join(F.array_sort(F.concat(*(F.filter(w, lambda x, q=q: x == q) for q in qualifiers))), "_")
+    prefix = lambda w: F.array_join(F.array_sort(F.concat(*(F.filter(w, _equal(q)) for q in qualifiers))), "_")
     return let(words, lambda w: let(prefix(w), lambda p: F.transform(w, lambda x: F.when(F.array_contains(of, x) | (p == ""), x).otherwise(F.concat(p, F.lit("_"), x)))))
 
 

@@ -17,6 +17,10 @@ def rule_hits(rule: Rule, chunk: Column) -> Column:
     return chunk.rlike(rule.pattern) if rule.pattern is not None else chunk.contains(rule.text)
 
 
+def _holding(text: str):
+    return lambda chunk: chunk.contains(text)
+
+
 def winner(chunks: Column, rules: RuleSet, strict_compat: bool = False) -> Column:
     """Place, by priority and then order, of the rule that wins; null if none matches.
 
@@ -28,7 +32,7 @@ def winner(chunks: Column, rules: RuleSet, strict_compat: bool = False) -> Colum
         hit = F.exists(chunks, lambda c: rule_hits(rule, c))
         if strict_compat and rule.pattern is not None:
             earlier = [r for r in rules.rules if r.order < rule.order and r.pattern is None]
-            hit = hit & reduce(lambda a, b: a | b, (F.exists(chunks, lambda c, r=r: c.contains(r.text)) for r in earlier), F.lit(False))
+            hit = hit & reduce(lambda a, b: a | b, (F.exists(chunks, _holding(r.text)) for r in earlier), F.lit(False))
         return hit
 
     if len(rules.rules) <= CASE_RULES or strict_compat:
