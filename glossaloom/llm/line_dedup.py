@@ -64,9 +64,9 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", r
 
 def dedupe_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """``docs`` with later repeated runs of lines taken out of ``text``, n_lines (with a word) and n_removed."""
-    gone = repeated_lines(docs, id=id, text=text, run=run).withColumnRenamed("id", "_id")
+    gone = repeated_lines(docs, id=id, text=text, run=run).select(F.col("id").alias("_of"), F.col("gone").alias("_gone"))
     keep = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
-    rows = docs.join(gone, docs[id] == gone["_id"], "left")
+    rows = docs.join(gone, docs[id] == gone["_of"], "left")
     n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    left = let(F.split(F.col(text), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
-    return rows.select(*(docs[c] for c in keep), F.when(F.col("gone").isNull(), F.col(text)).otherwise(left).alias(text), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    left = let(F.split(F.col(text), "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
+    return rows.select(*(docs[c] for c in keep), F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

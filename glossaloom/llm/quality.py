@@ -88,10 +88,10 @@ def _flagged_lines(docs: DataFrame, text: str, host: str, min_docs: int, percent
 
 
 def _removed_lines(docs: DataFrame, flagged: DataFrame, id: str, text: str, host: str) -> DataFrame:
-    """(id, n_removed_words, removed): words and numbers of each document's flagged lines."""
+    """(id, n_removed_words, _removed): words and numbers of each document's flagged lines."""
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(host, F.lit("")).alias("h"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("no", "l"))
     rows = rows.where(F.col("l").rlike(r"[^\x20\x09-\x0D]")).select("_id", "h", "no", line_hash(F.col("l")).alias("line"), F.size(words(F.col("l"))).cast("long").alias("n"))
-    return rows.join(flagged, ["h", "line"]).groupBy("_id").agg(F.sum("n").alias("n_removed_words"), F.collect_set("no").alias("removed"))
+    return rows.join(flagged, ["h", "line"]).groupBy("_id").agg(F.sum("n").alias("n_removed_words"), F.collect_set("no").alias("_removed"))
 
 
 def judge(docs: DataFrame, *, id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, window: int = WINDOW, repeat_percent: int = REPEAT_PERCENT, line_min_docs: int = LINE_MIN_DOCS, line_percent: int = LINE_PERCENT, depleted_percent: int = DEPLETED_PERCENT, clean: bool = False) -> DataFrame:
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, *, id: str = "doc_id", text: str = "text", host: str
     rows = rows.join(removed.withColumnRenamed("_id", id), id, "left")
     rows = rows.select(
         *(c for c in keep if c != text),
-        *([F.when(F.col("removed").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("removed"))).alias(text)] if clean else []),
+        *([F.when(F.col("_removed").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_removed"))).alias(text)] if clean else []),
         F.col("_c.by_words.n_words").alias("n_words"), "_c.word_chars", "_c.n_symbols", "_c.n_dup_lines", F.col("_c.by_words.n_repeat_words").alias("n_repeat_words"),
         F.coalesce("n_removed_words", F.lit(0).cast("long")).alias("n_removed_words"),
     )
