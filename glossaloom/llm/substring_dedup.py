@@ -31,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from .shared import sieved, written
 from .words import blocks, mix, white_space_words, window_hashes, window_starts
 
 SIZE = 13
@@ -263,9 +264,10 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     """(id, spans): runs of words (a, b), b exclusive, that also stand in documents of smaller id."""
     spark = docs.sparkSession
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    by = W.partitionBy("key")
     held = rows.mapInArrow(_held(size), "key long, id long")
-    shared = held.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", (F.col("n") >= HOT).alias("hot"))
-    wanted = held.join(shared, "key").groupBy("id").agg(F.collect_set(F.struct("key", "hot")).alias("keys"))
+    held = held.select("key", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.count("*").over(by).alias("n"))
+    wanted = held.where("lo < hi").groupBy("id").agg(F.collect_set(F.struct("key", (F.col("n") >= HOT).alias("hot"))).alias("keys"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = partitions * SHARDS_PER_PARTITION
     runs = rows.join(wanted, "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, first int, run binary")
@@ -302,7 +304,11 @@ def dedupe_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     with ``digest``, kept_sha256 in its place."""
     result = "kept_sha256" if digest else "kept"
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", result)]
-    spans = repeated_spans(docs, id=id, text=text, size=size).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
-    rows = docs.join(spans, docs[id] == spans["_id"], "left").select(*(docs[c] for c in keep), docs[text].alias("_text"), "_spans")
+    spans = written(repeated_spans(docs, id=id, text=text, size=size).select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), "spans")
     schema = T.StructType([docs.schema[c] for c in keep]).add("n_words", "long").add("n_removed", "long").add(result, "string")
-    return rows.mapInArrow(_cut(keep, digest), schema)
+    # texts that keep all their words are not moved
+    some, others = sieved(docs.select(*keep, F.col(text).alias("_text"), *([] if id in keep else [id])), id, spans, "_id")
+    some = some.join(spans, some[id] == spans["_id"], "left").select(*(some[c] for c in keep), "_text", "_spans")
+    others = others.select(*keep, "_text", F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
+    cut = _cut(keep, digest)
+    return some.mapInArrow(cut, schema).unionByName(others.mapInArrow(cut, schema))
