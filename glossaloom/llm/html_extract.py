@@ -46,7 +46,9 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner banners nav navi navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars side rail footer foot header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion responses cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay lightbox share sharing social related recommended recommendations pagination pager paging widget widgets login signin register search skip outbrain taboola copyright disclaimer legal tags toc paywall".split()
 )
-KEPT_ANYWAY = frozenset("html body main article".split())
+KEPT_ANYWAY = frozenset("html body main".split())
+#: Names that an article element must have to be dropped.
+DROPPED_ARTICLES = frozenset("ad ads advert advertisement comment comments promo promoted related reply replies response sponsored teaser widget".split())
 WRAPPER_PREFIX = frozenset("has with no without is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote".split())
@@ -54,10 +56,10 @@ CONTENT_NAMES = frozenset("article content main post entry story text body".spli
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "size", "linked", "name_bonus")
+    __slots__ = ("tag", "parent", "parts", "score", "size", "linked", "name_bonus", "label")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts, self.score, self.size, self.linked, self.name_bonus = tag, parent, [], 0.0, 0, 0, 0
+        self.tag, self.parent, self.parts, self.score, self.size, self.linked, self.name_bonus, self.label = tag, parent, [], 0.0, 0, 0, 0, ""
 
 
 def _dropped(tag: str, attributes: str, inside: bool) -> str:
@@ -79,7 +81,8 @@ def _dropped(tag: str, attributes: str, inside: bool) -> str:
         if name in ("class", "id"):
             for word in value.split():
                 parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
-                if parts and parts[0] not in WRAPPER_PREFIX and (hit := DROPPED_NAMES.intersection(parts)):
+                names = DROPPED_ARTICLES if tag == "article" else DROPPED_NAMES
+                if parts and parts[0] not in WRAPPER_PREFIX and (hit := names.intersection(parts)):
                     return "rest" if hit == {"header"} and inside else "all"
     return ""
 
@@ -165,6 +168,7 @@ def parse(html: str) -> Node:
                 skip.append(tag)
             continue
         node = Node(tag, here)
+        node.label = m[3].strip() if tag in ("div", "section", "td") else ""
         here.parts.append(node)
         if closed:
             continue
@@ -270,20 +274,31 @@ def extract(html: str | None) -> str:
     if best is None:
         return ""
     # the whole of an article counts, not only the section that holds most of it
+    named = best.name_bonus > 0
     for x in _open(best.parent):
-        if x.tag in ("article", "main"):
+        if x.tag in ("article", "main") or x.name_bonus and not named and _density(x) < 0.33:
             best = x
             break
     kept = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body", "html"):
         least = max(3.0, total(best) * 0.2)
-        kept = [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.size and (total(x) >= least or x.tag in PARAGRAPHS | HEADINGS and _density(x) < 0.25) and _density(x) < 0.5)]
+        kept = [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.size and _density(x) < 0.5 and (total(x) >= least or _continues(x, best)))]
     elif best.tag == "article" and best.parent is not None:
         # an article may be told in several elements; short or linked ones are teasers
         kept = [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.tag == "article" and total(x) >= max(30.0, total(best) * 0.5) and _density(x) < 0.25)]
     return " ".join(" ".join("".join(_pieces(x)) for x in kept).split())
 
 
+def _continues(node: Node, best: Node) -> bool:
+    """A heading, a sentence, or a part like the best beside it."""
+    if node.tag in HEADINGS:
+        return _density(node) < 0.25
+    if node.tag == "p":
+        text = "".join(_pieces(node)).strip()
+        return node.size >= 80 and _density(node) < 0.25 or not node.linked and text[-1:] in ".!?"
+    return not node.linked and node.tag == best.tag and (node.tag == "section" or bool(node.label) and node.label == best.label)
+
+
 def _run(html: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
