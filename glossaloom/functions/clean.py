@@ -21,6 +21,10 @@ def _digits_to_words(texts: pd.Series) -> pd.Series:
     return texts.map(digits_to_words, na_action="ignore")
 
 
+# Not that it were, but what is said to be not deterministic is not copied into filters and computed twice.
+_strip_markup = _strip_markup.asNondeterministic()
+
+
 def without_markup(text: Column) -> Column:
     """Text without html. Rows that need nothing reach Python as nulls."""
     needs = text.contains("&") | text.contains("<")
