@@ -15,8 +15,10 @@ link when ``100 * |A & B| >= percent * |A | B|``. The steps:
 3. In each block the sets, by size, are the leaves of a signature tree. A node
    holds the range of sizes and the OR (and AND) of token bitmaps. The tree is
    traversed against itself, and a pair of nodes is pruned when the sizes or
-   the bitmaps bound the overlap below what a link needs, or when all sets
-   under both are known to be connected. What is left is verified exactly.
+   the bitmaps bound the overlap below what a link needs. A first traversal,
+   over bitmaps alone, leaves out sets that no other can link with; texts are
+   then fetched for the rest only. The second also prunes pairs of nodes that
+   are known to be connected, and verifies exactly what is left.
 4. A block of more than ``BIG`` sets is cut into chunks, each compared inside
    and with ``HUBS`` sets of the block. Whatever is not in the block's largest
    component after that is compared with all chunks, so no link between
@@ -30,7 +32,7 @@ empty. Ids should be distinct. Extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,7 @@ def _sign(size: int, percent: int, counts: np.ndarray):
         seen: set[int] = set()
         for batch in batches:
             for block in blocks(batch.column(1), white_space_words(), lower_ascii()):
-                sizes, keys, firsts, ends = [], [], [np.zeros(0, np.uint64)], [0]
+                sizes, keys, firsts, ends, bitmaps = [], [], [np.zeros(0, np.uint64)], [0], []
                 for own in _sets(block, size):
                     n, key = len(own), _set_key(own)
                     if n and key not in seen:  # what this task has told of an equal set holds for this one
@@ -91,13 +93,15 @@ def _sign(size: int, percent: int, counts: np.ndarray):
                         order = np.lexsort((own, counts[(own >> np.uint64(64 - BITS)).astype(np.int64)]))
                         firsts.append(own[order[: n - (percent * n + 99) // 100 + 1]])
                         ends.append(ends[-1] + len(firsts[-1]))
+                        bitmaps.append(bitmap(own, width_for(n)).tobytes())
                     else:
                         ends.append(ends[-1])
+                        bitmaps.append(None)
                     sizes.append(n)
                     keys.append(key)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64)))],
-                    names=["id", "n", "key", "first"],
+                    [batch.column(0).slice(block.first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64))), pa.array(bitmaps, pa.binary())],
+                    names=["id", "n", "key", "first", "bits"],
                 )
 
     return run
@@ -109,23 +113,28 @@ def _set_key(own: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
 
 
+def width_for(n: int) -> int:
+    """Bits of the bitmap of n shingles: a power of two, 2n at least."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def bitmap(own: np.ndarray, width: int) -> np.ndarray:
+    """The shingles of a set as bits, by the low bits of their hash."""
+    flags = np.zeros(width, np.uint8)
+    flags[(own & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as it would be in fewer words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), 0)
+
+
 class SignatureTree:
     """Sets by size, with the bitmaps and sizes of every node; a node is a range of leaves."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        width = 64
-        while width < 2 * int(self.sizes.max()):
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s & np.uint64(width - 1)).astype(np.int64)
-            np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        self.bits = bits
-        #: labels of what is known to be connected
-        self.label = np.arange(len(sets))
-        self.links: list[tuple[int, int]] = []
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, percent: int):
+        self.sizes, self.bits, self.percent = sizes, bits, percent
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def _node(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,99 +147,144 @@ class SignatureTree:
                 self.nodes[a, b] = o1 | o2, n1 & n2
         return self.nodes[a, b]
 
-    def _needed(self, n: int, m: int) -> int:
-        """Overlap that sets of at least these sizes need."""
+    def _needed(self, n, m):
+        """Overlap that sets of these sizes need."""
         return -(-self.percent * (n + m) // (100 + self.percent))
 
     def _apart(self, a: int, b: int, c: int, d: int) -> bool:
-        """No set of [a, b) links with one of [c, d), or all are connected."""
-        one = self.label[a]
-        if (self.label[a:b] == one).all() and (self.label[c:d] == one).all():
-            return True
+        """No set of [a, b) can link with one of [c, d)."""
         (n1, n2), (m1, m2) = (self.sizes[a], self.sizes[b - 1]), (self.sizes[c], self.sizes[d - 1])
         if n2 * 100 < self.percent * m1 or m2 * 100 < self.percent * n1:
             return True
-        if (a, b) == (c, d):
+        if (a, b) == (c, d) or b - a <= LEAF and d - c <= LEAF:
             return False
         (or1, and1), (or2, and2) = self._node(a, b), self._node(c, d)
         most = min(n2 - int(np.bitwise_count(and1 & ~or2).sum()), m2 - int(np.bitwise_count(and2 & ~or1).sum()))
         return most < self._needed(int(n1), int(m1))
 
-    def _verify(self, i: int, j: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        both = int((b[at] == a).sum())
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
-
-    def _leaves(self, a: int, b: int, c: int, d: int) -> None:
+    def _pairs(self, a: int, b: int, c: int, d: int) -> Iterator[tuple[int, int]]:
+        """Pairs of leaves that the bitmaps leave possible."""
         x, y = self.bits[a:b, None, :], self.bits[None, c:d, :]
-        most = np.minimum(self.sizes[a:b, None] - np.bitwise_count(x & ~y).sum(2), self.sizes[None, c:d] - np.bitwise_count(y & ~x).sum(2))
-        need = -(-self.percent * (self.sizes[a:b, None] + self.sizes[None, c:d]) // (100 + self.percent))
-        for i, j in zip(*np.nonzero(most >= need), strict=True):
-            i, j = int(i) + a, int(j) + c
-            if (i < j or (a, b) != (c, d)) and self.label[i] != self.label[j] and self._verify(i, j):
-                self.links.append((i, j))
-                self.label[self.label == self.label[j]] = self.label[i]
-
-    def connect(self) -> np.ndarray:
-        """Labels of the connected sets, by dual traversal of the tree against itself."""
-        stack = [(0, len(self.sets), 0, len(self.sets))]
+        n, m = self.sizes[a:b, None], self.sizes[None, c:d]
+        most = np.minimum(n - np.bitwise_count(x & ~y).sum(2), m - np.bitwise_count(y & ~x).sum(2))
+        for i, j in zip(*np.nonzero(most >= self._needed(n, m)), strict=True):
+            if i < j or (a, b) != (c, d):
+                yield int(i) + a, int(j) + c
+
+    def traverse(self, settled: Callable[[int, int, int, int], bool]) -> Iterator[tuple[int, int]]:
+        """Possible pairs, by dual traversal of the tree against itself. Pairs of nodes of which all is settled are pruned."""
+        stack = [(0, len(self.sizes), 0, len(self.sizes))]
         while stack:
             a, b, c, d = stack.pop()
-            if self._apart(a, b, c, d):
+            if settled(a, b, c, d) or self._apart(a, b, c, d):
                 continue
             if b - a <= LEAF and d - c <= LEAF:
-                self._leaves(a, b, c, d)
+                yield from self._pairs(a, b, c, d)
                 continue
             m, k = (a + b) // 2, (c + d) // 2
             if (a, b) == (c, d):
-                stack += [(a, m, m, b), (m, b, m, b), (a, m, a, m)]  # inside first, so that what lies across is often known
+                stack += [(a, m, m, b), (m, b, m, b), (a, m, a, m)]  # inside first, so that what lies across is often settled
             elif b - a >= d - c:
                 stack += [(m, b, c, d), (a, m, c, d)]
             else:
                 stack += [(a, b, k, d), (a, b, c, k)]
-        return self.label
 
 
-def _connect(size: int, percent: int):
-    """Links inside groups of rows (task, key, text), which come together by task."""
+def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Labels of sets, in order of size, that verified links connect."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    width = width_for(int(sizes.max())) // 64
+    label = np.arange(len(sets))
+
+    def settled(a: int, b: int, c: int, d: int) -> bool:
+        return bool((label[a:b] == label[a]).all() and (label[c:d] == label[a]).all())
+
+    for i, j in SignatureTree(sizes, np.stack([bitmap(s, width * 64) for s in sets]), percent).traverse(settled):
+        if label[i] != label[j]:
+            x, y = sets[i], sets[j]
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int((y[at] == x).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                label[label == label[j]] = label[i]
+    return label
+
+
+def promising(sizes: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which sets, in order of size, may link with another by sizes and bitmaps."""
+    told = np.zeros(len(sizes), bool)
+    gaps = np.flatnonzero(sizes[:-1] * 100 < percent * sizes[1:]) + 1  # no link reaches across
+    for a, b in zip([0, *gaps.tolist()], [*gaps.tolist(), len(sizes)], strict=True):
+        if b - a < 2:
+            continue
+        maps = [np.frombuffer(x, np.uint64) for x in bits[a:b]]
+        words = min(map(len, maps))
+        own = told[a:b]
+
+        def settled(p: int, q: int, r: int, s: int, own=own) -> bool:
+            return bool(own[p:q].all() and own[r:s].all())
+
+        for i, j in SignatureTree(sizes[a:b], np.stack([folded(x, words) for x in maps]), percent).traverse(settled):
+            own[i] = own[j] = True
+    return told
 
-    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        keys, texts = rows["key"].to_numpy(), rows["text"].combine_chunks()
-        sets: list[np.ndarray] = []
-        for block in blocks(texts, white_space_words(), lower_ascii()):
-            sets.extend(_sets(block, size))
-        order = np.lexsort((keys, [len(s) for s in sets]))
-        keys, sets = keys[order], [sets[i] for i in order]
-        label = SignatureTree(sets, percent).connect()
-        least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, keys)
-        root = least[label]
-        told = root != keys
-        return pa.RecordBatch.from_arrays([pa.array(keys[told]), pa.array(root[told])], names=["a", "b"])
+
+def _by_group(answer: Callable[[pa.Table], pa.RecordBatch]):
+    """Apply to rows whose first column, by which they come together, is equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        task = None
+        group = None
         for batch in batches:
-            tasks = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(tasks)) + 1).tolist(), len(tasks)]
+            groups = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if x == y:
                     continue
-                if task is not None and tasks[x] != task:
-                    yield answer(held)
+                if group is not None and groups[x] != group:
+                    yield answer(pa.Table.from_batches(held).combine_chunks())
                     held = []
-                task = tasks[x]
+                group = groups[x]
                 held.append(batch.slice(x, y - x))
         if held:
-            yield answer(held)
+            yield answer(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _connect(size: int, percent: int):
+    """Links of rows (task, key, text)."""
+
+    def answer(rows: pa.Table) -> pa.RecordBatch:
+        keys = rows["key"].to_numpy()
+        sets: list[np.ndarray] = []
+        for block in blocks(rows["text"].combine_chunks(), white_space_words(), lower_ascii()):
+            sets.extend(_sets(block, size))
+        order = np.lexsort((keys, [len(s) for s in sets]))
+        keys = keys[order]
+        label = connected([sets[i] for i in order], percent)
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, keys)
+        root = least[label]
+        told = root != keys
+        return pa.RecordBatch.from_arrays([pa.array(keys[told]), pa.array(root[told])], names=["a", "b"])
+
+    return _by_group(answer)
+
+
+def _promise(percent: int):
+    """Rows (blk, key, id, n, bits) that may link inside their block."""
+
+    def answer(rows: pa.Table) -> pa.RecordBatch:
+        n = rows["n"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        bits = rows["bits"].to_pylist()
+        told = order[promising(n[order], [bits[i] for i in order], percent)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[told]) for c in ("blk", "key", "id")], names=["blk", "key", "id"])
+
+    return _by_group(answer)
+
+
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of tasks (task, key, id) over the texts of their sets."""
     some, _ = sieved(texts, "id", members, "id")
@@ -239,20 +293,29 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_connect(size, percent), "a long, b long")
 
 
-def _blocks_of(signed: DataFrame) -> DataFrame:
+def _needed(members: DataFrame) -> DataFrame:
+    """Members (blk, key, ...) with ``cnt``, without blocks whose sets all have their largest block in common."""
+    counted = members.withColumn("cnt", F.count("*").over(W.partitionBy("blk")))
+    top = counted.withColumn("top", F.max(F.struct("cnt", "blk")).over(W.partitionBy("key"))["blk"])
+    by = W.partitionBy("blk")
+    told = top.withColumn("lo", F.min("top").over(by)).withColumn("hi", F.max("top").over(by))
+    return told.where("cnt > 1 and (lo <> hi or lo = blk)").drop("top", "lo", "hi")
+
+
+def _blocks_of(signed: DataFrame, percent: int) -> DataFrame:
     """(blk, cnt, key, id): the sets of each block that is needed, with a document that holds the set."""
-    holders = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
+    holders = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     firsts = signed.select("key", F.explode("first").alias("token"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = firsts.repartition(n, "token").dropDuplicates(["token", "key"])
     by = W.partitionBy("token")
-    met = firsts.select("key", F.count("*").over(by).alias("cnt"), F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(by).alias("x"), F.bit_xor(F.xxhash64("key")).over(by).alias("y"))
-    met = met.where("cnt > 1").select("key", "cnt", F.xxhash64("cnt", "x", "y").alias("blk")).dropDuplicates(["blk", "key"])
-    largest = F.max(F.struct("cnt", "blk")).over(W.partitionBy("key"))["blk"]
-    met = met.withColumn("top", largest)
-    by = W.partitionBy("blk")
-    met = met.withColumn("lo", F.min("top").over(by)).withColumn("hi", F.max("top").over(by))
-    return met.where("lo <> hi or lo = blk").select("blk", "cnt", "key").join(holders, "key")
+    met = firsts.select("key", F.count("*").over(by).alias("c"), F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(by).alias("x"), F.bit_xor(F.xxhash64("key")).over(by).alias("y"))
+    met = met.where("c > 1").select("key", F.xxhash64("c", "x", "y").alias("blk")).dropDuplicates(["blk", "key"])
+    met = _needed(met).join(holders, "key")
+    big = met.where(F.col("cnt") > BIG).select("blk", "key", "id")
+    small = met.where(F.col("cnt") <= BIG).select("blk", "key", "id", "n", "bits")
+    small = small.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_promise(percent), "blk long, key long, id long")
+    return _needed(small.unionByName(big)).select("blk", "cnt", "key", "id")
 
 
 def join_classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -262,8 +325,8 @@ def join_classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", siz
     counted = docs.select("text").mapInArrow(_count_buckets(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # 2**BITS rows at most
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    signed = written(docs.mapInArrow(_sign(size, percent, counts), "id long, n long, key long, first array<bigint>"), "signatures")
-    needed = written(_blocks_of(signed), "blocks")
+    signed = written(docs.mapInArrow(_sign(size, percent, counts), "id long, n long, key long, first array<bigint>, bits binary"), "signatures")
+    needed = written(_blocks_of(signed, percent), "blocks")
     small, big = needed.where(F.col("cnt") <= BIG), needed.where(F.col("cnt") > BIG)
     tasks = small.select(F.col("blk").alias("task"), "key", "id")
     some_big = bool(big.head(1))
