@@ -15,8 +15,9 @@ spreads over its lines and a hot line is summed before it is moved; flagged
 lines are joined back, not collected.
 
 Null texts have no words and fail the first rule. A null host is a host of its
-own. Repeated rows are judged alike. Extra columns pass through; a column that
-clashes with a result column is replaced.
+own. Repeated rows are judged alike; a row with a null id loses no lines.
+Extra columns pass through; a column that clashes with a result column is
+replaced.
 """
 
 from __future__ import annotations

@@ -1,7 +1,13 @@
-"""Tables written to the shared folder, to cut lineage and to be read again."""
+"""Tables written to the shared folder, to cut lineage and to be read again.
+
+They stay there, as results may be computed from them later; whoever owns the
+folder clears ``glossaloom`` in it.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="glossaloom-")
+        path = tempfile.mkdtemp(prefix="glossaloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        path = f"file://{path}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
