@@ -175,17 +175,25 @@ def _runs(size: int, shards: int):
                 heads = np.flatnonzero(new)
                 tails = np.append(heads[1:], len(at)) - 1
                 by = np.where(hot[heads], whole[at[heads]], mix(key[heads]))
+                # equal hot windows of a document are one row with all their places
+                order = np.lexsort((at[heads], by, row[heads], hot[heads]))
+                heads, tails, by = heads[order], tails[order], by[order]
+                first = np.ones(len(heads), bool)
+                first[1:] = ~hot[heads[1:]] | (by[1:] != by[:-1]) | (row[heads[1:]] != row[heads[:-1]])
+                places = (at[heads] - block.bounds[row[heads]]).astype(np.int32)
+                places_end = np.append(np.flatnonzero(first), len(heads)).astype(np.int32)
+                heads, tails, by = heads[first], tails[first], by[first]
                 begin, end = block.start[at[heads]].tolist(), block.end[at[tails] + size - 1].tolist()
                 data = block.data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((by % np.uint64(shards)).astype(np.int32)), pa.array(ids[block.first + row[heads]]), pa.array((at[heads] - block.bounds[row[heads]]).astype(np.int32)), pa.array([data[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())],
-                    names=["shard", "id", "first", "run"],
+                    [pa.array((by % np.uint64(shards)).astype(np.int32)), pa.array(ids[block.first + row[heads]]), pa.ListArray.from_arrays(pa.array(places_end), pa.array(places)), pa.array([data[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())],
+                    names=["shard", "id", "places", "run"],
                 )
 
     return run
 
 
-def _search(ids: np.ndarray, firsts: np.ndarray, runs: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search(ids: np.ndarray, places: pa.Array, runs: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, from, to): runs of words of a shard's rows that stand in a smaller id."""
     hashes, lengths = [], []
     for block in blocks(runs.cast(pa.string()) if pa.types.is_binary(runs.type) else runs, white_space_words()):
@@ -231,13 +239,19 @@ def _search(ids: np.ndarray, firsts: np.ndarray, runs: pa.Array, size: int) -> t
     new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(row)) - 1
-    return ids[row[heads]], firsts[row[heads]] + offset[heads], firsts[row[heads]] + offset[tails] + size
+    # at every place of the row
+    row, offset, last = row[heads], offset[heads], offset[tails]
+    ends = places.offsets.to_numpy().astype(np.int64)
+    many = np.diff(ends)[row]
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[row], many)
+    at = places.values.to_numpy()[at].astype(np.int64)
+    return np.repeat(ids[row], many), at + np.repeat(offset, many), at + np.repeat(last, many) + size
 
 
 def _search_shards(size: int):
     def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        ids, a, b = _search(rows["id"].to_numpy(), rows["first"].to_numpy().astype(np.int64), rows["run"].combine_chunks(), size)
+        ids, a, b = _search(rows["id"].to_numpy(), rows["places"].combine_chunks(), rows["run"].combine_chunks(), size)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["id", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +284,7 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     wanted = held.where("lo < hi").groupBy("id").agg(F.collect_set(F.struct("key", (F.col("n") >= HOT).alias("hot"))).alias("keys"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = partitions * SHARDS_PER_PARTITION
-    runs = rows.join(wanted, "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, first int, run binary")
+    runs = rows.join(wanted, "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, places array<int>, run binary")
     dealt = runs.repartition(partitions, "shard").sortWithinPartitions("shard")
     found = dealt.mapInArrow(_search_shards(size), "id long, a int, b int")
     return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
