@@ -27,7 +27,8 @@ link when ``100 * |A & B| >= percent * |A | B|``. The steps:
 
 A text without words has an empty set and links with nothing; one of fewer
 words than ``size`` has its whole sequence as one shingle; nulls count as
-empty. Ids should be distinct. Extra columns pass through.
+empty. Ids should be distinct; a row without one is left out here and kept by
+``keep_one``. Other columns are ignored here and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -253,69 +254,79 @@ def _by_group(answer: Callable[[pa.Table], pa.RecordBatch]):
 
 
 def _connect(size: int, percent: int):
-    """Links of rows (task, key, text)."""
+    """Links of rows (task, id, text)."""
 
     def answer(rows: pa.Table) -> pa.RecordBatch:
-        keys = rows["key"].to_numpy()
+        ids = rows["id"].to_numpy()
         sets: list[np.ndarray] = []
         for block in blocks(rows["text"].combine_chunks(), white_space_words(), lower_ascii()):
             sets.extend(_sets(block, size))
-        order = np.lexsort((keys, [len(s) for s in sets]))
-        keys = keys[order]
+        order = np.lexsort((ids, [len(s) for s in sets]))
+        ids = ids[order]
         label = connected([sets[i] for i in order], percent)
-        least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, keys)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
         root = least[label]
-        told = root != keys
-        return pa.RecordBatch.from_arrays([pa.array(keys[told]), pa.array(root[told])], names=["a", "b"])
+        told = root != ids
+        return pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(root[told])], names=["a", "b"])
 
     return _by_group(answer)
 
 
 def _promise(percent: int):
-    """Rows (blk, key, id, n, bits) that may link inside their block."""
+    """Rows (blk, id, n, bits) that may link inside their block."""
 
     def answer(rows: pa.Table) -> pa.RecordBatch:
         n = rows["n"].to_numpy()
         order = np.argsort(n, kind="stable")
         bits = rows["bits"].to_pylist()
         told = order[promising(n[order], [bits[i] for i in order], percent)]
-        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[told]) for c in ("blk", "key", "id")], names=["blk", "key", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[told]) for c in ("blk", "id")], names=["blk", "id"])
 
     return _by_group(answer)
 
 
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of tasks (task, key, id) over the texts of their sets."""
+    """Links (a, b) of tasks (task, id) over the texts of their sets."""
     some, _ = sieved(texts, "id", members, "id")
-    rows = members.join(some, "id").select("task", "key", "text")
+    rows = members.join(some, "id").select("task", "id", "text")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_connect(size, percent), "a long, b long")
 
 
-def _needed(members: DataFrame) -> DataFrame:
-    """Members (blk, key, ...) with ``cnt``, without blocks whose sets all have their largest block in common."""
-    counted = members.withColumn("cnt", F.count("*").over(W.partitionBy("blk")))
-    top = counted.withColumn("top", F.max(F.struct("cnt", "blk")).over(W.partitionBy("key"))["blk"])
+def _needed(members: DataFrame, name: str) -> DataFrame:
+    """Members (blk, name) with ``cnt``, without blocks whose sets all have their largest block in common."""
     by = W.partitionBy("blk")
+    counted = members.withColumn("cnt", F.count("*").over(by))
+    top = counted.withColumn("top", F.max(F.struct("cnt", "blk")).over(W.partitionBy(name))["blk"])
     told = top.withColumn("lo", F.min("top").over(by)).withColumn("hi", F.max("top").over(by))
     return told.where("cnt > 1 and (lo <> hi or lo = blk)").drop("top", "lo", "hi")
 
 
-def _blocks_of(signed: DataFrame, percent: int) -> DataFrame:
-    """(blk, cnt, key, id): the sets of each block that is needed, with a document that holds the set."""
-    holders = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
-    firsts = signed.select("key", F.explode("first").alias("token"))
+def _shared(signed: DataFrame, percent: int) -> DataFrame:
+    """(blk, key): sets that share a first shingle with another of a size that may link; blocks of the same sets are one."""
+    firsts = signed.select("key", "n", F.explode("first").alias("token"))
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = firsts.repartition(n, "token").dropDuplicates(["token", "key"])
     by = W.partitionBy("token")
-    met = firsts.select("key", F.count("*").over(by).alias("c"), F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(by).alias("x"), F.bit_xor(F.xxhash64("key")).over(by).alias("y"))
-    met = met.where("c > 1").select("key", F.xxhash64("c", "x", "y").alias("blk")).dropDuplicates(["blk", "key"])
-    met = _needed(met).join(holders, "key")
-    big = met.where(F.col("cnt") > BIG).select("blk", "key", "id")
-    small = met.where(F.col("cnt") <= BIG).select("blk", "key", "id", "n", "bits")
-    small = small.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_promise(percent), "blk long, key long, id long")
-    return _needed(small.unionByName(big)).select("blk", "cnt", "key", "id")
+    sized = by.orderBy("n")
+    near = firsts.withColumn("before", F.lag("n").over(sized)).withColumn("after", F.lead("n").over(sized))
+    near = near.where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
+    met = near.select("key", F.count("*").over(by).alias("c"), F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(by).alias("x"), F.bit_xor(F.xxhash64("key")).over(by).alias("y"))
+    return met.where("c > 1").select("key", F.xxhash64("c", "x", "y").alias("blk")).dropDuplicates(["blk", "key"])
+
+
+def _blocks_of(signed: DataFrame, least: DataFrame, percent: int) -> DataFrame:
+    """(blk, cnt, id): the sets of each block that is needed, by the smallest id that holds the set."""
+    met = written(_needed(_shared(signed, percent), "key"), "met")
+    some, _ = sieved(signed.where(F.col("bits").isNotNull()), "key", met, "key")
+    bitmaps = some.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    met = met.join(least, "key").join(bitmaps, "key").withColumnRenamed("least", "id")
+    big = met.where(F.col("cnt") > BIG).select("blk", "id")
+    small = met.where(F.col("cnt") <= BIG).select("blk", "id", "n", "bits")
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = small.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_promise(percent), "blk long, id long")
+    return _needed(small.unionByName(big), "id").select("blk", "cnt", "id")
 
 
 def join_classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -326,34 +337,35 @@ def join_classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", siz
     found = counted.toArrow()  # 2**BITS rows at most
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     signed = written(docs.mapInArrow(_sign(size, percent, counts), "id long, n long, key long, first array<bigint>, bits binary"), "signatures")
-    needed = written(_blocks_of(signed, percent), "blocks")
+    least = written(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least")), "sets")
+    needed = written(_blocks_of(signed, least, percent), "blocks")
     small, big = needed.where(F.col("cnt") <= BIG), needed.where(F.col("cnt") > BIG)
-    tasks = small.select(F.col("blk").alias("task"), "key", "id")
+    tasks = small.select(F.col("blk").alias("task"), "id")
     some_big = bool(big.head(1))
     if some_big:
         chunks = F.ceil(F.col("cnt") / BIG)
-        chunk = F.pmod(F.xxhash64("key"), chunks)
-        hubs = big.withColumn("r", F.row_number().over(W.partitionBy("blk").orderBy(F.xxhash64("key", F.lit(1)), "key"))).where(F.col("r") <= HUBS)
-        spread = hubs.select("blk", "key", "id", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c"))
-        tasks = tasks.unionByName(big.select("blk", "key", "id", chunk.alias("c")).unionByName(spread).distinct().select(F.xxhash64("blk", "c").alias("task"), "key", "id"))
+        chunk = F.pmod(F.xxhash64("id"), chunks)
+        hubs = big.withColumn("r", F.row_number().over(W.partitionBy("blk").orderBy(F.xxhash64("id", F.lit(1)), "id"))).where(F.col("r") <= HUBS)
+        spread = hubs.select("blk", "id", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c"))
+        tasks = tasks.unionByName(big.select("blk", "id", chunk.alias("c")).unionByName(spread).distinct().select(F.xxhash64("blk", "c").alias("task"), "id"))
     links = written(_links(tasks, docs, size, percent), "links")
     roots = components(links)
     if some_big:
         # sets outside their block's largest component meet all chunks of the block
-        placed = big.join(roots, F.col("key") == F.col("node"), "left").select("blk", "cnt", "key", "id", F.coalesce("root", "key").alias("root"))
+        placed = big.join(roots, F.col("id") == F.col("node"), "left").select("blk", "cnt", "id", F.coalesce("root", "id").alias("root"))
         parts = placed.groupBy("blk", "root").agg(F.count("*").alias("m"))
         top = parts.groupBy("blk").agg(F.max(F.struct("m", "root")).alias("top")).select("blk", F.col("top.root").alias("top"))
         rest = placed.join(top, "blk").where("root <> top")
         groups = rest.groupBy("blk").agg(F.ceil(F.count("*") / BIG).alias("groups"))
-        rest = rest.join(groups, "blk").select("blk", "cnt", "key", "id", "groups", F.pmod(F.xxhash64("key", F.lit(2)), F.col("groups")).alias("g"))
-        all_ = placed.join(groups, "blk").select("blk", "key", "id", F.pmod(F.xxhash64("key"), chunks).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
-        other = rest.select("blk", "key", "id", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c"), "g")
-        again = all_.unionByName(other).distinct().select(F.xxhash64("blk", "c", "g").alias("task"), "key", "id")
+        rest = rest.join(groups, "blk").select("blk", "cnt", "id", "groups", F.pmod(F.xxhash64("id", F.lit(2)), F.col("groups")).alias("g"))
+        all_ = placed.join(groups, "blk").select("blk", "id", F.pmod(F.xxhash64("id"), chunks).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
+        other = rest.select("blk", "id", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c"), "g")
+        again = all_.unionByName(other).distinct().select(F.xxhash64("blk", "c", "g").alias("task"), "id")
         roots = components(links.unionByName(_links(again, docs, size, percent)))
-    placed = signed.select("id", "n", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("class"))
-    least = placed.where("class is not null").groupBy("class").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "class", "left").select(F.col("id").alias(id), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    # sets find their component first, so that documents are joined once, to a table by itself
+    found = written(least.join(roots, F.col("least") == F.col("node"), "left").select("key", F.coalesce("root", "least").alias("component")), "components")
+    placed = signed.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(found, "key", "left")
+    return placed.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
