@@ -8,7 +8,8 @@ Selected pairs that occur once are dropped; those that recur are joined to
 their positions and extended both ways to the runs that selected them. A run
 whose lines also occur at an earlier place (smaller id, then line number) is
 deleted; overlapping deleted runs grow into the whole repeated passage. Blank
-lines stay.
+lines stay. With ``whole``, every shorter run of that many words or more is a
+run too, so a repeated passage of few but long lines is found.
 
 Pairs and runs are counted with partial sums and joined to their positions by
 hash, so a passage that many documents share costs one row for each place.
@@ -30,11 +31,12 @@ from .shared import written
 RUN = 3
 
 
-def _selected(text: Column, run: int) -> Column:
-    """Array of (fp, pos, runs): selected pairs and the runs (first, g, lines) that selected them."""
+def _selected(text: Column, run: int, whole: int | None = None) -> Column:
+    """Array of (fp, pos, runs): selected pairs and the runs (first, g, lines) that selected them; shorter runs select themselves."""
     trimmed = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), trimmed(x).alias("l"))), lambda x: x["l"] != "")
-    hashed = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(F.regexp_replace(x["l"], WHITE + "+", " ")).alias("h")))
+    n_words = lambda x: [F.size(F.split(x, WHITE + "+")).alias("n")] if whole is not None else []
+    hashed = F.transform(lines, lambda x: F.struct(x["no"].alias("no"), F.xxhash64(F.regexp_replace(x["l"], WHITE + "+", " ")).alias("h"), *n_words(x["l"])))
     w = run - 1
 
     def pairs(h: Column) -> Column:
@@ -47,13 +49,22 @@ def _selected(text: Column, run: int) -> Column:
         )
         return let(pairs(h), lambda p: F.transform(F.sequence(F.lit(0), F.size(h) - run), lambda i: each(p, i)))
 
+    def short(h: Column, size: int) -> Column:
+        def each(i: Column) -> Column:
+            g = F.xxhash64(*(F.get(h, i + j)["h"] for j in range(size)))
+            return F.struct(F.struct(g.alias("fp"), i.alias("pos")).alias("pair"), F.struct(F.get(h, i)["no"].alias("first"), g.alias("g"), F.array(*(F.get(h, i + j)["no"] for j in range(size))).alias("lines")).alias("run"))
+
+        long = lambda i: sum((F.get(h, i + j)["n"] for j in range(size)), F.lit(0)) >= whole
+        return F.when(F.size(h) >= size, F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - size), long), each)).otherwise(none)
+
     none = F.array().cast("array<struct<pair:struct<fp:bigint,pos:int>,run:struct<first:int,g:bigint,lines:array<int>>>>")
-    return let(hashed, lambda h: F.when(F.size(h) >= run, runs(h)).otherwise(none))
+    sizes = range(1, run) if whole is not None else ()
+    return let(hashed, lambda h: F.concat(F.when(F.size(h) >= run, runs(h)).otherwise(none), *(short(h, size) for size in sizes)))
 
 
-def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = RUN, whole: int | None = None) -> DataFrame:
     """(id, gone): numbers of the lines of each document that stand in a later repeated run."""
-    runs = docs.select(F.col(id).alias("id"), F.explode(_selected(F.col(text), run)).alias("r"))
+    runs = docs.select(F.col(id).alias("id"), F.explode(_selected(F.col(text), run, whole)).alias("r"))
     runs = written(runs.select("id", F.col("r.pair.fp").alias("fp"), F.col("r.pair.pos").alias("pos"), F.col("r.run.first").alias("first"), F.col("r.run.g").alias("g"), F.col("r.run.lines").alias("lines")), "runs")
     place = F.struct("id", "pos")
     shared = runs.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
@@ -64,9 +75,9 @@ def repeated_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", r
     return later.select("id", F.explode("lines").alias("no")).groupBy("id").agg(F.collect_set("no").alias("gone"))
 
 
-def dedupe_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def dedupe_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run: int = RUN, whole: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines taken out of ``text``, n_lines (with a word) and n_removed."""
-    gone = repeated_lines(docs, id=id, text=text, run=run).select(F.col("id").alias("_of"), F.col("gone").alias("_gone"))
+    gone = repeated_lines(docs, id=id, text=text, run=run, whole=whole).select(F.col("id").alias("_of"), F.col("gone").alias("_gone"))
     keep = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     rows = docs.join(gone, docs[id] == gone["_of"], "left")
     n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
