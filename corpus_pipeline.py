@@ -30,8 +30,8 @@ def _as_documents(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without lines that are above their host's limit."""
-    return _as_documents(judge(docs, clean=True).where("kept"))
+    """Documents that pass the rules, without lines that over 20 texts of their host hold, whatever its size."""
+    return _as_documents(judge(docs, line_percent=0, clean=True).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
