@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
-    return keep_one(docs).select(*COLUMNS)
+    """The document of the smallest id of each group of near duplicates: 80 % of the shingles of five words."""
+    return keep_one(docs, size=5, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,17 @@ def test_quality_rules_do_not_scale_with_the_host(spark):
     expected = plain.quality([(d, h, t) for d, t, h in rows], line_percent=0)
     assert found == {d: t.removesuffix("\nread on here") for d, t, _ in rows} and all(x[6] for x in expected.values())
     assert [d for d, x in expected.items() if x[-1]] == list(range(21))
+
+
+def test_near_duplicates_of_five_words_at_80_percent(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    longer = words + [f"z{i}" for i in range(20)]
+    changed = [*words[:50], "other", *words[51:]]
+    far = words + [f"y{i}" for i in range(30)]
+    rows = [(1, " ".join(words), "h"), (2, " ".join(longer), "h"), (3, " ".join(changed), "h"), (4, " ".join(far), "h")]
+    rows += [(10 + i, " ".join(f"v{draw.randrange(10**6)}" for _ in range(40)), "h") for i in range(5)]
+    pairs = [(d, t) for d, t, _ in rows]
+    found = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
+    assert found == {d for d, (_, c) in plain.ngram_classes(pairs, 5, 80).items() if d == c}
+    assert 2 not in found and 4 in found and 2 in {c for _, c in plain.ngram_classes(pairs).values()}
