@@ -4,10 +4,14 @@ Labelled credentials of each format are put in a prefix tree over character
 classes, and statistically compatible states are merged (red and blue states,
 Hoeffding bound ``alpha``) into a probabilistic automaton. The background is a
 chain over the same classes, from class pairs counted over all documents.
-Every candidate (a run of credential characters with letters and digits that
-no fixed pattern covers) is scored by its best format's log likelihood against
-the background, per character; those above ``threshold`` whose end the
-automaton accepts become spans named by their format.
+Every candidate (a run of credential characters that no fixed pattern covers)
+is scored by its best format's log likelihood against the background, per
+character; those above ``threshold`` whose end the automaton accepts become
+spans named by their format. Parts of a run are candidates too: from its start,
+from after each mark in it and from each place where a format's prefix stands,
+to the run's end or to a mark, and of a length that the labelled ones have. Where a prefix matches, letters or digits alone
+will do; other candidates have both. Of candidates that overlap the first in
+the text stays, of those the longest; those with a prefix come before others.
 
 The default labelled credentials are made from public formats by a seeded
 generator (``labelled_credentials``); ``train`` takes any others.
@@ -33,24 +37,27 @@ from .words import blocks, white_space_words
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run that is long enough starts where it starts
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
+MARK = re.compile(r"[+/_=-]+")
 #: Classes of characters: 0 is the end, 1 anything else.
 CLASSES = {c: i + 2 for i, group in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "_", "-", "+/", "=")) for c in group}
 N_CLASSES = 11
 
-# Public formats of credentials, as (name, prefix, alphabet, least and most length of the rest).
+# Public formats of credentials, as (name, prefix, parts of the rest by alphabet, least and most length).
 HEXADECIMAL = "0123456789abcdef"
 ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 FORMATS = (
-    ("source_host_token", "ghp_", ALPHANUMERIC, 36, 36),
-    ("payment_key", "sk_live_", ALPHANUMERIC, 24, 32),
-    ("chat_token", "xoxb-", "0123456789", 11, 13),
-    ("package_token", "npm_", ALPHANUMERIC, 36, 36),
-    ("secret_key", "", ALPHANUMERIC + "+/", 40, 40),
-    ("web_key", "AIza", ALPHANUMERIC + "-_", 35, 35),
+    ("source_host_token", "ghp_", ((ALPHANUMERIC, 36, 36),)),
+    ("payment_key", "sk_live_", ((ALPHANUMERIC, 24, 32),)),
+    ("chat_token", "xoxb-", (("0123456789", 11, 13), ("-", 1, 1), ("0123456789", 11, 13), ("-", 1, 1), (ALPHANUMERIC, 24, 24))),
+    ("chat_token", "xoxb-", (("0123456789", 11, 13),)),
+    ("package_token", "npm_", ((ALPHANUMERIC, 36, 36),)),
+    ("secret_key", "", ((ALPHANUMERIC + "+/", 40, 40),)),
+    ("web_key", "AIza", ((ALPHANUMERIC + "-_", 35, 35),)),
 )
 PER_FORMAT = 300
 
@@ -58,7 +65,10 @@ PER_FORMAT = 300
 def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 7) -> dict[str, list[str]]:
     """Credentials of each public format."""
     draw = random.Random(seed)
-    return {name: [prefix + "".join(draw.choices(alphabet, k=draw.randint(least, most))) for _ in range(per_format)] for name, prefix, alphabet, least, most in FORMATS}
+    out: dict[str, list[str]] = {}
+    for name, prefix, parts in FORMATS:
+        out.setdefault(name, []).extend(prefix + "".join("".join(draw.choices(alphabet, k=draw.randint(least, most))) for alphabet, least, most in parts) for _ in range(per_format))
+    return out
 
 
 def _classes(text: str) -> list[int]:
@@ -156,8 +166,8 @@ class Automaton:
 class Model:
     """Automata by format, and the log probabilities of class pairs in the background."""
 
-    def __init__(self, automata: dict[str, Automaton], prefixes: dict[str, str], pairs: np.ndarray, threshold: float):
-        self.automata, self.prefixes, self.threshold = automata, prefixes, threshold
+    def __init__(self, automata: dict[str, Automaton], prefixes: dict[str, str], pairs: np.ndarray, threshold: float, lengths: dict[str, tuple[int, int]]):
+        self.automata, self.prefixes, self.threshold, self.lengths = automata, prefixes, threshold, lengths
         smooth = pairs.reshape(N_CLASSES, N_CLASSES) + 1.0
         self.background = np.log(smooth / smooth.sum(1, keepdims=True)).tolist()
 
@@ -176,6 +186,29 @@ class Model:
             before = c
         return name, (gain - base - self.background[before][0]) / len(classes)
 
+    def parts(self, text: str) -> Iterator[tuple[int, int, str, float]]:
+        """(start, end, format, gain per character) of the parts of a run that an automaton accepts."""
+        classes = _classes(text)
+        base = [0.0]
+        for before, c in zip(classes, classes[1:], strict=False):
+            base.append(base[-1] + self.background[before][c])
+        marks = [m.start() + k for m in MARK.finditer(text) for k in range(len(m[0]))]
+        ends = {*marks, *(k + 1 for k in marks), len(text)}
+        starts = sorted({0, *(k + 1 for k in marks)} - {len(text)})
+        for name, automaton in self.automata.items():
+            prefix, (least, most) = self.prefixes[name], self.lengths[name]
+            for start in (m.start() for m in re.finditer(f"(?={re.escape(prefix)})", text)) if prefix else starts:
+                state, total = 0, 0.0
+                for end in range(start + 1, (len(text) if start == 0 else min(start + most, len(text))) + 1):
+                    c = classes[end - 1]
+                    total += automaton.log[state][c]
+                    state = automaton.next[state][c]
+                    if state < 0:
+                        break
+                    last = automaton.log[state][0]
+                    if end in ends and (least <= end - start <= most or start == 0 and end == len(text)) and last > math.log(1e-4):
+                        yield start, end, name, (total + last - self.background[0][classes[start]] - base[end - 1] + base[start] - self.background[c][0]) / (end - start)
+
 
 def train(credentials: dict[str, list[str]], pairs: np.ndarray, *, alpha: float = 0.01, threshold: float = 0.5) -> Model:
     """A model from labelled credentials of each format and counts of background class pairs. The part that all
@@ -183,7 +216,7 @@ def train(credentials: dict[str, list[str]], pairs: np.ndarray, *, alpha: float
     import os.path
 
     prefixes = {k: os.path.commonprefix(v) for k, v in credentials.items() if v}
-    return Model({k: Automaton([x for x in v], alpha) for k, v in credentials.items() if v}, prefixes, pairs, threshold)
+    return Model({k: Automaton([x for x in v], alpha) for k, v in credentials.items() if v}, prefixes, pairs, threshold, {k: (min(map(len, v)), max(map(len, v))) for k, v in credentials.items() if v})
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +258,18 @@ def learned_spans(text: str, base: list[tuple], model: Model) -> list[tuple[int,
     """Candidates that a learned format explains, away from the fixed patterns."""
     found = []
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if value.isalpha() or value.isdigit():
-            continue
-        classes = {CLASSES[c] for c in value}
-        if 2 not in classes or not classes & {3, 4, 5, 6} or any(a < m.end() and m.start() < b for a, _, b, _ in base):
-            continue
-        name, gain = model.best(value)
-        if gain > model.threshold:
-            found.append((m.start(), 3, m.end(), name))
-    return found
+        parts = []
+        for start, end, name, gain in model.parts(m[0]):
+            a, b = m.start() + start, m.start() + end
+            mixed = (classes := {CLASSES[c] for c in m[0][start:end]}) & {2} and classes & {3, 4, 5, 6}
+            if gain > model.threshold and (mixed or model.prefixes[name]) and not any(x < b and a < y for x, _, y, _ in base):
+                parts.append((not model.prefixes[name], a, -b, -gain, name))
+        taken: list[tuple[int, int, int, str]] = []
+        for _, a, b, _, name in sorted(parts):
+            if not any(x < -b and a < y for x, _, y, _ in taken):
+                taken.append((a, 3, -b, name))
+        found += taken
+    return sorted(found)
 
 
 def _scan(model: Model, text: str, keep: list[str]):

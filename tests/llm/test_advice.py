@@ -1,9 +1,11 @@
 """Cases in which stages and operators once did less than the whole job."""
 
 import random
-import re
+
+import numpy as np
 
 import corpus_pipeline
+from glossaloom.llm.secret_scan import N_CLASSES, base_spans, labelled_credentials, learned_spans, train
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -68,3 +70,20 @@ def test_near_duplicates_of_five_words_at_80_percent(spark):
     found = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
     assert found == {d for d, (_, c) in plain.ngram_classes(pairs, 5, 80).items() if d == c}
     assert 2 not in found and 4 in found and 2 in {c for _, c in plain.ngram_classes(pairs).values()}
+
+
+def test_secrets_glued_to_what_is_before_them():
+    draw = random.Random(9)
+    model = train(labelled_credentials(), np.ones(N_CLASSES**2))
+    digits, letters = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    say = lambda alphabet, n: "".join(draw.choices(alphabet, k=n))
+    chat = "xoxb-" + say(digits, 12) + "-" + say(digits, 12) + "-" + say(letters + digits, 24)
+    host, key, aws = "ghp_" + say(letters + digits, 36), "sk_live_" + say(letters, 24), say(letters + digits, 37) + "a1B"
+    for before, value, after, kind in [
+        ("SLACK=", chat, "", "chat_token"), ("GH=", host, "", "source_host_token"), ("https://host/", host, "/x", "source_host_token"), ("my-", host, "", "source_host_token"),
+        ("X", host, "", "source_host_token"), ("", key, "", "payment_key"), ("K=", key, "", "payment_key"), ("", chat, "", "chat_token"), ("KEY=", aws, "", "secret_key"), ("", "xoxb-" + say(digits, 12), "", "chat_token"),
+    ]:
+        text = f"é {before}{value}{after} end"
+        at = 2 + len(before)
+        assert learned_spans(text, base_spans(text), model) == [(at, 3, at + len(value), kind)], text
+    assert learned_spans("some-long_plain/path=of/words-and_marks", [], model) == []
