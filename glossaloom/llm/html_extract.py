@@ -9,8 +9,8 @@ parent, half to the next and less beyond. A container's score is discounted
 by its link density. The best container is kept, widened to the ``article``
 or ``main`` element it stands in, with siblings that score like content.
 
-Text of a kept container is kept whole except for blocks that are mostly
-links. Character references are decoded, white space inside a block becomes
+Text of a kept container is kept whole except for lists and containers of
+several short links; headings and paragraphs that are links stay. Character references are decoded, white space inside a block becomes
 one space, and blocks are joined by one space in page order.
 
 Null or empty html gives an empty text. Pages are independent rows, so ties
@@ -52,6 +52,10 @@ DROPPED_ARTICLES = frozenset("ad ads advert advertisement comment comments promo
 WRAPPER_PREFIX = frozenset("has with no without is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote".split())
+#: What may be a menu if it is mostly links, and how many characters its links have at most on average.
+LISTS = frozenset("ul ol dl dir div section table tbody tr center".split())
+SHORT_LINK = 25
+SENTENCE_ENDS = tuple(".!?。！？")
 CONTENT_NAMES = frozenset("article content main post entry story text body".split())
 
 
@@ -226,6 +230,34 @@ def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
+def _is_menu(node: Node) -> bool:
+    """A list or container of several short links and little else, without a heading or a paragraph that is a sentence."""
+    if _density(node) <= 0.5:
+        return False
+    links, stack = [], list(node.parts)
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            continue
+        if part.tag in HEADINGS and part.size or part.tag == "p" and "".join(_texts(part)).strip()[-1:] in SENTENCE_ENDS:
+            return False
+        if part.tag == "a" and part.size:
+            links.append(part.size)
+        else:
+            stack.extend(part.parts)
+    return len(links) > 1 and sum(links) <= SHORT_LINK * len(links)
+
+
+def _texts(node: Node) -> Iterator[str]:
+    stack: list = [node]
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            yield part
+        else:
+            stack.extend(reversed(part.parts))
+
+
 def _pieces(node: Node) -> Iterator[str]:
     """Texts and the marks between blocks, in page order."""
     stack: list = [node]
@@ -235,8 +267,8 @@ def _pieces(node: Node) -> Iterator[str]:
             yield part
             continue
         block = part.tag in BLOCK
-        if part is not node and block and part.size and _density(part) > 0.5:
-            yield " "  # a block that is mostly links is a menu
+        if part is not node and part.tag in LISTS and _is_menu(part):
+            yield " "
             continue
         if block:
             yield " "
@@ -282,7 +314,7 @@ def extract(html: str | None) -> str:
     kept = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body", "html"):
         least = max(3.0, total(best) * 0.2)
-        kept = [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.size and _density(x) < 0.5 and (total(x) >= least or _continues(x, best)))]
+        kept = [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.size and (_density(x) < 0.5 or x.tag in HEADINGS) and (total(x) >= least or _continues(x, best)))]
     elif best.tag == "article" and best.parent is not None:
         # an article may be told in several elements; short or linked ones are teasers
         kept = [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.tag == "article" and total(x) >= max(30.0, total(best) * 0.5) and _density(x) < 0.25)]
@@ -292,7 +324,7 @@ def extract(html: str | None) -> str:
 def _continues(node: Node, best: Node) -> bool:
     """A heading, a sentence, or a part like the best beside it."""
     if node.tag in HEADINGS:
-        return _density(node) < 0.25
+        return True
     if node.tag == "p":
         text = "".join(_pieces(node)).strip()
         return node.size >= 80 and _density(node) < 0.25 or not node.linked and text[-1:] in ".!?"

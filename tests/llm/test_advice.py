@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from glossaloom.llm.html_extract import extract
 from glossaloom.llm.secret_scan import N_CLASSES, base_spans, labelled_credentials, learned_spans, train
 from tests.llm import plain
 
@@ -87,3 +88,16 @@ def test_secrets_glued_to_what_is_before_them():
         at = 2 + len(before)
         assert learned_spans(text, base_spans(text), model) == [(at, 3, at + len(value), kind)], text
     assert learned_spans("some-long_plain/path=of/words-and_marks", [], model) == []
+
+
+def test_html_linked_blocks_of_the_article():
+    long = "A paragraph, of some length, that says what the article is about, at last."
+    linked = "<a href=y>One sentence, that is a link from its start to its end.</a>"
+    cited = [f"A. Writer, <a href=r{i}>A work of some length about a matter, volume {i}</a>" for i in range(3)]
+    plain_cited = " ".join(x.replace("</a>", "").split("<a")[0] + x.split(">")[1].split("<")[0] for x in cited)
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul>"
+    body = f"<h1><a href=x>Title of it</a></h1><p>{long}</p><p>{linked}</p><ol>{''.join(f'<li>{x}</li>' for x in cited)}</ol>{menu}"
+    expected = f"Title of it {long} One sentence, that is a link from its start to its end. {plain_cited}"
+    assert extract(f"<html><body><article>{body}</article></body></html>") == expected
+    beside = f"<div><h2><a href=x>Title of it</a></h2><div class=text><p>{long}</p><p>{long}</p></div>{menu}</div>"
+    assert extract(f"<html><body>{beside}</body></html>") == f"Title of it {long} {long}"
