@@ -14,17 +14,19 @@ from ..functions.tokens import any_in
 from ..operators.sample import split
 from ..operators.validate import score
 
-VOCABULARY = 1 << 18
 LEAVES, SPLITS, TREES = (1, 2, 4, 8), (2, 4, 8, 16), range(10, 101)
 
 
 def fit_features(rows: DataFrame, text: str = "chunk") -> PipelineModel:
     """Words of two or more letters, without stop words, as smoothed and normalised TF-IDF."""
-    counted = Pipeline(stages=[
+    cut = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=VOCABULARY),
     ]).fit(rows)
+    kept = cut.transform(rows)
+    size = kept.select(F.explode("_kept").alias("w")).distinct().count()
+    counter = CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=max(size, 1)).fit(kept)
+    counted = PipelineModel([*cut.stages, counter])
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted.transform(rows)).idf
     # weights are ln((n+1)/(df+1)) + 1
     weigh = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf.toArray() + 1.0))
