@@ -96,10 +96,13 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM d),
 s AS (SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k, regexp_replace(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n
       FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-r AS (SELECT a.doc_id, a.no AS n1, b.no AS n2, c.no AS n3, a.n || chr(10) || b.n || chr(10) || c.n AS g
-      FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN s c ON a.doc_id = c.doc_id AND c.k = a.k + 2),
+m AS (SELECT *, len(string_split(n, ' ')) AS w FROM s),
+r AS (SELECT a.doc_id, a.no AS n1, [a.no, b.no, c.no] AS nos, a.n || chr(10) || b.n || chr(10) || c.n AS g
+      FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN m c ON a.doc_id = c.doc_id AND c.k = a.k + 2
+      UNION ALL SELECT a.doc_id, a.no, [a.no, b.no], a.n || chr(10) || b.n FROM m a JOIN m b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.w + b.w >= 50
+      UNION ALL SELECT doc_id, no, [no], n FROM m WHERE w >= 50),
 o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, n1) AS place FROM r),
-gone AS (SELECT DISTINCT doc_id, unnest([n1, n2, n3]) AS no FROM o WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(nos) AS no FROM o WHERE place > 1),
 k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) FILTER (gone.no IS NULL) AS kept, count(gone.no) AS n_removed,
              count(*) FILTER (regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS n_lines
       FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.no = gone.no GROUP BY l.doc_id)
@@ -145,7 +148,7 @@ l AS (SELECT * FROM (SELECT doc_id, h, raw, unnest(range(len(string_split(t, chr
 ln AS (SELECT doc_id, h, raw, line, regexp_replace(lower(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM l),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
 host AS (SELECT h, count(DISTINCT raw) AS a FROM d GROUP BY h),
-flagged AS (SELECT ln.h, n FROM ln JOIN host ON ln.h = host.h GROUP BY ln.h, n, a HAVING count(DISTINCT raw) > 20 AND 100 * count(DISTINCT raw) > 10 * a),
+flagged AS (SELECT ln.h, n FROM ln JOIN host ON ln.h = host.h GROUP BY ln.h, n, a HAVING count(DISTINCT raw) > 20 AND 100 * count(DISTINCT raw) > 1 * a),
 gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS n FROM ln JOIN flagged USING (h, n) GROUP BY doc_id),
 c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines,

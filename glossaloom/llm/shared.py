@@ -1,26 +1,31 @@
 """Tables written to the shared folder, to cut lineage and to be read again.
 
-They stay there, as results may be computed from them later; whoever owns the
-folder clears ``glossaloom`` in it.
+They stay there, as results may be computed from them later. ``clear`` removes
+those of this process once its results are written elsewhere.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a local one, which only a local master can use."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="glossaloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = f"file://{path}"
@@ -29,30 +34,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back; survives lost executors.
+
+    A keyed table that was written is a plain scan, so a join to it can be dealt
+    anew where a key is hot (adaptive skew join), which no join to an aggregate can.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glossaloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that this process has written; results that were not yet computed need them. Gives their number."""
+    n = 0
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """``wanted`` as column names that do not clash with ``names``, whatever their case."""
+    taken, out = {x.lower() for x in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 SIEVE_BITS = 1 << 22
 
 
-def sieved(rows: DataFrame, id: str, wanted: DataFrame, wanted_id: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose id may be among ``wanted``, and the others, without moving a row.
+def sieved(rows: DataFrame, key: Column | str, wanted: DataFrame, wanted_key: Column | str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key may be among those of ``wanted``, and the others, without moving a row.
 
-    Ids are hashed to ``SIEVE_BITS`` bits, which are broadcast as at most
+    Keys are hashed to ``SIEVE_BITS`` bits, which are broadcast as at most
     ``SIEVE_BITS / 64`` rows of 64 bits: that bound does not grow with the data.
-    With many more ids than bits, more rows than needed are in the first part;
-    both parts together are always all rows. Null ids are in the second part.
+    With many more keys than bits, more rows than needed are in the first part;
+    both parts together are always all rows. Null keys are in the second part.
     """
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(SIEVE_BITS))
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    key, wanted_key = col(key), col(wanted_key)
+    bit, at, word, ones, may, own = unused(rows.columns, "bit", "at", "word", "ones", "may", "own")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(SIEVE_BITS))
     mask = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` % 64 as int))")
-    words = wanted.where(F.col(wanted_id).isNotNull()).select(bit(wanted_id).alias("_bit"))
-    words = words.select(F.expr("_bit div 64").alias("_word"), mask("_bit").alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_ones"))
-    placed = rows.withColumn("_bit", bit(id)).withColumn("_at", F.expr("_bit div 64"))
-    placed = placed.join(F.broadcast(words), placed["_at"] == words["_word"], "left")
-    may = F.coalesce(F.col("_ones").bitwiseAND(mask("_bit")) != 0, F.lit(False))
-    placed = placed.withColumn("_may", may).drop("_bit", "_at", "_word", "_ones")
-    return placed.where("_may").drop("_may"), placed.where("not _may").drop("_may")
+    words = wanted.where(wanted_key.isNotNull()).select(place(wanted_key).alias(bit))
+    words = words.select(F.expr(f"`{bit}` div 64").alias(word), mask(bit).alias(own)).groupBy(word).agg(F.bit_or(own).alias(ones))
+    placed = rows.withColumn(bit, F.when(key.isNotNull(), place(key))).withColumn(at, F.expr(f"`{bit}` div 64"))
+    placed = placed.join(F.broadcast(words), placed[at] == words[word], "left")
+    placed = placed.withColumn(may, F.coalesce(F.col(ones).bitwiseAND(mask(bit)) != 0, F.lit(False))).drop(bit, at, word, ones)
+    return placed.where(F.col(may)).drop(may), placed.where(~F.col(may)).drop(may)

@@ -69,12 +69,13 @@ def contamination(docs, items, size=13):
     return out
 
 
-def quality(docs, min_words=20, window=8, repeat_percent=30, line_min_docs=20, line_percent=10, depleted_percent=50):
+def quality(docs, min_words=20, window=8, repeat_percent=30, line_min_docs=20, line_percent=1, depleted_percent=50):
     """{id: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed lines)}"""
     norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x.strip(" \t\n\x0b\f\r").lower())
     bodies, holders = defaultdict(set), defaultdict(set)
     for _, host, t in docs:
-        bodies[host or ""].add(t)
+        if t is not None:
+            bodies[host or ""].add(t)
         for line in (t or "").split("\n"):
             if WORD.search(line):
                 holders[host or "", norm(line)].add(t)
@@ -96,18 +97,18 @@ def quality(docs, min_words=20, window=8, repeat_percent=30, line_min_docs=20, l
     return out
 
 
-def line_dedup(docs, run=3):
+def line_dedup(docs, run=3, whole=50):
     """{id: text that stays}"""
-    norm = lambda x: re.sub("[\x20\x09-\x0d]+", " ", x.strip(" \t\n\x0b\f\r"))
     seen, out = {}, {}
     for d, t in sorted(docs):
         lines = t.split("\n") if t is not None else []
-        some = [(i, norm(x)) for i, x in enumerate(lines) if WORD.search(x)]
+        some = [(i, " ".join(WORD.findall(x))) for i, x in enumerate(lines) if WORD.search(x)]
         gone = set()
-        for k in range(len(some) - run + 1):
-            key = tuple(x for _, x in some[k : k + run])
-            if key in seen:
-                gone |= {i for i, _ in some[k : k + run]}
-            seen.setdefault(key, (d, k))
+        for n in range(1, run + 1):
+            for k in range(len(some) - n + 1):
+                key = tuple(x for _, x in some[k : k + n])
+                if n == run or sum(len(x.split(" ")) for x in key) >= whole:
+                    if seen.setdefault(key, (d, k)) != (d, k):
+                        gone |= {i for i, _ in some[k : k + n]}
         out[d] = None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out

@@ -49,12 +49,12 @@ def test_line_dedup_of_few_long_lines(spark):
     assert 3 not in found and one not in found[1] and rest not in found[5] and half in found[6] and below in found[12]
 
 
-def test_quality_rules_do_not_scale_with_the_host(spark):
+def test_quality_rules_in_a_hot_host(spark):
     draw = random.Random(6)
     own = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(30))
     rows = [(i, f"{own()}\nread on here" if i < 21 else f"{own()}\nfew have this" if i < 41 else own(), "hot") for i in range(400)]
     found = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, documents(spark, rows).repartition(3), "").collect()}
-    expected = plain.quality([(d, h, t) for d, t, h in rows], line_percent=0)
+    expected = plain.quality([(d, h, t) for d, t, h in rows])
     assert found == {d: t.removesuffix("\nread on here") for d, t, _ in rows} and all(x[6] for x in expected.values())
     assert [d for d, x in expected.items() if x[-1]] == list(range(21))
 
