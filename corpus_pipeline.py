@@ -20,8 +20,6 @@ from glossaloom.llm.sentencepiece import Vocabulary, encode
 from glossaloom.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words from which a repeated run of fewer than three lines is cut out too.
-WHOLE = 50
 TOKENIZERS = os.environ.get("GLOSSALOOM_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -30,13 +28,13 @@ def _as_documents(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without lines that over 20 texts of their host hold, whatever its size."""
-    return _as_documents(judge(docs, line_percent=0, clean=True).where("kept"))
+    """Documents that pass the rules, without lines that over 20 and over 1 % of the texts of their host hold."""
+    return _as_documents(judge(docs, clean=True).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without later runs of repeated lines, of three lines or of WHOLE words; a document of which no word is left goes."""
-    return _as_documents(dedupe_lines(docs, whole=WHOLE).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    """Without later runs of repeated lines, of three lines or of 50 words; a document of which no word is left goes."""
+    return _as_documents(dedupe_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
