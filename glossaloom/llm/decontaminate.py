@@ -4,19 +4,31 @@ Items are cut into windows of ``size`` words (an item of fewer words is one
 window). A window is a set of ``shingle``-word shingles that a document has to
 contain whole, so by the prefix filter a window and a document that matches it
 share the first ``|W| - |W| + 1 = 1`` shingle of the window in any fixed order.
-The order is rarity: shingle counts over all documents come from a first pass.
-Documents are then joined on that one rarest shingle; the position bound (the
-window must fit into the document around the shingle) and the length bound
-(the document has enough words) drop what cannot match, and what is left is
-compared word by word over item-sized windows.
-
-Items are taken in blocks of at most ``block_chars`` characters; a block's
-windows are the only thing that is broadcast, so the broadcast stays bounded
-however large the benchmark is, and further blocks cost a further pass.
-
-Nulls and texts without words have no words and are never hit. Repeated items
-are each reported. Extra columns of ``docs`` pass through; a column whose name
-clashes with a result column is left out.
+The order is rarity. The steps:
+
+1. Distinct windows, each with the items that hold it. Items are told by the
+   set of those of a window, so that a document that holds many windows of one
+   item says so once.
+2. Shingles of all documents are counted in a table of ``2**BITS`` buckets, whose
+   size is fixed; each window gets its rarest shingle as its prefix.
+3. Documents emit the places whose shingle may be a prefix, by a sieve of bits
+   of bounded size, with the words around them. They are joined to the windows
+   by shingle; the length and positional bounds (the window has to fit around
+   the shingle) and then the words themselves decide.
+4. Hits meet by text, so copies of a text are one, and documents are joined to
+   the hits of their text. Texts without a hit are not moved.
+
+There is one way for any number of items. Keyed tables are written before they
+are joined, so that a hot shingle, or a text that is copied often, is dealt
+over several tasks by the adaptive skew join; neither windows, items nor counts
+of them are collected or broadcast.
+
+Null texts and texts without words have no words and are never hit. Texts of
+any length are handled whole. Rows are judged by their text alone, so rows that
+repeat an id, or have none, are judged like others. Items that repeat an id
+count once; one without an id makes hits and is not listed. Empty tables of
+documents or items give no rows or no hits. Extra columns pass through
+whatever their names; a column that is named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -25,192 +37,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import sieved, unused, written
 from .words import alphanumeric_words, blocks, lower_ascii, window_hashes
 
 SIZE = 13
 SHINGLE = 3
-BLOCK_CHARS = 16_000_000
-
-
-class Windows:
-    """Distinct windows of a block of items, by their length."""
-
-    def __init__(self, items: list[tuple], size: int, shingle: int):
-        #: window length -> word hashes (n, length)
-        self.words: dict[int, np.ndarray] = {}
-        self.items: dict[int, list[list[int]]] = {}
-        self.ids = [i for i, _ in items]
-        found: dict[int, dict[bytes, list[int]]] = {}
-        texts = pa.array([t for _, t in items], pa.string())
-        for block in blocks(texts, alphanumeric_words(), lower_ascii()):
-            hashes = block.hashes()
-            for row in range(block.last - block.first):
-                own = hashes[block.bounds[row] : block.bounds[row + 1]]
-                n = min(size, len(own))
-                for at in range(len(own) - n + 1) if n else ():
-                    holders = found.setdefault(n, {}).setdefault(own[at : at + n].tobytes(), [])
-                    if not holders or holders[-1] != block.first + row:
-                        holders.append(block.first + row)
-        for n, windows in found.items():
-            self.words[n] = np.frombuffer(b"".join(windows), np.uint64).reshape(-1, n)
-            self.items[n] = list(windows.values())
-        self.shingle = shingle
-
-    def shingles(self, n: int) -> np.ndarray:
-        """Hashes of the shingles of each window of length n, in place."""
-        k = min(self.shingle, n)
-        return np.stack([window_hashes(self.words[n][:, j : j + k].ravel(), k)[::k] for j in range(n - k + 1)], 1)
-
-    def universe(self) -> dict[int, np.ndarray]:
-        """Distinct shingles by their number of words."""
-        by: dict[int, list[np.ndarray]] = {}
-        for n in self.words:
-            by.setdefault(min(self.shingle, n), []).append(self.shingles(n).ravel())
-        return {k: np.unique(np.concatenate(v)) for k, v in by.items()}
-
-    def plan(self, counts: dict[tuple[int, int], int]) -> list[tuple]:
-        """For each window length: (n, k, prefix shingle sorted, offset, window) by rarity."""
-        out = []
-        for n in self.words:
-            k, s = min(self.shingle, n), self.shingles(n)
-            seen = np.vectorize(lambda h, k=k: counts.get((k, h), 0), otypes=[np.int64])(s.view(np.int64)) if s.size else np.zeros(s.shape, np.int64)
-            # ties by value, so that equal shingles are chosen alike in every window
-            offset = np.lexsort((s, seen), axis=1)[:, 0] if s.size else np.zeros(0, np.int64)
-            key = s[np.arange(len(s)), offset]
-            order = np.argsort(key, kind="stable")
-            out.append((n, k, key[order], offset[order], order))
-        return out
-
-
-def _found(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of values that are among the sorted keys, with the first and the end of the equal keys."""
-    if not len(keys) or not len(values):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    bits = 16
-    sieve = np.zeros(1 << bits, bool)
-    sieve[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
-    at = np.flatnonzero(sieve[(values >> np.uint64(64 - bits)).astype(np.int64)])
-    lo = np.searchsorted(keys, values[at], "left")
-    hi = np.searchsorted(keys, values[at], "right")
-    keep = hi > lo
-    return at[keep], lo[keep], hi[keep]
-
-
-def _count_shingles(universe: dict[int, np.ndarray]):
+BITS = 18
+#: The sieve has this many bits for each window, and this power of two at most.
+SIEVE_SHARE, SIEVE_BITS = 32, 24
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RESULT = ("n_words", "n_hit", "items", "hit_words", "contaminated")
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+
+
+def _windows(size: int):
+    """Rows (item, text) to (item, words): the windows of each item, by the hashes of their words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(len(v), np.int64) for k, v in universe.items()}
+        for batch in batches:
+            for block in blocks(batch.column(1), alphanumeric_words(), lower_ascii()):
+                hashes, counts = block.hashes().view(np.int64), block.counts()
+                n = np.minimum(counts, size)
+                many = np.where(n > 0, counts - n + 1, 0)
+                row = np.repeat(np.arange(len(counts)), many)
+                begin = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + block.bounds[row]
+                length = n[row]
+                at = np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block.first + row)), _lists(hashes[at], np.cumsum(length))], names=["item", "words"])
+
+    return run
+
+
+def _count_shingles(ks: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for block in blocks(batch.column(0), alphanumeric_words(), lower_ascii()):
                 hashes = block.hashes()
-                for k, keys in universe.items():
-                    _, lo, _ = _found(window_hashes(hashes, k), keys)
-                    total[k] += np.bincount(lo, minlength=len(keys))
-        for k, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(universe[k][some].view(np.int64)), pa.array(n[some])], names=["k", "shingle", "n"])
+                for k in ks:
+                    total += np.bincount((window_hashes(hashes, k) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
     return run
 
 
-def _match(block, plans: list[tuple], words: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each window length: n, first words of occurrences, windows found there."""
-    hashes = block.hashes()
-    rows = block.rows()
-    row_end = block.bounds[1:]
-    for n, k, keys, offset, window in plans:
-        at, lo, hi = _found(window_hashes(hashes, k), keys)
-        many = hi - lo
-        pos = np.repeat(at, many)
-        pick = np.arange(len(pos)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        row = rows[pos]
-        begin = pos - offset[pick]
-        # the window must fit around the shingle inside the same document
-        fits = (begin >= block.bounds[:-1][row]) & (begin + n <= row_end[row])
-        begin, pick = begin[fits], pick[fits]
-        w = window[pick]
-        same = np.ones(len(begin), bool)
-        for j in range(n):
-            same &= hashes[begin + j] == words[n][w, j]
-        yield n, begin[same], w[same]
-
-
-def _annotate(plans, words, items, ids, keep: list[str], text: str):
+def _prefixes(shingle: int, counts: np.ndarray):
+    """Adds to windows their rarest shingle (token) and its place (offset); ties by value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words = np.zeros(batch.num_rows, np.int64)
-            n_hit = np.zeros(batch.num_rows, np.int64)
-            held: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            spans: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for block in blocks(batch.column(text), alphanumeric_words(), lower_ascii()):
-                n_words[block.first : block.last] = block.counts()
-                edge = np.zeros(int(block.bounds[-1]) + 1, np.int64)
-                touched: dict[int, set[int]] = {}
-                rows = None
-                for n, begin, w in _match(block, plans, words):
-                    if not len(begin):
-                        continue
-                    rows = block.rows() if rows is None else rows
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + n, -1)
-                    pairs = np.unique(np.stack([rows[begin], w], 1), axis=0)
-                    for r, i in pairs.tolist():
-                        touched.setdefault(r, set()).update(items[n][i])
-                if touched:
-                    hit = np.cumsum(edge[:-1]) > 0
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    n_hit[block.first : block.last] = sums[block.bounds[1:]] - sums[block.bounds[:-1]]
-                    for r, found in touched.items():
-                        held[block.first + r] = sorted(str(ids[i]) for i in found)
-                        own = hit[block.bounds[r] : block.bounds[r + 1]]
-                        spans[block.first + r] = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(n_words), pa.array(n_hit), pa.array(held, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))],
-                names=[*keep, "n_words", "n_hit", "items", "hit_words"],
-            )
+            words = batch.column("words")
+            ends = words.offsets.to_numpy()
+            flat, lengths, begin = words.values.to_numpy().view(np.uint64), np.diff(ends), ends[:-1]
+            token, offset = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int32)
+            for n in np.unique(lengths).tolist():
+                of = np.flatnonzero(lengths == n)
+                k = min(shingle, n)
+                own = flat[begin[of][:, None] + np.arange(n)]
+                each = np.stack([window_hashes(own[:, j : j + k].ravel(), k)[::k] for j in range(n - k + 1)], 1)
+                first = np.lexsort((each, counts[(each >> np.uint64(64 - BITS)).astype(np.int64)]), axis=1)[:, 0]
+                token[of], offset[of] = each[np.arange(len(of)), first], first
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(token.view(np.int64)), pa.array(offset)], names=[*batch.schema.names, "token", "offset"])
 
     return run
 
 
-RESULT = ("n_words", "n_hit", "items", "hit_words", "contaminated")
+def _sieve(tokens: DataFrame, n: int) -> tuple[int, list[np.ndarray]]:
+    """Two tables of 2**bits bits, at most 2**SIEVE_BITS, in which the tokens are set; by different bits of them."""
+    bits = min(SIEVE_BITS, max(16, (SIEVE_SHARE * n).bit_length()))
+    tables = []
+    for k in (0, bits):
+        place = F.shiftrightunsigned(F.shiftleft("token", k), 64 - bits)
+        words = tokens.select(place.alias("p")).select(F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("one"))
+        found = words.groupBy("word").agg(F.bit_or("one").alias("ones")).toArrow()  # 2**(SIEVE_BITS - 6) rows at most
+        table = np.zeros((1 << bits) // 64, np.int64)
+        table[found["word"].to_numpy()] = found["ones"].to_numpy()
+        tables.append(table)
+    return bits, tables
+
 
+def _candidates(ks: list[int], size: int, bits: int, tables: list[np.ndarray]):
+    """Rows (ka, kb, text) to (ka, kb, token, pos, at, around): places that may hold a prefix, and the words around them from place pos - at."""
 
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null")
-    size = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) * 5 // (4 * block_chars)))
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieves = [np.unpackbits(t.view(np.uint8), bitorder="little").view(bool) for t in tables]
+        shift = np.uint64(64 - bits)
+        for batch in batches:
+            for block in blocks(batch.column(2), alphanumeric_words(), lower_ascii()):
+                hashes, row_of = block.hashes(), None
+                for k in ks:
+                    token = window_hashes(hashes, k)
+                    at = np.flatnonzero(sieves[0][(token >> shift).astype(np.int64)])
+                    at = at[sieves[1][((token[at] << np.uint64(bits)) >> shift).astype(np.int64)]]
+                    if not len(at):
+                        continue
+                    row_of = block.rows() if row_of is None else row_of
+                    row = row_of[at]
+                    inside = at + k <= block.bounds[1:][row]
+                    at, row = at[inside], row[inside]
+                    lo, hi = np.maximum(block.bounds[row], at - size + 1), np.minimum(block.bounds[row + 1], at + size)
+                    length = hi - lo
+                    place = np.repeat(lo, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                    rows = pa.array(block.first + row)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(token[at].view(np.int64)), pa.array((at - block.bounds[row]).astype(np.int32)), pa.array((at - lo).astype(np.int32)), _lists(hashes[place].view(np.int64), np.cumsum(length))],
+                        names=["ka", "kb", "token", "pos", "at", "around"],
+                    )
+
+    return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, min_percent: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ka, kb, spans) to (ka, kb, n_hit, hit_words): words inside any span, and the starts and ends of their runs."""
+    for batch in batches:
+        spans = batch.column("spans")
+        ends = spans.offsets.to_numpy()
+        begins, lengths = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+        n_hit, runs = [], []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            order = np.argsort(begins[a:b], kind="stable")
+            begin = begins[a:b][order]
+            end = np.maximum.accumulate(begin + lengths[a:b][order])
+            new = np.append(True, begin[1:] > end[:-1])
+            first, last = begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+            n_hit.append(int((last - first).sum()))
+            runs.append(np.stack([first, last], 1).ravel().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("ka"), batch.column("kb"), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=["ka", "kb", "n_hit", "hit_words"])
+
+
+def _two(c: Column | str) -> tuple[Column, Column]:
+    """Two independent hashes."""
+    return F.xxhash64(c), F.xxhash64(F.lit(1), c)
+
+
+def _hits(texts: DataFrame, windows: DataFrame, size: int, shingle: int) -> DataFrame | None:
+    """(ka, kb, n_hit, hit_words, items) of the texts (ka, kb, text) that hold windows (words, items)."""
+    sa, sb = _two("items")
+    windows = written(windows.select("words", "items", sa.alias("sa"), sb.alias("sb")), "windows")
+    told = windows.agg(F.count("*").alias("n"), F.collect_set(F.least(F.size("words"), F.lit(shingle))).alias("ks")).first()  # at most ``shingle`` numbers
+    if not told.n:
+        return None
+    ks = sorted(told.ks)
+    counts = np.zeros(1 << BITS, np.int64)
+    counted = texts.select("text").mapInArrow(_count_shingles(ks), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows at most
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    prefixed = written(windows.select("words", "sa", "sb").mapInArrow(_prefixes(shingle, counts), "words array<long>, sa long, sb long, token long, offset int"), "prefixes")
+    bits, tables = _sieve(prefixed, told.n)
+    places = texts.mapInArrow(_candidates(ks, size, bits, tables), "ka long, kb long, token long, pos int, at int, around array<long>")
+    met = places.join(prefixed.hint("merge"), "token").withColumn("from", F.col("at") - F.col("offset"))
+    fits = (F.col("from") >= 0) & (F.col("from") + F.size("words") <= F.size("around"))
+    same = F.when(fits, F.slice("around", F.greatest(F.col("from"), F.lit(0)) + 1, F.size("words")) == F.col("words")).otherwise(False)
+    found = met.where(same).select("ka", "kb", F.struct((F.col("pos") - F.col("offset")).alias("begin"), F.size("words").alias("n")).alias("span"), F.struct("sa", "sb").alias("set"))
+    by_text = written(found.groupBy("ka", "kb").agg(F.collect_set("span").alias("spans"), F.collect_set("set").alias("sets")), "spans")
+    sets = written(windows.groupBy("sa", "sb").agg(F.first("items").alias("items")), "sets")
+    each = by_text.select("ka", "kb", F.explode("sets").alias("s")).select("ka", "kb", "s.sa", "s.sb")
+    items = each.join(sets.hint("merge"), ["sa", "sb"]).groupBy("ka", "kb").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = by_text.select("ka", "kb", "spans").mapInArrow(_merge, "ka long, kb long, n_hit long, hit_words array<long>")
+    return written(merged.join(items.hint("merge"), ["ka", "kb"]), "hits")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, min_percent: int = 5) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside occurrences of item windows), items (ids as sorted
     strings), hit_words (starts and ends of the hit runs, in words) and contaminated (some word is
     hit and hits make up ``min_percent`` per cent of the words)."""
-    spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in RESULT]
-    results = []
-    for items in _item_blocks(benchmark, item_id, item_text, block_chars):
-        windows = Windows(items, size, shingle)
-        counted = docs.select(text).mapInArrow(_count_shingles(windows.universe()), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
-        counts = {(r.k, r.shingle): r.n for r in counted.collect()} if windows.words else {}  # at most the block's shingles
-        schema = T.StructType([docs.schema[c] for c in keep]).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("hit_words", T.ArrayType(T.LongType()))
-        results.append(docs.select(*keep).mapInArrow(_annotate(windows.plan(counts), windows.words, windows.items, windows.ids, keep, text), schema))
-    out = results[0]
-    if len(results) > 1:
-        # hits of each block of items meet by document; runs of hit words are merged by position
-        rows = None
-        for part in results:
-            part = part.select(id, "n_words", "items", "hit_words").where("n_hit > 0")
-            rows = part if rows is None else rows.unionByName(part)
-        runs = F.expr("transform(sequence(0, size(hit_words) - 1, 2), i -> struct(hit_words[i] as a, hit_words[i + 1] as b))")
-        flat = F.expr("sort_array(flatten(collect_list(runs)))")
-        met = rows.withColumn("runs", runs).groupBy(id).agg(flat.alias("runs"), F.expr("sort_array(flatten(collect_list(items)))").alias("items"))
-        met = met.withColumn("acc", F.expr("aggregate(runs, cast(array() as array<bigint>), (x, r) -> if(size(x) > 0 and x[size(x) - 1] >= r.a, concat(slice(x, 1, size(x) - 1), array(greatest(x[size(x) - 1], r.b))), concat(x, array(r.a, r.b))))"))
-        met = met.select(id, "items", F.col("acc").alias("hit_words"), F.expr("aggregate(transform(acc, (v, i) -> if(i % 2 = 0, -v, v)), 0L, (x, y) -> x + y)").alias("n_hit"))
-        none = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<bigint>)")
-        out = results[0].drop("n_hit", "items", "hit_words").join(met, id, "left").select(*keep, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none[0]).alias("items"), F.coalesce("hit_words", none[1]).alias("hit_words"))
+    a, b = _two(text)
+    texts = docs.where(F.col(text).isNotNull()).select(a.alias("ka"), b.alias("kb"), F.col(text).alias("text"))
+    of_items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).mapInArrow(_windows(size), "item string, words array<long>")
+    hits = _hits(texts, of_items.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")), size, shingle)
+    n_hit, items, hit_words = F.lit(0).cast("long"), F.array().cast("array<string>"), F.array().cast("array<long>")
+    rows = docs.select(*keep)
+    if hits is not None:
+        ka, kb, n, i, w = unused(keep, "ka", "kb", "n", "i", "w")
+        hits = hits.toDF(ka, kb, n, w, i)
+        some, others = sieved(rows, F.when(F.col(text).isNotNull(), a), hits, ka)
+        some = some.join(hits.hint("merge"), (a == hits[ka]) & (b == hits[kb]), "left").drop(ka, kb)
+        rows = some.unionByName(others.select("*", *(F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in (n, w, i))))
+        n_hit, items, hit_words = F.coalesce(n, n_hit), F.coalesce(i, items), F.coalesce(w, hit_words)
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    out = rows.select(*keep, n_words.alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), hit_words.alias("hit_words"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words")))

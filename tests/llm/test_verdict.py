@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossaloom.llm import line_dedup, shared
+from glossaloom.llm.decontaminate import decontaminate
 from glossaloom.llm.line_dedup import dedupe_lines
 from glossaloom.llm.quality import judge
 from tests.llm import plain
@@ -72,7 +73,7 @@ def test_line_dedup_of_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in found) == Counter([(1, ""), (1, ""), (2, ""), (None, lines), (3, None), (4, "")])
 
 
-@pytest.mark.parametrize("operator", [dedupe_lines, judge])
+@pytest.mark.parametrize("operator", [dedupe_lines, judge, lambda d: decontaminate(d, d.sparkSession.createDataFrame([(1, "a b c")], "item_id long, text string"))])
 def test_clashing_names(spark, operator):
     df = spark.createDataFrame([(1, "a b c\nd e\nf", "s"), (2, "a b c\nd e\nf", "s"), (None, None, None)], "doc_id long, text string, source string")
     found = operator(clashing(df))
@@ -92,3 +93,24 @@ def test_shared_tables_are_cleared(spark):
     assert kept.count() == 3 and shared.clear(spark) > 0
     with pytest.raises(Exception):  # noqa: B017
         kept.count()
+
+
+def test_decontamination_of_repeated_rows(spark):
+    draw = random.Random(5)
+    item = some_words(draw, 40)
+    items = [(5, item), (5, item), (5, item), (6, "two words"), (None, item[20:]), (7, some_words(draw, 12)), (8, item.split()[3])]
+    rows = [(None, item), (3, "only two words here"), (3, "nothing of it"), (None, f"{item} {item}"), (4, None), (4, ""), (4, ".,"), (1, item.upper()), (1, some_words(draw, 30))]
+    found = decontaminate(clashing(spark.createDataFrame(rows, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"))
+    assert kept_extras(spark, found)
+    expected = plain.contamination([(i, t) for i, (_, t) in enumerate(rows)], [(i, t) for i, t in items])
+    told = lambda d, x: (d, x[0], x[1], tuple(i for i in x[2] if i != "None"), x[3])
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in found.collect()) == Counter(told(rows[i][0], x) for i, x in expected.items())
+    assert decontaminate(spark.createDataFrame(rows[:1], "doc_id long, text string"), spark.createDataFrame([(None, item)], "item_id long, text string")).first()["items"] == []
+
+
+def test_decontamination_random(spark):
+    draw = random.Random(6)
+    say = lambda n: " ".join(draw.choice("abcde") for _ in range(n))
+    rows, items = [(i, say(draw.randint(0, 90))) for i in range(150)], [(i, say(draw.randint(0, 16))) for i in range(40)]
+    found = decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()} == plain.contamination(rows, items)
