@@ -7,28 +7,38 @@ link when ``100 * |A & B| >= percent * |A | B|``. The steps:
    (its size is fixed), which gives one order of all shingles, rare buckets
    first. Two sets that link share one of their first
    ``n - ceil(percent * n / 100) + 1`` shingles in that order.
-2. Equal sets are one from here on, known by a hash of the set; they are linked
-   whatever their number. Each set is put in the block of each of its first
-   shingles. Blocks of one set go; blocks of the same sets are one; and a block
-   goes when all its sets have their largest block in common, as that one holds
-   all its pairs.
+2. Equal sets are one from here on, known by two hashes of the set; they are
+   linked whatever their number. Each set is put in the block of each of its
+   first shingles. Blocks of one set go; blocks of the same sets are one; and a
+   block goes when all its sets have their largest block in common, as that one
+   holds all its pairs.
 3. In each block the sets, by size, are the leaves of a signature tree. A node
    holds the range of sizes and the OR (and AND) of token bitmaps. The tree is
    traversed against itself, and a pair of nodes is pruned when the sizes or
    the bitmaps bound the overlap below what a link needs. A first traversal,
-   over bitmaps alone, leaves out sets that no other can link with; texts are
-   then fetched for the rest only. The second also prunes pairs of nodes that
-   are known to be connected, and verifies exactly what is left.
-4. A block of more than ``BIG`` sets is cut into chunks, each compared inside
-   and with ``HUBS`` sets of the block. Whatever is not in the block's largest
-   component after that is compared with all chunks, so no link between
-   components is lost while a block of near copies takes one pass.
+   over bitmaps alone, leaves out sets that no other can link with; the sets
+   are then fetched for the rest only. The second also prunes pairs of nodes
+   that are known to be connected, and verifies exactly what is left.
+4. A block of more than ``BIG`` sets or ``BIG_SHINGLES`` shingles is cut into
+   chunks, each compared inside and with about ``HUBS`` sets of the block.
+   Whatever is not in the block's largest component after that is compared with
+   all chunks, so no link between components is lost while a block of near
+   copies takes one pass. So no task holds more than about that much.
 5. Links inside blocks are joined into components.
 
+A shingle of which the bucket holds more than one in ``HEAVY`` of all shingles
+may be in very many sets. Such shingles are counted by partial sums and joined
+to their sets; the others, whose number that bounds, are brought together by
+shingle. Keyed tables are written before they are joined and joined by sorting,
+so nothing that grows is broadcast, and a hot shingle or block is dealt over
+several tasks by the adaptive skew join.
+
 A text without words has an empty set and links with nothing; one of fewer
 words than ``size`` has its whole sequence as one shingle; nulls count as
-empty. Ids should be distinct; a row without one is left out here and kept by
-``keep_one``. Other columns are ignored here and pass through ``keep_one``.
+empty. Texts of any length are whole sets. Ids should be distinct; rows that
+repeat an id share the component. A row without an id links with nothing and
+has no component; ``keep_one`` keeps it. An empty table gives an empty one.
+Other columns are ignored here and pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -40,13 +50,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import components
-from .shared import sieved, written
+from .shared import sieved, unused, written
 from .words import blocks, lower_ascii, mix, white_space_words, window_hashes, window_starts
 
 SIZE = 4
 PERCENT = 85
 BITS = 18
 BIG = 2000
+BIG_SHINGLES = 4_000_000
+HEAVY = 4096
 HUBS = 32
 LEAF = 8
 SEEN = 200_000
@@ -80,38 +92,47 @@ def _count_buckets(size: int):
 
 
 def _sign(size: int, percent: int, counts: np.ndarray):
+    most = int(counts.sum()) // HEAVY
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for block in blocks(batch.column(1), white_space_words(), lower_ascii()):
-                sizes, keys, firsts, ends, bitmaps = [], [], [np.zeros(0, np.uint64)], [0], []
-                for own in _sets(block, size):
-                    n, key = len(own), _set_key(own)
-                    if n and key not in seen:  # what this task has told of an equal set holds for this one
+                sizes, keys, others, firsts, ends, light, bitmaps = [], [], [], [np.zeros(0, np.uint64)], [0], [], []
+                for own, known in zip(_sets(block, size), batch.column(0).slice(block.first, block.last - block.first).is_valid().to_pylist(), strict=True):
+                    n, (key, other) = len(own), _set_key(own)
+                    if n and known and (key, other) not in seen:  # what this task has told of an equal set holds for this one
                         if len(seen) >= SEEN:
                             seen = set()
-                        seen.add(key)
-                        order = np.lexsort((own, counts[(own >> np.uint64(64 - BITS)).astype(np.int64)]))
-                        firsts.append(own[order[: n - (percent * n + 99) // 100 + 1]])
-                        ends.append(ends[-1] + len(firsts[-1]))
+                        seen.add((key, other))
+                        held = counts[(own >> np.uint64(64 - BITS)).astype(np.int64)]
+                        order = np.lexsort((own, held))[: n - (percent * n + 99) // 100 + 1]
+                        firsts.append(own[order])
+                        ends.append(ends[-1] + len(order))
+                        light.append(int((held[order] <= most).sum()))
                         bitmaps.append(bitmap(own, width_for(n)).tobytes())
                     else:
                         ends.append(ends[-1])
+                        light.append(0)
                         bitmaps.append(None)
                     sizes.append(n)
                     keys.append(key)
+                    others.append(other)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64))), pa.array(bitmaps, pa.binary())],
-                    names=["id", "n", "key", "first", "bits"],
+                    [batch.column(0).slice(block.first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts).view(np.int64))), pa.array(light, pa.int32()), pa.array(bitmaps, pa.binary())],
+                    names=["id", "n", "key", "other", "first", "light", "bits"],
                 )
 
     return run
 
 
-def _set_key(own: np.ndarray) -> int:
-    """A hash of a set."""
-    total = mix(own).sum(dtype=np.uint64) if len(own) else np.uint64(0)
-    return int(mix(np.array([total + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
+def _set_key(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    if not len(own):
+        return 0, 0
+    n = np.uint64(len(own))
+    sums = np.array([mix(own).sum(dtype=np.uint64) + n, mix(own ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) ^ n], np.uint64)
+    return tuple(mix(sums).view(np.int64).tolist())
 
 
 def width_for(n: int) -> int:
@@ -253,14 +274,24 @@ def _by_group(answer: Callable[[pa.Table], pa.RecordBatch]):
     return run
 
 
-def _connect(size: int, percent: int):
-    """Links of rows (task, id, text)."""
+def _own_sets(size: int):
+    """Rows (id, text) to (id, own): the sorted shingles of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1), white_space_words(), lower_ascii()):
+                own = [x.tobytes() for x in _sets(block, size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(own)), pa.array(own, pa.binary())], names=["id", "own"])
+
+    return run
+
+
+def _connect(percent: int):
+    """Links of rows (task, id, own)."""
 
     def answer(rows: pa.Table) -> pa.RecordBatch:
         ids = rows["id"].to_numpy()
-        sets: list[np.ndarray] = []
-        for block in blocks(rows["text"].combine_chunks(), white_space_words(), lower_ascii()):
-            sets.extend(_sets(block, size))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["own"]]
         order = np.lexsort((ids, [len(s) for s in sets]))
         ids = ids[order]
         label = connected([sets[i] for i in order], percent)
@@ -281,95 +312,109 @@ def _promise(percent: int):
         order = np.argsort(n, kind="stable")
         bits = rows["bits"].to_pylist()
         told = order[promising(n[order], [bits[i] for i in order], percent)]
-        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[told]) for c in ("blk", "id")], names=["blk", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[told]) for c in ("blk", "id", "n")], names=["blk", "id", "n"])
 
     return _by_group(answer)
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of tasks (task, id) over the texts of their sets."""
+    """Links (a, b) of tasks (task, id) over the sets of their texts."""
     some, _ = sieved(texts, "id", members, "id")
-    rows = members.join(some, "id").select("task", "id", "text")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_connect(size, percent), "a long, b long")
+    rows = members.join(some.mapInArrow(_own_sets(size), "id long, own binary").hint("merge"), "id").select("task", "id", "own")
+    return rows.repartition(_partitions(rows), "task").sortWithinPartitions("task").mapInArrow(_connect(percent), "a long, b long")
 
 
 def _needed(members: DataFrame, name: str) -> DataFrame:
-    """Members (blk, name) with ``cnt``, without blocks whose sets all have their largest block in common."""
-    by = W.partitionBy("blk")
-    counted = members.withColumn("cnt", F.count("*").over(by))
-    top = counted.withColumn("top", F.max(F.struct("cnt", "blk")).over(W.partitionBy(name))["blk"])
-    told = top.withColumn("lo", F.min("top").over(by)).withColumn("hi", F.max("top").over(by))
-    return told.where("cnt > 1 and (lo <> hi or lo = blk)").drop("top", "lo", "hi")
+    """Members (blk, name, n) with ``cnt`` and ``all`` (their number and shingles), without blocks whose sets all have their largest block in common."""
+    sizes = written(members.groupBy("blk").agg(F.count("*").alias("cnt"), F.sum("n").alias("all")).where("cnt > 1"), "sizes")
+    counted = members.join(sizes.hint("merge"), "blk")
+    # a set is in as many blocks as it has first shingles at most
+    counted = written(counted.withColumn("top", F.max(F.struct("cnt", "blk")).over(W.partitionBy(name))["blk"]), "tops")
+    told = written(counted.groupBy("blk").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi or lo = blk").select("blk"), "told")
+    return counted.drop("top").join(told.hint("merge"), "blk", "left_semi")
 
 
 def _shared(signed: DataFrame, percent: int) -> DataFrame:
-    """(blk, key): sets that share a first shingle with another of a size that may link; blocks of the same sets are one."""
-    firsts = signed.select("key", "n", F.explode("first").alias("token"))
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = firsts.repartition(n, "token").dropDuplicates(["token", "key"])
+    """(blk, key, n): sets that share a first shingle with another of a size that may link; blocks of the same sets are one."""
+    mark = lambda key: (F.count("*"), F.sum(F.xxhash64(key) % F.lit(1 << 40)), F.bit_xor(F.xxhash64(key)))
+    blk = F.xxhash64("c", "x", "y").alias("blk")
+    signed = signed.where(F.size("first") > 0)
+    light = signed.select("key", "n", F.explode(F.slice("first", F.lit(1), F.col("light"))).alias("token"))
+    light = light.repartition(_partitions(signed), "token").dropDuplicates(["token", "key"])
     by = W.partitionBy("token")
     sized = by.orderBy("n")
-    near = firsts.withColumn("before", F.lag("n").over(sized)).withColumn("after", F.lead("n").over(sized))
+    near = light.withColumn("before", F.lag("n").over(sized)).withColumn("after", F.lead("n").over(sized))
     near = near.where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
-    met = near.select("key", F.count("*").over(by).alias("c"), F.sum(F.xxhash64("key") % F.lit(1 << 40)).over(by).alias("x"), F.bit_xor(F.xxhash64("key")).over(by).alias("y"))
-    return met.where("c > 1").select("key", F.xxhash64("c", "x", "y").alias("blk")).dropDuplicates(["blk", "key"])
+    met = near.select("key", "n", *(x.over(by).alias(a) for x, a in zip(mark("key"), "cxy", strict=True))).where("c > 1").select("key", "n", blk)
+    heavy = signed.where(F.size("first") > F.col("light")).select("key", "n", F.explode(F.expr("slice(first, light + 1, size(first))")).alias("token"))
+    heavy = written(heavy.dropDuplicates(["token", "key"]), "heavy")
+    marks = written(heavy.groupBy("token").agg(*(x.alias(a) for x, a in zip(mark("key"), "cxy", strict=True))).where("c > 1").select("token", blk), "marks")
+    return met.unionByName(heavy.join(marks.hint("merge"), "token").select("key", "n", "blk")).dropDuplicates(["blk", "key"])
 
 
-def _blocks_of(signed: DataFrame, least: DataFrame, percent: int) -> DataFrame:
-    """(blk, cnt, id): the sets of each block that is needed, by the smallest id that holds the set."""
+def _blocks_of(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(blk, cnt, all, id): the sets of each block that is needed, by the smallest id that holds the set."""
     met = written(_needed(_shared(signed, percent), "key"), "met")
     some, _ = sieved(signed.where(F.col("bits").isNotNull()), "key", met, "key")
-    bitmaps = some.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    met = met.join(least, "key").join(bitmaps, "key").withColumnRenamed("least", "id")
-    big = met.where(F.col("cnt") > BIG).select("blk", "id")
-    small = met.where(F.col("cnt") <= BIG).select("blk", "id", "n", "bits")
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = small.repartition(n, "blk").sortWithinPartitions("blk").mapInArrow(_promise(percent), "blk long, id long")
-    return _needed(small.unionByName(big), "id").select("blk", "cnt", "id")
+    bitmaps = some.groupBy("key", "other").agg(F.first("bits").alias("bits"))
+    met = met.join(sets.hint("merge"), "key").withColumnRenamed("least", "id")
+    big = (F.col("cnt") > BIG) | (F.col("all") > BIG_SHINGLES)
+    small = met.where(~big).join(bitmaps.hint("merge"), ["key", "other"]).select("blk", "id", "n", "bits")
+    small = small.repartition(_partitions(signed), "blk").sortWithinPartitions("blk").mapInArrow(_promise(percent), "blk long, id long, n long")
+    return _needed(written(small.unionByName(met.where(big).select("blk", "id", "n")), "promising"), "id").select("blk", "cnt", "all", "id")
 
 
 def join_classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): the size of each document's set and the smallest id that it reaches by links."""
-    docs = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     counts = np.zeros(1 << BITS, np.int64)
     counted = docs.select("text").mapInArrow(_count_buckets(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # 2**BITS rows at most
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    signed = written(docs.mapInArrow(_sign(size, percent, counts), "id long, n long, key long, first array<bigint>, bits binary"), "signatures")
-    least = written(signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least")), "sets")
-    needed = written(_blocks_of(signed, least, percent), "blocks")
-    small, big = needed.where(F.col("cnt") <= BIG), needed.where(F.col("cnt") > BIG)
+    signed = written(docs.mapInArrow(_sign(size, percent, counts), "id long, n long, key long, other long, first array<bigint>, light int, bits binary"), "signatures")
+    sets = written(signed.where("n > 0 and id is not null").groupBy("key", "other").agg(F.min("id").alias("least")), "sets")
+    needed = written(_blocks_of(signed, sets, percent), "blocks")
+    is_big = (F.col("cnt") > BIG) | (F.col("all") > BIG_SHINGLES)
+    small, big = needed.where(~is_big), needed.where(is_big)
     tasks = small.select(F.col("blk").alias("task"), "id")
     some_big = bool(big.head(1))
+    chunks = F.greatest(F.ceil(F.col("cnt") / BIG), F.ceil(F.col("all") / BIG_SHINGLES))
     if some_big:
-        chunks = F.ceil(F.col("cnt") / BIG)
         chunk = F.pmod(F.xxhash64("id"), chunks)
-        hubs = big.withColumn("r", F.row_number().over(W.partitionBy("blk").orderBy(F.xxhash64("id", F.lit(1)), "id"))).where(F.col("r") <= HUBS)
+        # about HUBS sets of each block, by hash
+        hubs = big.where(F.pmod(F.xxhash64("id", F.lit(1)), F.col("cnt")) < HUBS)
         spread = hubs.select("blk", "id", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c"))
         tasks = tasks.unionByName(big.select("blk", "id", chunk.alias("c")).unionByName(spread).distinct().select(F.xxhash64("blk", "c").alias("task"), "id"))
-    links = written(_links(tasks, docs, size, percent), "links")
+    links = written(_links(written(tasks, "tasks"), docs, size, percent), "links")
     roots = components(links)
     if some_big:
         # sets outside their block's largest component meet all chunks of the block
-        placed = big.join(roots, F.col("id") == F.col("node"), "left").select("blk", "cnt", "id", F.coalesce("root", "id").alias("root"))
+        placed = big.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("blk", "cnt", "all", "id", F.coalesce("root", "id").alias("root"))
+        placed = written(placed, "placed")
         parts = placed.groupBy("blk", "root").agg(F.count("*").alias("m"))
-        top = parts.groupBy("blk").agg(F.max(F.struct("m", "root")).alias("top")).select("blk", F.col("top.root").alias("top"))
-        rest = placed.join(top, "blk").where("root <> top")
-        groups = rest.groupBy("blk").agg(F.ceil(F.count("*") / BIG).alias("groups"))
-        rest = rest.join(groups, "blk").select("blk", "cnt", "id", "groups", F.pmod(F.xxhash64("id", F.lit(2)), F.col("groups")).alias("g"))
-        all_ = placed.join(groups, "blk").select("blk", "id", F.pmod(F.xxhash64("id"), chunks).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
+        top = written(parts.groupBy("blk").agg(F.max(F.struct("m", "root")).alias("top")).select("blk", F.col("top.root").alias("top")), "top")
+        rest = written(placed.join(top.hint("merge"), "blk").where("root <> top"), "rest")
+        groups = written(rest.groupBy("blk").agg(F.ceil(F.count("*") / BIG).alias("groups")), "groups")
+        rest = rest.join(groups.hint("merge"), "blk").select("blk", "cnt", "all", "id", "groups", F.pmod(F.xxhash64("id", F.lit(2)), F.col("groups")).alias("g"))
+        everyone = placed.join(groups.hint("merge"), "blk").select("blk", "id", F.pmod(F.xxhash64("id"), chunks).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"))
         other = rest.select("blk", "id", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("c"), "g")
-        again = all_.unionByName(other).distinct().select(F.xxhash64("blk", "c", "g").alias("task"), "id")
+        again = written(everyone.unionByName(other).distinct().select(F.xxhash64("blk", "c", "g").alias("task"), "id"), "again")
         roots = components(links.unionByName(_links(again, docs, size, percent)))
     # sets find their component first, so that documents are joined once, to a table by itself
-    found = written(least.join(roots, F.col("least") == F.col("node"), "left").select("key", F.coalesce("root", "least").alias("component")), "components")
-    placed = signed.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(found, "key", "left")
+    found = written(sets.join(roots.hint("merge"), F.col("least") == F.col("node"), "left").select("key", "other", F.coalesce("root", "least").alias("component")), "components")
+    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    placed = signed.select("id", "n", F.when(linked, F.col("key")).alias("key"), F.when(linked, F.col("other")).alias("other")).join(found.hint("merge"), ["key", "other"], "left")
     return placed.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with only the document of the smallest id of each component; rows without an id stay."""
     classes = join_classes(docs, id=id, text=text, size=size, percent=percent)
-    gone = classes.where(F.col(id) != F.col("component_id")).select(id)
-    return docs.join(gone, id, "left_anti")
+    of = unused(docs.columns, "of")[0]
+    gone = written(classes.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(of)), "gone")
+    some, others = sieved(docs, F.col(id).cast("long"), gone, of)
+    return some.join(gone.hint("merge"), some[id] == gone[of], "left_anti").unionByName(others)

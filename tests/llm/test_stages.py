@@ -73,9 +73,11 @@ def test_substring_dedup_hot_passages(docs, monkeypatch):
     assert found == plain.substring_dedup(pairs())
 
 
-@pytest.mark.parametrize("big", [2000, 6])
-def test_ngram_join(docs, monkeypatch, big):
+@pytest.mark.parametrize("big, shingles, heavy", [(2000, 4_000_000, 4096), (6, 4_000_000, 10**9), (2000, 400, 100)])
+def test_ngram_join(docs, monkeypatch, big, shingles, heavy):
     monkeypatch.setattr(ngram_join, "BIG", big)
+    monkeypatch.setattr(ngram_join, "BIG_SHINGLES", shingles)
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     monkeypatch.setattr(ngram_join, "HUBS", min(big // 2, 32))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in join_classes(docs).collect()}
     assert found == plain.ngram_classes(pairs())

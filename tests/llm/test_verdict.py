@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glossaloom.llm import line_dedup, shared
 from glossaloom.llm.decontaminate import decontaminate
 from glossaloom.llm.line_dedup import dedupe_lines
+from glossaloom.llm.ngram_join import join_classes, keep_one
 from glossaloom.llm.quality import judge
 from tests.llm import plain
 
@@ -114,3 +115,14 @@ def test_decontamination_random(spark):
     rows, items = [(i, say(draw.randint(0, 90))) for i in range(150)], [(i, say(draw.randint(0, 16))) for i in range(40)]
     found = decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in found.collect()} == plain.contamination(rows, items)
+
+
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    draw = random.Random(7)
+    one, other = some_words(draw, 60), some_words(draw, 60)
+    rows = [(None, one), (5, one), (5, one), (7, f"{one} more"), (9, other), (None, None), (3, ""), (4, f"{other} z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in join_classes(df).collect())
+    assert found == Counter([(None, 57, None), (5, 57, 5), (5, 57, 5), (7, 58, 5), (9, 57, 4), (None, 0, None), (3, 0, 3), (4, 58, 4)])
+    kept = keep_one(clashing(df))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([None, 5, 5, None, 3, 4]) and kept_extras(df, kept)
