@@ -6,10 +6,14 @@ on the input. The steps:
 
 1. Each window has a minimiser, the smallest hash of its ``GRAM``-word grams.
    Equal windows have equal minimisers, so a minimiser that one document alone
-   holds settles its windows. Minimisers are counted over all documents.
+   holds settles its windows. Minimisers are counted over all documents by
+   partial sums and joined back to those that may be shared.
 2. Windows with a shared minimiser are sent, as runs of words, to the shard of
    the minimiser. One that ``HOT`` documents or more hold would overload its
-   shard; its windows are dealt one by one, by their own hash.
+   shard; its windows are dealt one by one, by their own hash, and a copy that
+   documents share in thousands is one row for each of them. There is one shard
+   for each ``PER_SHARD`` holders counted in step 1, so shards keep their size
+   however large the corpus is.
 3. A shard indexes each distinct run once, with the smallest id that holds it:
    suffix order to ``size`` words, Burrows-Wheeler transform, and a wavelet
    matrix of packed bits. The runs are then streamed through backward search,
@@ -18,10 +22,16 @@ on the input. The steps:
    the smallest id inside them.
 4. Reported windows of larger ids are put together as runs of words by document.
 
-Only passages that pass step 1 are moved, and texts once more for the result.
+Only passages that pass step 1 are moved, and texts that lose something once
+more for the result. Keyed tables are written before they are joined, so that a
+hot minimiser is dealt over several tasks by the adaptive skew join.
 
-Null texts have no words. Ids should be distinct; rows that repeat an id do
-not count against each other. Extra columns pass through.
+Null and empty texts have no words. Texts of any length are handled whole, in
+memory that follows the longest one. Ids should be distinct; rows that repeat an
+id do not count against each other, and each loses what any of them loses. A
+row without an id loses nothing and counts against none. An empty table gives an
+empty one. Extra columns pass through whatever their names; a column that is
+named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -31,15 +41,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import sieved, written
+from .shared import sieved, unused, written
 from .words import blocks, mix, white_space_words, window_hashes, window_starts
 
 SIZE = 13
 GRAM = 4
 HOT = 1000
-SHARDS_PER_PARTITION = 8
+PER_SHARD = 1 << 13
 
 
 class WaveletMatrix:
@@ -88,7 +98,7 @@ class FmIndex:
             _, rank = np.unique(rank * (n + top + 2) + after, return_inverse=True)
             width *= 2
         #: Places in the order of the ``width`` symbols that follow; enough for searches to ``depth``.
-        self.order = np.argsort(rank, kind="stable")
+        self.order = np.argsort(rank, kind="stable").astype(np.int32)
         before = text[self.order - 1]
         before[self.order == 0] = 0
         self.wavelet = WaveletMatrix(before, top)
@@ -276,26 +286,27 @@ def _search_shards(size: int):
 
 def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(id, spans): runs of words (a, b), b exclusive, that also stand in documents of smaller id."""
-    spark = docs.sparkSession
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    by = W.partitionBy("key")
-    held = rows.mapInArrow(_held(size), "key long, id long")
-    held = held.select("key", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.count("*").over(by).alias("n"))
-    wanted = held.where("lo < hi").groupBy("id").agg(F.collect_set(F.struct("key", (F.col("n") >= HOT).alias("hot"))).alias("keys"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = partitions * SHARDS_PER_PARTITION
-    runs = rows.join(wanted, "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, places array<int>, run binary")
+    held = written(rows.mapInArrow(_held(size), "key long, id long"), "minimisers")
+    keys = held.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    keys = written(keys.select("key", "n"), "keys")
+    shards = max(1, (keys.agg(F.sum("n")).first()[0] or 0) // PER_SHARD)
+    some, _ = sieved(held, "key", keys, "key")
+    shared = some.join(keys.hint("merge"), "key")
+    wanted = shared.groupBy("id").agg(F.collect_set(F.struct("key", (F.col("n") >= HOT).alias("hot"))).alias("keys"))
+    runs = rows.join(wanted.hint("merge"), "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, places array<int>, run binary")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartition(partitions, "shard").sortWithinPartitions("shard")
     found = dealt.mapInArrow(_search_shards(size), "id long, a int, b int")
     return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
-def _cut(keep: list[str], digest: bool):
+def _cut(keep: list[str], text: str, lost: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("_spans").to_pylist()
+            spans = batch.column(lost).to_pylist()
             n_words, n_removed, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-            column = batch.column("_text")
+            column = batch.column(text)
             for block in blocks(column, white_space_words()):
                 data = block.data.tobytes()
                 n_words[block.first : block.last] = block.counts()
@@ -318,11 +329,12 @@ def dedupe_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text"
     with ``digest``, kept_sha256 in its place."""
     result = "kept_sha256" if digest else "kept"
     keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", result)]
-    spans = written(repeated_spans(docs, id=id, text=text, size=size).select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), "spans")
+    of, lost = unused(docs.columns, "of", "lost")
+    spans = written(repeated_spans(docs, id=id, text=text, size=size), "spans").toDF(of, lost)
     schema = T.StructType([docs.schema[c] for c in keep]).add("n_words", "long").add("n_removed", "long").add(result, "string")
     # texts that keep all their words are not moved
-    some, others = sieved(docs.select(*keep, F.col(text).alias("_text"), *([] if id in keep else [id])), id, spans, "_id")
-    some = some.join(spans, some[id] == spans["_id"], "left").select(*(some[c] for c in keep), "_text", "_spans")
-    others = others.select(*keep, "_text", F.lit(None).cast(spans.schema["_spans"].dataType).alias("_spans"))
-    cut = _cut(keep, digest)
+    some, others = sieved(docs, F.col(id).cast("long"), spans, of)
+    some = some.join(spans.hint("merge"), some[id] == spans[of], "left").select(*(some[c] for c in keep), text, lost)
+    others = others.select(*keep, text, F.lit(None).cast(spans.schema[lost].dataType).alias(lost))
+    cut = _cut(keep, text, lost, digest)
     return some.mapInArrow(cut, schema).unionByName(others.mapInArrow(cut, schema))

@@ -11,6 +11,7 @@ from glossaloom.llm.decontaminate import decontaminate
 from glossaloom.llm.line_dedup import dedupe_lines
 from glossaloom.llm.ngram_join import join_classes, keep_one
 from glossaloom.llm.quality import judge
+from glossaloom.llm.substring_dedup import dedupe_substrings
 from tests.llm import plain
 
 CLASHES = "bit at word ones may own of lost h body gone lines id key n no text_ spans ka kb _bit _spans _gone _removed _h _text".split()
@@ -126,3 +127,14 @@ def test_ngram_join_of_repeated_and_null_ids(spark):
     assert found == Counter([(None, 57, None), (5, 57, 5), (5, 57, 5), (7, 58, 5), (9, 57, 4), (None, 0, None), (3, 0, 3), (4, 58, 4)])
     kept = keep_one(clashing(df))
     assert Counter(r.doc_id for r in kept.collect()) == Counter([None, 5, 5, None, 3, 4]) and kept_extras(df, kept)
+
+
+def test_substring_dedup_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr("glossaloom.llm.substring_dedup.PER_SHARD", 2)
+    draw = random.Random(8)
+    one, own = some_words(draw, 30), some_words(draw, 5)
+    rows = [(None, one), (5, one), (5, one), (7, f"{own} {one}"), (8, None), (9, ""), (4, some_words(draw, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dedupe_substrings(clashing(df))
+    assert kept_extras(df, found)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()) == Counter([(None, 30, 0, one), (5, 30, 0, one), (5, 30, 0, one), (7, 35, 30, own), (8, 0, 0, ""), (9, 0, 0, ""), (4, 20, 0, rows[-1][1])])
