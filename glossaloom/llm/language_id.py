@@ -14,12 +14,17 @@ For each row, log probabilities of every language are added up:
   level above, and the last by a uniform prior. A row's own share is left out.
 
 Trigram counts are fitted on a sample of at most ``fit_rows`` labelled rows,
-those of the smallest hash of their text. The host counts cover all rows. They
-are kept as one row for each host and joined by host.
+those of the smallest hash of all their columns, which is found from counts
+alone. The host counts cover all rows. They are kept as one row for each host,
+written, and joined by host; a hot host is dealt over several tasks by the
+adaptive skew join.
 
 Null and empty texts have no text evidence and get what the rest says; a row
-without a host shares the prior of all rows. Ties go to the language that
-comes first by name. Extra columns pass through; clashing ones are replaced.
+without a host shares the prior of all rows. Texts of any length are read
+whole, in blocks. Ties go to the language that comes first by name. Rows are
+told apart by nothing but what they hold, so repeated rows get the same result,
+each less its own share. Empty tables give empty ones. Extra columns pass
+through whatever their names; a column that is named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import written
+from glossaloom.functions.hashes import smallest
+
+from .shared import unused, written
 from .words import lower_ascii, text_bytes
 
 BUCKETS = 1 << 16
@@ -47,8 +54,11 @@ COUNTRY = {"de": "de", "at": "de", "ch": "de", "li": "de", "fr": "fr", "be": "fr
 #: Second-level suffixes under which domains are registered.
 SECOND_LEVEL = frozenset("co com org net ac gov edu".split())
 
-_INVISIBLE = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+# what is left open ends with the text, and a tag ends where another begins, so that no text is read twice
+_INVISIBLE = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>?", re.S | re.I)
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: Working columns, one struct for each row.
+_OWN = "glossaloom evidence"
 _BLOCK = 2_000_000
 
 
@@ -113,7 +123,9 @@ class TextModel:
 
 def fit(labelled: DataFrame, *, text: str = "text", language: str = "lang", fit_rows: int = FIT_ROWS) -> TextModel:
     """Fit trigram counts on at most ``fit_rows`` labelled rows."""
-    sample = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).orderBy("h", "l").limit(fit_rows)
+    labelled = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull())
+    chosen = labelled.where(smallest(labelled, F.xxhash64(*labelled.columns), fit_rows))
+    sample = chosen.select(F.col(language).alias("l"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -127,7 +139,7 @@ def fit(labelled: DataFrame, *, text: str = "text", language: str = "lang", fit_
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["l", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    for row in sample.select("l", "t").mapInArrow(count, "l string, n binary").collect():  # one array of fixed size for each language
+    for row in sample.mapInArrow(count, "l string, n binary").collect():  # one array of fixed size for each language
         counts[row.l] = counts.get(row.l, 0) + np.frombuffer(row.n, "<i8")
     languages = sorted(counts) or ["und"]
     return TextModel(languages, np.stack([counts[k] for k in languages]) if counts else np.zeros((1, BUCKETS)))
@@ -146,14 +158,14 @@ def _evidence(model: TextModel, keep: list[str], is_html: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column(len(keep))
             if is_html:
                 raw = column.to_pylist()
                 column = pa.array([visible_text(x) for x in raw], pa.string())
                 declared = [declared_language(x) for x in raw]
             else:
                 declared = [None] * batch.num_rows
-            levels = [host_levels(h) for h in batch.column("_host").to_pylist()]
+            levels = [host_levels(h) for h in batch.column(len(keep) + 1).to_pylist()]
             total = model.scores(column)
             for i, (name, level) in enumerate(zip(declared, levels, strict=True)):
                 if name:
@@ -163,10 +175,9 @@ def _evidence(model: TextModel, keep: list[str], is_html: bool):
             own = np.exp(total - total.max(1, keepdims=True)) if len(total) else total
             own = own / own.sum(1, keepdims=True) if len(own) else own
             flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(languages), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array([x[j] for x in levels], pa.string()) for j in range(3)), flat(total), flat(np.round(own, 6))],
-                names=[*keep, "_h", "_d", "_s", "_e", "_own"],
-            )
+            parts = [*(pa.array([x[j] for x in levels], pa.string()) for j in range(3)), flat(total), flat(np.round(own, 6))]
+            own_ = pa.StructArray.from_arrays(parts, names=list("hdseo"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), own_], names=[*keep, _OWN])
 
     return run
 
@@ -174,32 +185,41 @@ def _evidence(model: TextModel, keep: list[str], is_html: bool):
 def evidence(rows: DataFrame, model: TextModel, *, text: str, host: str, is_html: bool = False) -> DataFrame:
     """``rows`` (without text and host) with their levels, evidence and expected languages, for ``fuse``."""
     keep = [c for c in rows.columns if c not in (text, host, "language", "confidence")]
-    schema = T.StructType([rows.schema[c] for c in keep])
-    for c in ("_h", "_d", "_s"):
-        schema = schema.add(c, "string")
-    schema = schema.add("_e", T.ArrayType(T.DoubleType())).add("_own", T.ArrayType(T.DoubleType()))
-    given = rows.select(*keep, F.col(text).alias("_text"), F.col(host).cast("string").alias("_host"))
+    lists = T.ArrayType(T.DoubleType())
+    own = T.StructType().add("h", "string").add("d", "string").add("s", "string").add("e", lists).add("o", lists)
+    schema = T.StructType([rows.schema[c] for c in keep]).add(_OWN, own)
+    given, read = unused(keep, "text", "host")
+    given = rows.select(*keep, F.col(text).alias(given), F.col(host).cast("string").alias(read))
     return given.mapInArrow(_evidence(model, keep, is_html), schema)
 
 
+def _host_priors(shares: DataFrame, n: int) -> DataFrame:
+    """(h, hn, dn, sn, gn): expected counts of each language by host, domain, suffix and in all, one row for each host."""
+    # sums of rounded shares as whole numbers do not depend on the order of rows
+    host = written(shares.groupBy("h", "d", "s").agg(*(F.sum(F.round(F.col("o")[k] * 1_000_000).cast("long")).alias(f"h{k}") for k in range(n))), "hosts")
+    sums = lambda by, name: host.groupBy(*by).agg(*(F.sum(f"h{k}").alias(f"{name}{k}") for k in range(n)))
+    domains, suffixes = written(sums(["d", "s"], "d"), "domains"), written(sums(["s"], "s"), "suffixes")
+    levels = host.join(domains.hint("merge"), ["d", "s"]).join(suffixes.hint("merge"), "s").crossJoin(F.broadcast(sums([], "g")))  # one row
+    return written(levels.select("h", *(F.array(*(F.col(f"{x}{k}") / 1e6 for k in range(n))).alias(f"{x}n") for x in "hdsg")), "priors")
+
+
 def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
     """Add the host prior; gives language and confidence."""
     n = len(model.languages)
     rows = written(rows, "evidence")
-    # sums of rounded shares as whole numbers do not depend on the order of rows
-    host = rows.groupBy("_h", "_d", "_s").agg(*(F.sum(F.round(F.col("_own")[k] * 1_000_000).cast("long")).alias(f"h{k}") for k in range(n)))
-    sums = lambda df, by, name: df.groupBy(*by).agg(*(F.sum(f"h{k}").alias(f"{name}{k}") for k in range(n)))
-    levels = host.join(sums(host, ["_d", "_s"], "d"), ["_d", "_s"]).join(sums(host, ["_s"], "s"), "_s").crossJoin(F.broadcast(sums(host, [], "g")))  # one row
-    levels = levels.select("_h", *(F.array(*(F.col(f"{x}{k}") / 1e6 for k in range(n))).alias(f"_{x}n") for x in "hdsg"))
-    rows = rows.join(levels, "_h")
-    prior = F.transform(F.col("_own"), lambda x: F.lit(1.0 / n))
+    keep = [c for c in rows.columns if c not in (_OWN, "language", "confidence")]
+    shares = rows.select(f"`{_OWN}`.*")
+    levels = _host_priors(shares, n)
+    met = rows.select(F.struct(*keep).alias("row") if keep else F.lit(None).alias("row"), F.col(f"`{_OWN}`").alias("own")).withColumn("h", F.col("own.h"))
+    met = met.join(levels.hint("merge"), "h")
+    prior = F.transform(F.col("own.o"), lambda x: F.lit(1.0 / n))
     for x in "gsdh":
-        left = F.zip_with(f"_{x}n", "_own", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        rows = rows.withColumn("_left", left).withColumn("_all", F.aggregate("_left", F.lit(0.0), lambda a, b: a + b))
-        rows = rows.withColumn("_prior", F.zip_with("_left", prior, lambda a, p: (a + SMOOTHING * p) / (F.col("_all") + SMOOTHING)))
-        prior = F.col("_prior")
-    rows = rows.withColumn("_total", F.zip_with("_e", "_prior", lambda e, p: e + F.log(p)))
-    rows = rows.withColumn("_best", F.array_max("_total"))
-    rows = rows.withColumn("language", F.get(F.array(*map(F.lit, model.languages)), (F.array_position("_total", F.col("_best")) - 1).cast("int")))
-    rows = rows.withColumn("confidence", F.round(1 / F.aggregate(F.transform("_total", lambda x: F.exp(x - F.col("_best"))), F.lit(0.0), lambda a, b: a + b), 4))
-    return rows.drop(*(c for c in rows.columns if c.startswith("_")))
+        left = F.zip_with(f"{x}n", "own.o", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        met = met.withColumn("left", left).withColumn("all", F.aggregate("left", F.lit(0.0), lambda a, b: a + b))
+        met = met.withColumn("prior", F.zip_with("left", prior, lambda a, p: (a + SMOOTHING * p) / (F.col("all") + SMOOTHING)))
+        prior = F.col("prior")
+    met = met.withColumn("total", F.zip_with("own.e", "prior", lambda e, p: e + F.log(p)))
+    met = met.withColumn("best", F.array_max("total"))
+    language = F.get(F.array(*map(F.lit, model.languages)), (F.array_position("total", F.col("best")) - 1).cast("int"))
+    confidence = F.round(1 / F.aggregate(F.transform("total", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, b: a + b), 4)
+    return met.select(*(F.col("row").getField(c).alias(c) for c in keep), language.alias("language"), confidence.alias("confidence"))

@@ -1,13 +1,16 @@
 """Awkward tables: repeated and null ids, clashing names, very long texts, empty tables."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from glossaloom.functions.hashes import smallest
 from glossaloom.llm import line_dedup, shared
 from glossaloom.llm.decontaminate import decontaminate
+from glossaloom.llm.language_id import declared_language, evidence, fit, fuse, visible_text
 from glossaloom.llm.line_dedup import dedupe_lines
 from glossaloom.llm.ngram_join import join_classes, keep_one
 from glossaloom.llm.quality import judge
@@ -138,3 +141,31 @@ def test_substring_dedup_of_repeated_and_null_ids(spark, monkeypatch):
     found = dedupe_substrings(clashing(df))
     assert kept_extras(df, found)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()) == Counter([(None, 30, 0, one), (5, 30, 0, one), (5, 30, 0, one), (7, 35, 30, own), (8, 0, 0, ""), (9, 0, 0, ""), (4, 20, 0, rows[-1][1])])
+
+
+def test_language_of_awkward_tables(spark):
+    rows = [(1, "the and of that with this " * 5, "a.com"), (1, "the and of that with this " * 5, "a.com"), (None, None, None), (2, "der die und das nicht mit " * 5, "a.com")]
+    labelled = spark.createDataFrame([(t, k) for _, t, _ in rows[:2] for k in ["en"]] + [(rows[3][1], "de")] + [(None, "de"), ("x", None)], "text string, lang string")
+    model = fit(labelled)
+    assert model.languages == ["de", "en"]
+    given = clashing(spark.createDataFrame(rows, "doc_id long, text string, host string"))
+    found = fuse(evidence(given, model, text="text", host="host"), model)
+    assert kept_extras(given, found.withColumns({c: F.lit(f"x{c}") for c in CLASHES if c not in found.columns}))
+    assert Counter((r.doc_id, r.language) for r in found.collect()) == Counter([(1, "en"), (1, "en"), (None, "en"), (2, "de")])
+    assert [c for c in given.columns if c not in found.columns] == ["text", "host"]
+    none = fit(labelled.limit(0))
+    assert [r.language for r in fuse(evidence(given, none, text="text", host="host"), none).collect()] == ["und"] * 4
+
+
+def test_language_sample_is_bounded(spark):
+    rows = spark.range(500).select("id", F.concat(F.lit("some text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    assert fit(rows, fit_rows=40).log.shape == (1, 1 << 16)
+    chosen = rows.where(smallest(rows, F.xxhash64(*rows.columns), 40))
+    assert chosen.count() == 40
+
+
+def test_language_of_open_markup():
+    for text in ("<script>" * 40_000, "<!--" * 80_000, "<a " * 350_000, "<html " * 150_000):
+        started = time.process_time()
+        assert "<" not in visible_text(text) and declared_language(text) is None
+        assert time.process_time() - started < 5
