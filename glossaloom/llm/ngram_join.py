@@ -358,7 +358,7 @@ def _shared(signed: DataFrame, percent: int) -> DataFrame:
 
 def _blocks_of(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(blk, cnt, all, id): the sets of each block that is needed, by the smallest id that holds the set."""
-    met = written(_needed(_shared(signed, percent), "key"), "met")
+    met = written(_needed(written(_shared(signed, percent), "shared"), "key"), "met")
     some, _ = sieved(signed.where(F.col("bits").isNotNull()), "key", met, "key")
     bitmaps = some.groupBy("key", "other").agg(F.first("bits").alias("bits"))
     met = met.join(sets.hint("merge"), "key").withColumnRenamed("least", "id")
