@@ -2,23 +2,33 @@
 
 Labelled credentials of each format are put in a prefix tree over character
 classes, and statistically compatible states are merged (red and blue states,
-Hoeffding bound ``alpha``) into a probabilistic automaton. The background is a
-chain over the same classes, from class pairs counted over all documents.
-Every candidate (a run of credential characters that no fixed pattern covers)
-is scored by its best format's log likelihood against the background, per
-character; those above ``threshold`` whose end the automaton accepts become
-spans named by their format. Parts of a run are candidates too: from its start,
-from after each mark in it and from each place where a format's prefix stands,
-to the run's end or to a mark, and of a length that the labelled ones have. Where a prefix matches, letters or digits alone
-will do; other candidates have both. Of candidates that overlap the first in
-the text stays, of those the longest; those with a prefix come before others.
+Hoeffding bound ``alpha``, the nearest first) into a probabilistic automaton; a
+state that one character always follows is like no other, and the start is
+never merged. Each transition also
+keeps how often every character was seen on it, so what a format always says
+in one place (such as its first letters) makes other strings unlikely there;
+there is no separate test for a prefix. The background is a chain over the same
+classes, from class pairs counted over all documents, with the characters of a
+class alike.
+
+Candidates are runs of credential characters, and parts of them: from the start
+of a run, from after each mark in it (such as ``=``, ``/``, ``_`` or ``.``) and
+from where the letters change from small to capital or digits, to the run's end
+or a mark. Every candidate is scored under every format, by its log likelihood
+against the background. One that gains more than ``threshold`` per character and
+``least_gain`` in all, and whose end the automaton accepts, becomes a span named
+by its format. Of spans that overlap, the one that gains most is taken; of equal
+ones the first, then the longest, then the first by name.
 
 The default labelled credentials are made from public formats by a seeded
 generator (``labelled_credentials``); ``train`` takes any others.
 
-The fixed patterns are matched first and always stay. Positions are code
-points, ends exclusive. Null texts are empty. Rows are independent; extra
-columns pass through, clashing ones are replaced.
+The fixed patterns are matched first and always stay; learned spans do not
+overlap them. Positions are code points, ends exclusive. Null texts are empty.
+Texts of any length are handled whole; a part is given up as soon as it is much
+less likely than the background, and has the length of labelled ones, so a run without spaces costs as much as its length. Rows are independent,
+so repeated rows have equal results and an empty table gives an empty one.
+Extra columns pass through whatever their names; ``secrets`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +36,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +50,68 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run that is long enough starts where it starts
 LEAST = 16
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
-MARK = re.compile(r"[+/_=-]+")
+MARK = re.compile(r"[+/_=.~-]")
+#: Where a part may start inside a run: after a mark, or where small letters end.
+START = re.compile(r"(?<=[+/_=.~-])|(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z0-9])(?=[a-z])")
+_GROUPS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "_", "-", "+/", "=", ".~")
 #: Classes of characters: 0 is the end, 1 anything else.
-CLASSES = {c: i + 2 for i, group in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "_", "-", "+/", "=")) for c in group}
-N_CLASSES = 11
-
-# Public formats of credentials, as (name, prefix, parts of the rest by alphabet, least and most length).
+CLASSES = {c: i + 2 for i, group in enumerate(_GROUPS) for c in group}
+N_CLASSES = 2 + len(_GROUPS)
+#: Log probability of a character in its class, all alike.
+ALIKE = {c: -math.log(len(group)) for group in _GROUPS for c in group}
+#: A part is given up when it is this much less likely than the background.
+HOPELESS = -12.0
+UNSEEN = math.log(1e-4)
+
+# Public formats of credentials, as (name, parts: a text that stands there, or an alphabet with the least and most length).
 HEXADECIMAL = "0123456789abcdef"
+DIGITS = "0123456789"
+SMALL = "abcdefghijklmnopqrstuvwxyz0123456789"
+CAPITAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+URL_SAFE = ALPHANUMERIC + "-_"
 FORMATS = (
-    ("source_host_token", "ghp_", ((ALPHANUMERIC, 36, 36),)),
-    ("payment_key", "sk_live_", ((ALPHANUMERIC, 24, 32),)),
-    ("chat_token", "xoxb-", (("0123456789", 11, 13), ("-", 1, 1), ("0123456789", 11, 13), ("-", 1, 1), (ALPHANUMERIC, 24, 24))),
-    ("chat_token", "xoxb-", (("0123456789", 11, 13),)),
-    ("package_token", "npm_", ((ALPHANUMERIC, 36, 36),)),
-    ("secret_key", "", ((ALPHANUMERIC + "+/", 40, 40),)),
-    ("web_key", "AIza", ((ALPHANUMERIC + "-_", 35, 35),)),
+    ("source_host_token", ("ghp_", (ALPHANUMERIC, 36, 36))),
+    ("source_host_token", ("gho_", (ALPHANUMERIC, 36, 36))),
+    ("source_host_token", ("ghs_", (ALPHANUMERIC, 36, 36))),
+    ("source_host_token", ("ghu_", (ALPHANUMERIC, 36, 36))),
+    ("source_host_token", ("ghr_", (ALPHANUMERIC, 36, 36))),
+    ("fine_grained_token", ("github_pat_", (ALPHANUMERIC, 22, 22), "_", (ALPHANUMERIC, 59, 59))),
+    ("forge_token", ("glpat-", (URL_SAFE, 20, 20))),
+    ("payment_key", ("sk_live_", (ALPHANUMERIC, 24, 34))),
+    ("payment_key", ("sk_test_", (ALPHANUMERIC, 24, 34))),
+    ("payment_key", ("rk_live_", (ALPHANUMERIC, 24, 34))),
+    ("model_key", ("sk-", (ALPHANUMERIC, 48, 48))),
+    ("project_key", ("sk-proj-", (ALPHANUMERIC, 48, 48))),
+    ("chat_token", ("xoxb-", (DIGITS, 10, 13), "-", (DIGITS, 10, 13), "-", (ALPHANUMERIC, 24, 24))),
+    ("user_chat_token", ("xoxp-", (DIGITS, 10, 13), "-", (DIGITS, 10, 13), "-", (DIGITS, 10, 13), "-", (HEXADECIMAL, 32, 32))),
+    ("chat_token", ("xoxb-", (DIGITS, 11, 13))),
+    ("package_token", ("npm_", (ALPHANUMERIC, 36, 36))),
+    ("index_token", ("pypi-AgEIcHlwaS5vcmc", (URL_SAFE, 70, 120))),
+    ("mail_key", ("SG.", (URL_SAFE, 22, 22), ".", (URL_SAFE, 43, 43))),
+    ("shop_token", ("shpat_", (HEXADECIMAL, 32, 32))),
+    ("cloud_token", ("dop_v1_", (HEXADECIMAL, 64, 64))),
+    ("hub_token", ("hf_", (ALPHANUMERIC, 34, 34))),
+    ("web_key", ("AIza", (URL_SAFE, 35, 35))),
+    ("web_token", ("eyJ", (ALPHANUMERIC, 17, 60), ".eyJ", (URL_SAFE, 20, 200), ".", (URL_SAFE, 43, 86))),
+    ("secret_key", ((ALPHANUMERIC + "+/", 40, 40),)),
 )
-PER_FORMAT = 300
+PER_FORMAT = 200
+#: Gain per character above which a candidate of ``scan`` is a secret.
+THRESHOLD = 1.0
 
 
 def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 7) -> dict[str, list[str]]:
     """Credentials of each public format."""
     draw = random.Random(seed)
+    say = lambda part: part if isinstance(part, str) else "".join(draw.choices(part[0], k=draw.randint(*part[1:])))
     out: dict[str, list[str]] = {}
-    for name, prefix, parts in FORMATS:
-        out.setdefault(name, []).extend(prefix + "".join("".join(draw.choices(alphabet, k=draw.randint(least, most))) for alphabet, least, most in parts) for _ in range(per_format))
+    for name, parts in FORMATS:
+        out.setdefault(name, []).extend("".join(map(say, parts)) for _ in range(per_format))
     return out
 
 
@@ -76,58 +120,77 @@ def _classes(text: str) -> list[int]:
 
 
 class Automaton:
-    """A probabilistic automaton: next state and log probability by state and class."""
+    """A probabilistic automaton: next state and log probability by state and character."""
 
     def __init__(self, credentials: list[str], alpha: float = 0.01):
-        #: a node is [ends, {class: [node, count]}]
+        #: a node is [ends, {class: [node, count, {character: count}]}]
         root: list = [0, {}]
         for text in sorted(credentials):
             node = root
-            for c in _classes(text):
-                step = node[1].setdefault(c, [[0, {}], 0])
+            for c, k in zip(text, _classes(text), strict=True):
+                step = node[1].setdefault(k, [[0, {}], 0, {}])
                 step[1] += 1
+                step[2][c] = step[2].get(c, 0) + 1
                 node = step[0]
             node[0] += 1
-        self.alpha = math.sqrt(0.5 * math.log(2 / alpha))
-        red, blue = [root], [(root, c) for c in sorted(root[1])]
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        red = [root]
+        known = {id(root)}
+        blue = [(root, k) for k in sorted(root[1])]
         while blue:
-            parent, c = blue.pop(0)
-            if c not in parent[1]:
-                continue
-            node = parent[1][c][0]
-            if any(node is r for r in red):
+            parent, k = blue.pop(0)
+            node = parent[1][k][0]
+            if id(node) in known:
                 continue
-            for r in red:
-                if self._compatible(r, node):
-                    parent[1][c][0] = r
-                    self._fold(r, node)
-                    break
+            like = [r for r in red[1:] if self._literal(r) == self._literal(node) and self._compatible(r, node)]
+            if like:
+                r = min(like, key=lambda r, node=node: self._distance(r, node))
+                parent[1][k][0] = r
+                self._fold(r, node)
             else:
                 red.append(node)
-            blue = [(r, k) for r in red for k in sorted(r[1]) if not any(r[1][k][0] is x for x in red)]
+                known.add(id(node))
+            blue = [(r, j) for r in red for j in sorted(r[1]) if id(r[1][j][0]) not in known]
         number = {id(r): i for i, r in enumerate(red)}
-        self.next = [[-1] * N_CLASSES for _ in red]
-        self.log = [[math.log(1e-5)] * N_CLASSES for _ in red]
-        for i, r in enumerate(red):
-            total = r[0] + sum(n for _, n in r[1].values())
-            if r[0]:
-                self.log[i][0] = math.log(r[0] / total)
-            for k, (to, n) in r[1].items():
-                self.next[i][k] = number[id(to)]
-                self.log[i][k] = math.log(n / total)
+        self.end = [math.log(r[0] / self._total(r)) if r[0] else -math.inf for r in red]
+        #: {class: (next state, log probability of the class, {character: log probability in the class}, that of others)}
+        self.steps: list[dict[int, tuple[int, float, dict[str, float], float]]] = []
+        for r in red:
+            total, own = self._total(r), {}
+            for k, (to, n, seen) in r[1].items():
+                size = len(_GROUPS[k - 2]) if k > 1 else 1
+                # as much as one character in a hundred is left to those not seen
+                smooth = lambda c, n=n, seen=seen, size=size: math.log((seen.get(c, 0) + 0.01 * n / size) / (1.01 * n))
+                own[k] = (number[id(to)], math.log(n / total), {c: smooth(c) for c in seen}, math.log(0.01 / (1.01 * size)))
+            self.steps.append(own)
 
     @staticmethod
     def _total(node: list) -> int:
-        return node[0] + sum(n for _, n in node[1].values())
+        return node[0] + sum(step[1] for step in node[1].values())
+
+    @staticmethod
+    def _literal(node: list) -> str:
+        """The one character that always follows a state, if there is one and the state was met more than a few times."""
+        (step,) = node[1].values() if len(node[1]) == 1 and not node[0] else (None,)
+        return next(iter(step[2])) if step and step[1] > 20 and len(step[2]) == 1 else ""
+
+    def _distance(self, a: list, b: list) -> float:
+        """How far the frequencies of two states are apart; of equal ones the first is taken."""
+        n, m = self._total(a) or 1, self._total(b) or 1
+        share = lambda x, k, t: x[1][k][1] / t if k in x[1] else 0.0
+        return abs(a[0] / n - b[0] / m) + sum(abs(share(a, k, n) - share(b, k, m)) for k in a[1].keys() | b[1].keys())
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        return bool(n and m) and abs(a / n - b / m) > self.alpha * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        return bool(n and m) and abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     def _compatible(self, a: list, b: list) -> bool:
         """No frequency of the two states, or of those that follow, differs by more than the bound."""
-        stack = [(a, b)]
+        stack, met = [(a, b)], set()
         while stack:
             a, b = stack.pop()
+            if (id(a), id(b)) in met:
+                continue
+            met.add((id(a), id(b)))
             n, m = self._total(a), self._total(b)
             if self._differ(a[0], n, b[0], m):
                 return False
@@ -145,78 +208,80 @@ class Automaton:
         while stack:
             a, b = stack.pop()
             a[0] += b[0]
-            for k, (to, n) in b[1].items():
+            for k, (to, n, seen) in b[1].items():
                 if k in a[1]:
-                    a[1][k][1] += n
-                    stack.append((a[1][k][0], to))
+                    own = a[1][k]
+                    own[1] += n
+                    for c, x in seen.items():
+                        own[2][c] = own[2].get(c, 0) + x
+                    stack.append((own[0], to))
                 else:
-                    a[1][k] = [to, n]
-
-    def score(self, classes: list[int]) -> float:
-        """Log likelihood of a whole string; minus infinity if a transition or the end was never seen."""
-        state, total = 0, 0.0
-        for c in classes:
-            total += self.log[state][c]
-            state = self.next[state][c]
-            if state < 0:
-                return -math.inf
-        return total + self.log[state][0] if self.log[state][0] > math.log(1e-4) else -math.inf
+                    a[1][k] = [to, n, seen]
 
 
 class Model:
     """Automata by format, and the log probabilities of class pairs in the background."""
 
-    def __init__(self, automata: dict[str, Automaton], prefixes: dict[str, str], pairs: np.ndarray, threshold: float, lengths: dict[str, tuple[int, int]]):
-        self.automata, self.prefixes, self.threshold, self.lengths = automata, prefixes, threshold, lengths
+    def __init__(self, automata: dict[str, Automaton], pairs: np.ndarray, threshold: float, least_gain: float, lengths: dict[str, tuple[int, int]]):
+        self.automata, self.threshold, self.least_gain, self.lengths = automata, threshold, least_gain, lengths
         smooth = pairs.reshape(N_CLASSES, N_CLASSES) + 1.0
         self.background = np.log(smooth / smooth.sum(1, keepdims=True)).tolist()
-
-    def best(self, text: str) -> tuple[str, float]:
-        """The likeliest format and its gain over the background per character."""
-        classes = _classes(text)
-        name, gain = "", -math.inf
-        for k, automaton in self.automata.items():
-            if text.startswith(self.prefixes[k]) and (g := automaton.score(classes)) > gain:
-                name, gain = k, g
-        if not name:
-            return "", -math.inf
-        before, base = 0, 0.0
-        for c in classes:
-            base += self.background[before][c]
-            before = c
-        return name, (gain - base - self.background[before][0]) / len(classes)
+        #: formats by the characters with which they may begin
+        self.first: dict[str, list[str]] = {}
+        for name, automaton in automata.items():
+            for _, _, seen, _ in automaton.steps[0].values():
+                for c in seen:
+                    self.first.setdefault(c, []).append(name)
+
+    def gains(self, text: str, classes: list[int], base: list[float], start: int, name: str, ends: set[int]) -> Iterator[tuple[int, float]]:
+        """(end, gain) of the parts from a start that a format accepts and whose length it has; ``base`` is the background up to each place."""
+        automaton, (least, most) = self.automata[name], self.lengths[name]
+        state, total, before = 0, 0.0, base[start] - (self.background[0][classes[start]] - self.background[classes[start - 1] if start else 0][classes[start]])
+        for end in range(start + 1, min(start + most, len(text)) + 1):
+            k = classes[end - 1]
+            step = automaton.steps[state].get(k)
+            if step is None:
+                return
+            state, of_class, seen, other = step
+            total += of_class + seen.get(text[end - 1], other)
+            gain = total - (base[end] - before)
+            if gain < HOPELESS:
+                return
+            if end in ends and end - start >= least and automaton.end[state] > UNSEEN:
+                yield end, gain + automaton.end[state] - self.background[k][0]
 
     def parts(self, text: str) -> Iterator[tuple[int, int, str, float]]:
-        """(start, end, format, gain per character) of the parts of a run that an automaton accepts."""
-        classes = _classes(text)
-        base = [0.0]
-        for before, c in zip(classes, classes[1:], strict=False):
-            base.append(base[-1] + self.background[before][c])
-        marks = [m.start() + k for m in MARK.finditer(text) for k in range(len(m[0]))]
+        """(start, end, format, gain) of the parts of a run that an automaton accepts."""
+        classes, base = _classes(text), [0.0]
+        for i, k in enumerate(classes):
+            base.append(base[-1] + self.background[classes[i - 1] if i else 0][k] + ALIKE.get(text[i], -4.0))
+        marks = [m.start() for m in MARK.finditer(text)]
         ends = {*marks, *(k + 1 for k in marks), len(text)}
-        starts = sorted({0, *(k + 1 for k in marks)} - {len(text)})
-        for name, automaton in self.automata.items():
-            prefix, (least, most) = self.prefixes[name], self.lengths[name]
-            for start in (m.start() for m in re.finditer(f"(?={re.escape(prefix)})", text)) if prefix else starts:
-                state, total = 0, 0.0
-                for end in range(start + 1, (len(text) if start == 0 else min(start + most, len(text))) + 1):
-                    c = classes[end - 1]
-                    total += automaton.log[state][c]
-                    state = automaton.next[state][c]
-                    if state < 0:
-                        break
-                    last = automaton.log[state][0]
-                    if end in ends and (least <= end - start <= most or start == 0 and end == len(text)) and last > math.log(1e-4):
-                        yield start, end, name, (total + last - self.background[0][classes[start]] - base[end - 1] + base[start] - self.background[c][0]) / (end - start)
-
-
-def train(credentials: dict[str, list[str]], pairs: np.ndarray, *, alpha: float = 0.01, threshold: float = 0.5) -> Model:
-    """A model from labelled credentials of each format and counts of background class pairs. The part that all
-    credentials of a format begin with is held fixed."""
-    import os.path
-
-    prefixes = {k: os.path.commonprefix(v) for k, v in credentials.items() if v}
-    return Model({k: Automaton([x for x in v], alpha) for k, v in credentials.items() if v}, prefixes, pairs, threshold, {k: (min(map(len, v)), max(map(len, v))) for k, v in credentials.items() if v})
+        in_order = sorted(ends)
+        starts = sorted({0, *(m.start() for m in START.finditer(text))} - {len(text)})
+        for start in starts:
+            for name in self.first.get(text[start], ()):
+                least, most = self.lengths[name]
+                at = bisect_left(in_order, start + least)
+                if at == len(in_order) or in_order[at] > start + most:
+                    continue
+                for end, gain in self.gains(text, classes, base, start, name, ends):
+                    if gain > self.threshold * (end - start) and gain > self.least_gain:
+                        yield start, end, name, gain
+
+    def best(self, text: str) -> tuple[str, float]:
+        """The likeliest format of a whole text and its gain over the background."""
+        found = [(-gain, name) for start, end, name, gain in self.parts(text) if start == 0 and end == len(text)]
+        return (min(found)[1], -min(found)[0]) if found else ("", -math.inf)
+
+
+def train(credentials: dict[str, list[str]], pairs: np.ndarray, *, alpha: float = 0.01, threshold: float = 0.5, least_gain: float = 20.0) -> Model:
+    """A model from labelled credentials of each format and counts of background class pairs."""
+    some = {k: v for k, v in credentials.items() if v}
+    sizes = {k: (min(map(len, v)), max(map(len, v))) for k, v in some.items()}
+    # a format of no fixed length may be a quarter of its spread shorter or longer than was seen
+    lengths = {k: (a - (b - a) // 4, b + (b - a) // 4) for k, (a, b) in sizes.items()}
+    return Model({k: Automaton(v, alpha) for k, v in some.items()}, pairs, threshold, least_gain, lengths)
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,20 +321,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def learned_spans(text: str, base: list[tuple], model: Model) -> list[tuple[int, int, int, str]]:
     """Candidates that a learned format explains, away from the fixed patterns."""
-    found = []
+    found: list[tuple[int, int, int, str]] = []
+    starts = [x for x, _, _, _ in base]
+    reach = [0, *accumulate((y for _, _, y, _ in base), max)]  # how far the spans up to each one reach
     for m in CANDIDATE.finditer(text):
         parts = []
         for start, end, name, gain in model.parts(m[0]):
             a, b = m.start() + start, m.start() + end
-            mixed = (classes := {CLASSES[c] for c in m[0][start:end]}) & {2} and classes & {3, 4, 5, 6}
-            if gain > model.threshold and (mixed or model.prefixes[name]) and not any(x < b and a < y for x, _, y, _ in base):
-                parts.append((not model.prefixes[name], a, -b, -gain, name))
+            if reach[bisect_left(starts, b)] <= a:
+                parts.append((-gain, a, -b, name))
         taken: list[tuple[int, int, int, str]] = []
-        for _, a, b, _, name in sorted(parts):
-            if not any(x < -b and a < y for x, _, y, _ in taken):
-                taken.append((a, 3, -b, name))
+        for _, a, b, name in sorted(parts):
+            i = bisect_left(taken, (-b,))
+            if not i or taken[i - 1][2] <= a:
+                taken.insert(i, (a, 3, -b, name))
         found += taken
-    return sorted(found)
+    return found
 
 
 def _scan(model: Model, text: str, keep: list[str]):
@@ -288,7 +355,7 @@ def _scan(model: Model, text: str, keep: list[str]):
 
 def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text") -> DataFrame:
     """``docs`` (without the text) with secrets: (kind, start, end, learned) by start, then kind."""
-    model = model or train(labelled_credentials(), background(docs, text=text))
+    model = model or train(labelled_credentials(), background(docs, text=text), threshold=THRESHOLD)
     keep = [c for c in docs.columns if c not in (text, "secrets")]
     secret = T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("learned", "boolean")
     schema = T.StructType([docs.schema[c] for c in keep]).add("secrets", T.ArrayType(secret))

@@ -1,9 +1,12 @@
 """Awkward tables: repeated and null ids, clashing names, very long texts, empty tables."""
 
+import hashlib
 import random
+import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from glossaloom.llm.language_id import declared_language, evidence, fit, fuse, v
 from glossaloom.llm.line_dedup import dedupe_lines
 from glossaloom.llm.ngram_join import join_classes, keep_one
 from glossaloom.llm.quality import judge
+from glossaloom.llm.secret_scan import ACCESS, ASSIGN, CLASSES, N_CLASSES, base_spans, labelled_credentials, learned_spans, scan, train
 from glossaloom.llm.substring_dedup import dedupe_substrings
 from tests.llm import plain
 
@@ -169,3 +173,69 @@ def test_language_of_open_markup():
         started = time.process_time()
         assert "<" not in visible_text(text) and declared_language(text) is None
         assert time.process_time() - started < 5
+
+
+def prose_pairs():
+    """Class pairs of plain prose."""
+    out = np.zeros((N_CLASSES, N_CLASSES))
+    for word in "the quick brown fox jumps over a lazy dog and then nothing happened in 1984 or so, Mr. Smith said re-entering at 10/12".split():
+        for a, b in zip(" " + word, word + " ", strict=True):
+            out[CLASSES.get(a, 0 if a == " " else 1), CLASSES.get(b, 0 if b == " " else 1)] += 100
+    return out.ravel()
+
+
+def test_secrets_of_many_formats():
+    draw = random.Random(10)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    say = lambda n, a=alphabet: "".join(draw.choices(a, k=n))
+    model = train(labelled_credentials(), prose_pairs(), threshold=1.0)
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    for before in ("", "GH=", "export PAT_1=", "https://x.y/", "(", "X"):
+        for kind, value in [
+            ("source_host_token", "ghp_" + say(36)), ("fine_grained_token", f"github_pat_{say(22)}_{say(59)}"), ("forge_token", "glpat-" + say(20)), ("model_key", "sk-" + say(48)),
+            ("payment_key", "sk_test_" + say(24)), ("web_token", token), ("chat_token", f"xoxb-{say(12, '0123456789')}-{say(12, '0123456789')}-{say(24)}"), ("mail_key", f"SG.{say(22)}.{say(43)}"),
+        ]:
+            if before == "X" and value[0].isupper():
+                continue  # one run of capitals
+            text = f"ü {before}{value} then"
+            assert learned_spans(text, base_spans(text), model) == [(2 + len(before), 3, 2 + len(before) + len(value), kind)], text
+    for text in ["550e8400-e29b-41d4-a716-446655440000", "https://example.com/2021/05/13/some-very-long-slug-about-nothing-at-all", "node_modules/react-dom/cjs/react-dom.production.min.js", "AbstractSingletonProxyFactoryBeanGeneratorXYZ", "A" * 40, "2024-01-01T00:00:00.000Z/2024-12-31T23:59:59.999Z"]:
+        assert learned_spans(text, base_spans(text), model) == [], text
+
+
+def test_secrets_of_a_format_held_out():
+    """What automata have learned of a format holds for a kind of it that they never saw."""
+    known = {k: [v for v in values if not v.startswith("ghr_")] for k, values in labelled_credentials().items()}
+    model = train(known, prose_pairs(), threshold=1.0)
+    unseen = [v for v in labelled_credentials(50, 11)["source_host_token"] if v.startswith("ghr_")]
+    assert len(unseen) == 50 and sum(model.best(v)[0] == "source_host_token" for v in unseen) >= 48
+
+
+def plain_base(text):
+    text = text or ""
+    found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [x for _, _, x in sorted(found)]
+
+
+def test_secrets_of_whole_table(spark):
+    """Base columns of the query against a plain version; none of the documents' prose is told a secret."""
+    from glossaloom.llm.queries import op4_secret_scan
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    found = op4_secret_scan(spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len(docs)
+    for r in found:
+        base = plain_base(docs[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(r.spans.split(",")) | {""} and (base or r.spans == "")
+
+
+def test_secrets_of_awkward_tables(spark):
+    rows = [(1, None), (1, ""), (2, "AKIA" + "A" * 16), (2, "AKIA" + "A" * 16), (None, "x" * 1_000_000), (3, "aA1" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = scan(clashing(df))
+    assert kept_extras(df, found) and Counter((r.doc_id, len(r.secrets)) for r in found.collect()) == Counter([(1, 0), (1, 0), (2, 1), (2, 1), (None, 0), (3, 0)])
+    assert scan(df.limit(0)).collect() == []
