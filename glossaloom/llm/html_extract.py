@@ -1,21 +1,29 @@
 """Main text of web pages by tree scoring.
 
-The markup is read into a tree that tolerates missing end tags. Parts that
-name themselves as something other than the article (menus, page headers and
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) go
-first. Each paragraph then passes points to its ancestors: one, one for every
-comma and one for every hundred characters up to three, the whole to its
-parent, half to the next and less beyond. A container's score is discounted
-by its link density. The best container is kept, widened to the ``article``
-or ``main`` element it stands in, with siblings that score like content.
+The markup is read once, from its start to its end, into a tree that tolerates
+missing end tags; a tag that is not closed ends where the next begins. Parts
+that name themselves as something other than the article (menus, page headers
+and footers, sidebars, notices, adverts, forms, scripts, styles, comments) go
+first. Names count for containers: a heading goes by its tag alone, a paragraph
+only if its class is such a name and nothing else, and the id of a section,
+which is often made from its heading, not at all. A form that holds most of the
+page is looked into. Each paragraph then passes points to its ancestors: one,
+one for every comma and one for every hundred characters up to three, the whole
+to its parent, half to the next and less beyond. A container's score is
+discounted by its link density. The best container is kept, widened to the
+``article`` or ``main`` element it stands in, with siblings that score like
+content.
 
 Text of a kept container is kept whole except for lists and containers of
-several short links; headings and paragraphs that are links stay. Character references are decoded, white space inside a block becomes
-one space, and blocks are joined by one space in page order.
-
-Null or empty html gives an empty text. Pages are independent rows, so ties
-and repeated rows need no rule; extra columns pass through, and a column named
-like the result is replaced.
+several short links; headings and paragraphs that are links stay. Character
+references are decoded, white space inside a block becomes one space, and
+blocks are joined by one space in page order.
+
+Null or empty html gives an empty text. Pages of any length are read whole, in
+time that follows their length: what a step needs to know of a subtree or of
+the open elements is counted along. Pages are independent rows, so ties and
+repeated rows need no rule, and an empty table gives an empty one. Extra columns
+pass through whatever their names; a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +35,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# every alternative that begins with "<!", "</x" or "<x" matches to some end, so nothing is read twice
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*+)((?:=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))|[^<>=]++|=)*+)(?:>|(?=<)|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Fixed values of HTML.
@@ -55,15 +64,32 @@ PARAGRAPHS = frozenset("p pre td blockquote".split())
 #: What may be a menu if it is mostly links, and how many characters its links have at most on average.
 LISTS = frozenset("ul ol dl dir div section table tbody tr center".split())
 SHORT_LINK = 25
-SENTENCE_ENDS = tuple(".!?。！？")
+SENTENCE_ENDS = frozenset(".!?。！？")
 CONTENT_NAMES = frozenset("article content main post entry story text body".split())
 
 
+#: Elements that names may drop; and those of which an id is no name, as it is often made from a heading.
+CONTAINERS = frozenset("div section article ul ol dl menu table tbody tr td center figure details dir".split())
+NO_ID = frozenset("section article".split())
+#: Elements that end tags and implied ends look for within their scope.
+TRACKED = frozenset("p li dt dd tr td th option tbody thead".split())
+TABLE_SCOPE = SCOPE - {"td", "th"}
+PAGE_WIDE = 0.5
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "size", "linked", "name_bonus", "label")
+    __slots__ = ("tag", "parent", "parts", "score", "size", "linked", "name_bonus", "label", "inside", "held", "table_held", "chars", "commas", "links", "link_size", "solid")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts, self.score, self.size, self.linked, self.name_bonus, self.label = tag, parent, [], 0.0, 0, 0, 0, ""
+        self.tag, self.parent, self.parts = tag, parent, []
+        self.score, self.size, self.linked, self.name_bonus, self.label = 0.0, 0, 0, 0, ""
+        #: of the text: characters, commas; of outermost links: number and size; a heading or sentence is in it
+        self.chars = self.commas = self.links = self.link_size = 0
+        self.solid = False
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        #: open elements by tag, within the nearest scope that begins here or above
+        self.held: dict[str, int] = {} if parent is None or tag in SCOPE else parent.held
+        self.table_held: dict[str, int] = {} if parent is None or tag in TABLE_SCOPE else parent.table_held
 
 
 def _dropped(tag: str, attributes: str, inside: bool) -> str:
@@ -82,7 +108,10 @@ def _dropped(tag: str, attributes: str, inside: bool) -> str:
             return "all"
         if name == "role" and value.strip() in DROPPED_ROLES:
             return "all"
-        if name in ("class", "id"):
+        if tag not in CONTAINERS:
+            if name == "class" and tag not in HEADINGS and DROPPED_NAMES.issuperset(words := value.split()) and words:
+                return "all"
+        elif name == "class" or name == "id" and tag not in NO_ID:
             for word in value.split():
                 parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
                 names = DROPPED_ARTICLES if tag == "article" else DROPPED_NAMES
@@ -95,93 +124,140 @@ def _named_content(attributes: str) -> bool:
     return any(name.lower() in ("class", "id", "role", "itemprop") and CONTENT_NAMES.intersection(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())) for name, *values in _ATTRIBUTE.findall(attributes))
 
 
-def parse(html: str) -> Node:
-    """The tree of what may be the article; parts are nodes and decoded strings."""
-    root = here = Node("#", None)
-    at, n = 0, len(html)
-    skip: list[str] = []  # open elements inside one that is dropped
-    headings: Node | None = None  # the element of which only headings stay
-    while at < n:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text and not skip and (headings is None or here is not headings):
-            here.parts.append(unescape(text))
-        if not m:
-            break
-        at = m.end()
-        if not (tag := m[2]):
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                elif tag in KEPT_ANYWAY and any(x for x in _open(here) if x.tag == tag):
-                    skip.clear()  # an end tag of something further out ends what was left open
-                else:
-                    continue
-                if skip or tag not in KEPT_ANYWAY:
-                    continue
-            node = here
-            while node.parent and node.tag != tag:
-                if node.tag in SCOPE and tag in ("p", "li", "dt", "dd", "tr"):
-                    break
-                node = node.parent
-            if node.tag == tag and node.parent:
-                if headings is not None and any(x is headings for x in _until(here, node)):
-                    headings = None
-                here = node.parent
-            elif tag == "p" or tag == "br":
-                here.parts.append(Node("br", here))
-            continue
-        closed = tag in VOID or m[3].endswith("/") and tag in ("svg", "math", "path", "g", "use")
-        if skip:
+class Reader:
+    """Reads markup into a tree of what may be the article; parts are nodes and decoded strings."""
+
+    def __init__(self, html: str, forms: bool = False):
+        self.html, self.forms = html, forms
+        self.root = self.here = Node("#", None)
+        self.skip: list[str] = []  # open elements inside one that is dropped
+        self.skipped: dict[str, int] = {}
+        self.open: dict[str, int] = {}
+        self.headings: Node | None = None  # the element of which only headings stay
+        self.in_forms = self.form_at = 0
+        at = 0
+        for m in iter(lambda: _TOKEN.search(html, at), None):
+            self._text(html[at : m.start()])
+            at = m.end()
+            if m[2]:
+                at = self._end_tag(m[2].lower(), at) if m[1] else self._start_tag(m[2].lower(), m[3], m.start(), at)
+        self._text(html[at:])
+        if "form" in self.skip:
+            self.in_forms += len(html) - self.form_at
+
+    def _text(self, text: str) -> None:
+        if text and not self.skip and self.here is not self.headings:
+            self.here.parts.append(unescape(text) if "&" in text else text)
+
+    def _enter(self, node: Node) -> None:
+        parent, tag = self.here, node.tag
+        parent.parts.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in TRACKED:
+            parent.held[tag] = parent.held.get(tag, 0) + 1
+            parent.table_held[tag] = parent.table_held.get(tag, 0) + 1
+        self.here = node
+
+    def _leave(self, last: Node) -> None:
+        """Close all up to and with a node."""
+        while True:
+            node = self.here
+            self.here = parent = node.parent
+            self.open[node.tag] -= 1
+            if node.tag in TRACKED:
+                parent.held[node.tag] -= 1
+                parent.table_held[node.tag] -= 1
+            if node is self.headings:
+                self.headings = None
+            if node is last:
+                return
+
+    def _nearest(self, tags) -> Node:
+        """The innermost open element of these tags, which is there."""
+        node = self.here
+        while node.tag not in tags:
+            node = node.parent
+        return node
+
+    def _skip(self, tag: str) -> None:
+        self.skip.append(tag)
+        self.skipped[tag] = self.skipped.get(tag, 0) + 1
+
+    def _unskip(self, tag: str) -> None:
+        while True:
+            last = self.skip.pop()
+            self.skipped[last] -= 1
+            if last == tag:
+                return
+
+    def _end_tag(self, tag: str, at: int) -> int:
+        if self.skip:
+            if self.skipped.get(tag):
+                self._unskip(tag)
+                if tag == "form" and not self.skipped[tag]:
+                    self.in_forms += at - self.form_at
+            elif tag in KEPT_ANYWAY and self.open.get(tag):
+                self.skip, self.skipped = [], {}  # an end tag of something further out ends what was left open
+            else:
+                return at
+            if self.skip or tag not in KEPT_ANYWAY:
+                return at
+        if (self.here.held if tag in ("p", "li", "dt", "dd", "tr") else self.open).get(tag):
+            self._leave(self._nearest((tag,)))
+        elif tag in ("p", "br"):
+            self.here.parts.append(Node("br", self.here))
+        return at
+
+    def _imply_ends(self, tag: str) -> None:
+        if tag in ENDS_PARAGRAPH and self.here.held.get("p"):
+            self._leave(self._nearest(("p",)))
+        if tag in CLOSES and any(self.here.table_held.get(x) for x in CLOSES[tag]):
+            self._leave(self._nearest(CLOSES[tag]))
+            if tag in ("tr", "tbody", "tfoot"):
+                while self.here.parent and self.here.tag in CLOSES[tag]:
+                    self._leave(self.here)
+
+    def _start_tag(self, tag: str, attributes: str, begin: int, at: int) -> int:
+        closed = tag in VOID or attributes.endswith("/") and tag in ("svg", "math", "path", "g", "use")
+        if self.skip:
             if not closed:
                 if tag in RAW:
-                    at = _raw_end(html, at, tag)
-                elif not (tag in CLOSES and skip[-1] in CLOSES[tag] or tag == "p" and skip[-1] == "p"):
-                    skip.append(tag)
-            continue
-        # implied end tags
-        if tag in ENDS_PARAGRAPH:
-            node = here
-            while node.parent and node.tag not in SCOPE and node.tag != "p":
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in CLOSES:
-            node = here
-            while node.parent and node.tag not in CLOSES[tag] and node.tag not in SCOPE - {"td", "th"}:
-                node = node.parent
-            if node.tag in CLOSES[tag]:
-                here = node.parent
-                if tag in ("tr", "tbody", "tfoot"):
-                    while here.parent and here.tag in CLOSES[tag]:
-                        here = here.parent
-        inside = any(x.tag in ("article", "main") for x in _open(here))
-        what = _dropped(tag, m[3], inside)
-        if headings is not None and tag not in HEADINGS and here is headings and not what and not closed:
+                    return _raw_end(self.html, at, tag)
+                if not (tag in CLOSES and self.skip[-1] in CLOSES[tag] or tag == "p" and self.skip[-1] == "p"):
+                    self._skip(tag)
+            return at
+        self._imply_ends(tag)
+        here = self.here
+        what = "" if tag == "form" and self.forms else _dropped(tag, attributes, here.inside)
+        if self.headings is not None and tag not in HEADINGS and here is self.headings and not what and not closed:
             what = "" if tag in ("div", "hgroup", "section") else "all"
         if what == "all":
             if tag in BLOCK:
                 here.parts.append(Node("br", here))
             if tag in RAW:
-                at = _raw_end(html, at, tag)
-            elif not closed:
-                skip.append(tag)
-            continue
+                return _raw_end(self.html, at, tag)
+            if not closed:
+                self._skip(tag)
+                if tag == "form":
+                    self.form_at = begin
+            return at
         node = Node(tag, here)
-        node.label = m[3].strip() if tag in ("div", "section", "td") else ""
-        here.parts.append(node)
         if closed:
-            continue
-        if m[3] and tag in ("div", "section", "article", "main", "td") and _named_content(m[3]) or tag in ("article", "main"):
+            here.parts.append(node)
+            return at
+        node.label = attributes.strip() if tag in ("div", "section", "td") else ""
+        if attributes and tag in ("div", "section", "article", "main", "td") and _named_content(attributes) or tag in ("article", "main"):
             node.name_bonus = 25
-        here = node
+        self._enter(node)
         if what == "rest":
-            headings = node
-    return root
+            self.headings = node
+        return at
+
+
+def parse(html: str) -> Node:
+    """The tree of what may be the article."""
+    read = Reader(html)
+    return Reader(html, forms=True).root if read.in_forms > PAGE_WIDE * len(html) else read.root
 
 
 def _open(node: Node | None) -> Iterator[Node]:
@@ -190,13 +266,6 @@ def _open(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _until(node: Node, last: Node) -> Iterator[Node]:
-    for x in _open(node):
-        yield x
-        if x is last:
-            return
-
-
 _ENDS: dict[str, re.Pattern] = {}
 
 
@@ -205,8 +274,11 @@ def _raw_end(html: str, at: int, tag: str) -> int:
     return m.end() if m else len(html)
 
 
+COMMAS = ",、，،"
+
+
 def _measure(root: Node) -> list[Node]:
-    """Sizes and links of every node, deepest last; without recursion."""
+    """What each node's text is made of; every node, deepest last; without recursion."""
     order, stack = [], [(root, False)]
     while stack:
         node, link = stack.pop()
@@ -217,35 +289,38 @@ def _measure(root: Node) -> list[Node]:
                 size = len(part) - part.count(" ") if part.strip() else 0
                 node.size += size
                 node.linked += size if link else 0
+                node.chars += len(part)
+                node.commas += sum(part.count(c) for c in COMMAS)
             else:
                 stack.append((part, link))
     for node in reversed(order):
-        if node.parent is not None:
-            node.parent.size += node.size
-            node.parent.linked += node.linked
+        if node.tag == "a" and node.size:
+            node.links, node.link_size, node.solid = 1, node.size, False
+        elif node.tag in HEADINGS and node.size or node.tag == "p" and node.linked and _last(node) in SENTENCE_ENDS:
+            node.solid = True
+        if (up := node.parent) is not None:
+            up.size += node.size
+            up.linked += node.linked
+            up.chars += node.chars
+            up.commas += node.commas
+            up.links += node.links
+            up.link_size += node.link_size
+            up.solid |= node.solid
     return order
 
 
+def _last(node: Node) -> str:
+    """The last character of a node's text."""
+    return "".join(_texts(node)).strip()[-1:]
+
+
 def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
 def _is_menu(node: Node) -> bool:
     """A list or container of several short links and little else, without a heading or a paragraph that is a sentence."""
-    if _density(node) <= 0.5:
-        return False
-    links, stack = [], list(node.parts)
-    while stack:
-        part = stack.pop()
-        if isinstance(part, str):
-            continue
-        if part.tag in HEADINGS and part.size or part.tag == "p" and "".join(_texts(part)).strip()[-1:] in SENTENCE_ENDS:
-            return False
-        if part.tag == "a" and part.size:
-            links.append(part.size)
-        else:
-            stack.extend(part.parts)
-    return len(links) > 1 and sum(links) <= SHORT_LINK * len(links)
+    return _density(node) > 0.5 and not node.solid and node.links > 1 and node.link_size <= SHORT_LINK * node.links
 
 
 def _texts(node: Node) -> Iterator[str]:
@@ -293,8 +368,9 @@ def extract(html: str | None) -> str:
     for node in order:
         if not node.size or not _is_paragraph(node):
             continue
-        own = "".join(_pieces(node)) if node.tag in PARAGRAPHS else "".join(x if isinstance(x, str) else " " for x in node.parts)
-        points = (1 + sum(own.count(c) for c in ",、，،") + min(3, len(own) / 100)) * (1 - _density(node))
+        strings = [x for x in node.parts if isinstance(x, str)]
+        commas, chars = (node.commas, node.chars) if node.tag in PARAGRAPHS else (sum(x.count(c) for x in strings for c in COMMAS), sum(map(len, strings)))
+        points = (1 + commas + min(3, chars / 100)) * (1 - _density(node))
         first = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
         for level, ancestor in enumerate(_open(first)):
             if level > 5:
