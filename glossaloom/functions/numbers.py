@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
 # English number names.
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -44,57 +44,54 @@ def cardinal(n: int) -> str:
     return ", ".join(words)
 
 
-def number(text: str) -> str:
+def decimal(amount: Decimal) -> str:
     """Words of a decimal number; digits after the point one by one."""
-    value = Decimal(text.replace(",", "."))
-    whole, _, fraction = format(value, "f").partition(".")
-    words = cardinal(int(whole or "0"))
-    return f"{words} point {' '.join(UNITS[int(c)] for c in fraction)}" if fraction else words
+    whole, _, fraction = format(amount, "f").partition(".")
+    return " point ".join([cardinal(int(whole)), *([" ".join(UNITS[int(c)] for c in fraction)] if fraction else [])])
 
 
-def year(text: str) -> str:
-    """Words of a year of four digits."""
-    high, low = int(text[:2]), int(text[2:])
-    if high == 0 or high % 10 == 0 and low < 10:
-        return cardinal(int(text))
-    if low == 0:
-        return f"{cardinal(high)} hundred"
-    return f"{cardinal(high)} {'oh-' + UNITS[low] if low < 10 else cardinal(low)}"
+def year(n: int) -> str:
+    """Words of a number of four digits, read as a year."""
+    century, rest = divmod(n, 100)
+    if century == 0 or century % 10 == 0 and rest < 10:
+        return cardinal(n)
+    if rest == 0:
+        return f"{cardinal(century)} hundred"
+    return f"{cardinal(century)} {'oh-' * (rest < 10)}{cardinal(rest)}"
 
 
-def money(text: str) -> str:
+def money(amount: Decimal) -> str:
     """Words of an amount in dollars and cents."""
-    value = Decimal(text)
-    whole, cents = int(value), int((abs(value) * 100) % 100)
-    return f"{cardinal(whole)} dollars, {cardinal(cents)} {'cent' if cents == 1 else 'cents'}"
+    dollars, cents = divmod(int(amount * 100), 100)
+    return f"{cardinal(dollars)} dollars, {cardinal(cents)} cent{'s' * (cents != 1)}"
 
 
-def digit_words(piece: str) -> str:
-    """Words of a piece of digits: money after ``$``, dotted numbers piecewise, four digits as a year."""
-    try:
-        if "$" in piece:
-            return money(piece.replace("$", "").replace(",", ""))
-        if piece.count(".") > 1:
-            return ".".join(cardinal(int(x)) if x else "" for x in piece.split("."))
-        if "." in piece or "," in piece:
-            return number(piece)
-        return year(piece) if len(piece) == 4 else cardinal(int(piece))
-    except (InvalidOperation, ValueError):
-        return " "
+#: What is read as one number: with commas before every three digits, with several points, or plain, and a dollar sign
+#: before it. A comma elsewhere stands between two numbers, and a last point is none of a number's.
+NUMERAL = re.compile(
+    r"""(?P<sign>\$)?(?:(?P<grouped>\d{1,3}(?:,\d{3})+(?!\d))(?P<cents>\.\d+)?(?!\.?\d)|(?P<dotted>\d+(?:\.\d+){2,})|(?P<whole>\d*)(?P<point>\.\d+)|(?P<plain>\d+))"""
+)
+DIGITS = re.compile(r"\S*\d\S*")
 
 
-_PIECE = re.compile(r"(\$?\d*[,\.]?\d+)")
+def spelled(numeral: re.Match) -> str:
+    """Words of a numeral, by the form in which it stands."""
+    form = numeral.groupdict(default="")
+    if form["dotted"]:
+        return ".".join(cardinal(int(part)) for part in form["dotted"].split("."))
+    whole, point = form["grouped"].replace(",", "") or form["whole"] or form["plain"], form["cents"] or form["point"]
+    if form["sign"]:
+        return money(Decimal(f"{whole or 0}{point}"))
+    if point:
+        return decimal(Decimal(f"{whole or 0}{point}"))
+    return year(int(whole)) if len(form["plain"]) == 4 else cardinal(int(whole))
 
 
 def digits_to_words(text: str | None) -> str | None:
-    """Spell out the digits of a text; white space collapses in texts that have any."""
-    if text is None or not re.search(r"\d", text):
+    """Spell out the numbers of a text, and ``%`` beside them; white space collapses in texts that have any.
+
+    ``1,200`` is one thousand, two hundred: commas that group three digits belong to the number.
+    """
+    if text is None or DIGITS.search(text) is None:
         return text
-    out = []
-    for token in text.split():
-        if re.search(r"\d", token):
-            for piece in [x for x in _PIECE.split(token) if re.search(r"\d", x)]:
-                token = token.replace(piece, digit_words(piece))
-            token = token.replace("%", " percent")
-        out.append(token)
-    return " ".join(out)
+    return DIGITS.sub(lambda word: NUMERAL.sub(spelled, word[0]).replace("%", " percent"), " ".join(text.split()))

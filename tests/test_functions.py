@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glossaloom.functions.clean import clean, clean_file, clean_sample
 from glossaloom.functions.html import strip_markup
-from glossaloom.functions.numbers import cardinal, digit_words, digits_to_words
+from glossaloom.functions.numbers import cardinal, digits_to_words
 from glossaloom.functions.tokens import add_qualifiers, contexts, key_index, sentence_tokens, trim_to_keyword, trim_words, word_tokens
 
 
@@ -40,8 +40,29 @@ def test_clean_variants(spark):
     "piece, words",
     [("5", "five"), ("12", "twelve"), ("101", "one hundred and one"), ("12345", "twelve thousand, three hundred and forty-five"), ("1999", "nineteen ninety-nine"), ("2005", "two thousand and five"), ("1900", "nineteen hundred"), ("1905", "nineteen oh-five"), ("3.25", "three point two five"), ("1.2.3", "one.two.three"), ("$5.50", "five dollars, fifty cents"), ("$1,200", "one thousand, two hundred dollars, zero cents")],
 )
-def test_digit_words(piece, words):
-    assert digit_words(piece) == words
+def test_numerals(piece, words):
+    assert digits_to_words(piece) == words
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("1,200 people", "one thousand, two hundred people"),
+        ("1,234,567", "one million, two hundred and thirty-four thousand, five hundred and sixty-seven"),
+        ("1,200.5 km", "one thousand, two hundred point five km"),
+        ("3,5 or 1,2345", "three,five or one,twenty-three forty-five"),
+        ("1-11", "one-eleven"),
+        ("about 5.", "about five."),
+        (".5% off", "zero point five percent off"),
+        ("$1,200.50 (2 of 3)", "one thousand, two hundred dollars, fifty cents (two of three)"),
+        ("$.01", "zero dollars, one cent"),
+        ("10.0.0.1", "ten.zero.zero.one"),
+        ("x1y22z", "xoneytwenty-twoz"),
+        ("٣ and 0007", "three and seven"),
+    ],
+)
+def test_numbers_in_texts(text, words):
+    assert digits_to_words(text) == words
 
 
 def test_digits():

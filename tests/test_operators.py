@@ -56,17 +56,18 @@ def test_extract(spark):
 
 
 def plain_negatives(chunks, ruleset):
-    out = []
+    """Matches, and of the chunks without any rule's text those before which a rule has more matches than its negatives cost."""
+    free = [i for i, c in enumerate(chunks) if all(r.text not in c for r in ruleset.rules)]
+    none = dict.fromkeys(ruleset.tags, 0)
+    found = []
     for rule in ruleset.rules:
-        plus = 0
-        for i, c in enumerate(chunks):
-            if rule.text in c:
-                out.append((i, rule.text, rule.encoding))
-                plus += 1
-            elif plus > 0 and not any(r.text in c for r in ruleset.rules):
-                out.append((i, rule.text, {t: 0 for t in ruleset.tags}))
-                plus -= len(ruleset.tags)
-    return out
+        hits = [i for i, c in enumerate(chunks) if rule.text in c]
+        taken: list[int] = []
+        for i in free:
+            if sum(h < i for h in hits) > len(taken) * len(ruleset.tags):
+                taken.append(i)
+        found += [(i, rule.text, rule.encoding) for i in hits] + [(i, rule.text, none) for i in taken]
+    return found
 
 
 @pytest.mark.parametrize("tags", [["k"], ["k", "l"], ["k", "l", "m"]])
