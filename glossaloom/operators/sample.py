@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.hashes import smallest
+
 
 def shuffled(seed: str, *key: str) -> Column:
     """A hash that orders rows at random."""
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in key)))
 
 
+def _order(seed: str, *key: str) -> Column:
+    """The first 60 bits of the hash, as a long in the same order."""
+    return F.conv(F.substring(shuffled(seed, *key), 1, 15), 16, 10).cast("long")
+
+
 def sample_rows(df: DataFrame, percent: float, *, key: Sequence[str], seed: str = "42") -> DataFrame:
-    """round(rows * percent / 100) rows; counted first, then the smallest hashes."""
-    size = int(df.count() * percent / 100 + 0.5)
-    return df.orderBy(shuffled(seed, *key), *key).limit(size)
+    """round(rows * percent / 100) rows: those of the smallest hashes, told by a cut. Rows of equal keys stand or fall together."""
+    return df.where(smallest(df, _order(seed, *key), int(df.count() * percent / 100 + 0.5)))
+
+
+def smallest_by(df: DataFrame, by: str, sizes: Callable[[DataFrame], DataFrame], *, key: Sequence[str], seed: str = "42") -> DataFrame:
+    """Of each value of ``by`` so many rows of the smallest hashes as ``sizes`` says, given (by, count), in (by, size).
+
+    Rows are counted by ``by`` and the first 16 bits of the hash. The counts tell in which of these parts a value's last
+    row lies; rows are ranked within their part, so no task gathers a value, however many rows it has.
+    """
+    part, edge, need, rank, before, size, own = (f"sample {x}" for x in ("part", "edge", "need", "rank", "before", "size", "by"))
+    hashed = df.withColumn(part, F.conv(F.substring(shuffled(seed, *key), 1, 4), 16, 10).cast("int"))
+    counts = hashed.groupBy(by, part).agg(F.count("*").alias("count"))
+    sizes = sizes(counts.groupBy(by).agg(F.sum("count").alias("count"))).select(F.col(by).alias(own), F.col("size").alias(size))
+    upto = W.partitionBy(by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    met = counts.withColumn(before, F.coalesce(F.sum("count").over(upto), F.lit(0))).join(sizes, F.col(by).eqNullSafe(F.col(own)))
+    edges = met.where(F.col(before) < F.col(size)).groupBy(F.col(by).alias(own)).agg(F.max(part).alias(edge), F.max_by(F.col(size) - F.col(before), part).alias(need))
+    some = hashed.join(edges, hashed[by].eqNullSafe(edges[own])).where(F.col(part) <= F.col(edge))
+    ranked = some.withColumn(rank, F.row_number().over(W.partitionBy(by, part).orderBy(shuffled(seed, *key), *key)))
+    return ranked.where((F.col(part) < F.col(edge)) | (F.col(rank) <= F.col(need))).select(*df.columns)
 
 
 def sample_rows_by(df: DataFrame, by: str, percent: float, *, key: Sequence[str], seed: str = "42") -> DataFrame:
-    """round(rows * percent / 100) rows of each source, by rank of their hash."""
-    order = W.partitionBy(by).orderBy(shuffled(seed, *key), *key)
-    sizes = df.groupBy(by).agg(F.floor(F.count("*") * percent / 100 + 0.5).alias("_size"))
-    ranked = df.withColumn("_rank", F.row_number().over(order))
-    return ranked.join(sizes, by).where("_rank <= _size").drop("_rank", "_size")
+    """round(rows * percent / 100) rows of each source, of the smallest hashes."""
+    return smallest_by(df, by, lambda counts: counts.withColumn("size", F.floor(F.col("count") * percent / 100 + 0.5)), key=key, seed=seed)
 
 
 def sample_files(paths: DataFrame, percent: float, *, path: str = "path", seed: str = "42") -> DataFrame:
-    """floor(files * percent / 100) files."""
-    size = int(paths.count() * percent / 100)
-    return paths.orderBy(shuffled(seed, path), path).limit(size)
+    """floor(files * percent / 100) files. Paths that are equal stand or fall together."""
+    return paths.where(smallest(paths, _order(seed, path), int(paths.count() * percent / 100)))
 
 
 def split(df: DataFrame, train_percent: int = 80, *, key: Sequence[str], seed: str = "42") -> tuple[DataFrame, DataFrame]:

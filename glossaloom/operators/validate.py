@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .sample import shuffled
+from .sample import smallest_by
 
 
 def rule_counts(train: DataFrame) -> DataFrame:
@@ -28,9 +28,8 @@ def quotas(counts: DataFrame, x: int = 100, m: int = 5) -> DataFrame:
 
 def validation_sample(train: DataFrame, x: int = 100, m: int = 5, *, key: Sequence[str], seed: str = "42") -> DataFrame:
     """``train`` rows within their rule's quota, with an empty ``truth``."""
-    ranked = train.withColumn("_rank", F.row_number().over(W.partitionBy("rule").orderBy(shuffled(seed, *key), *key)))
-    kept = ranked.join(quotas(rule_counts(train), x, m).select("rule", "quota"), "rule").where(F.col("_rank") <= F.col("quota"))
-    return kept.drop("_rank", "quota").withColumn("truth", F.lit(None).cast("int"))
+    kept = smallest_by(train, "rule", lambda counts: quotas(counts, x, m).select("rule", F.col("quota").alias("size")), key=key, seed=seed)
+    return kept.withColumn("truth", F.lit(None).cast("int"))
 
 
 def _cell(truth: str, predicted: str, t: int, p: int) -> Column:
