@@ -9,11 +9,12 @@ on the input. The steps:
    holds settles its windows. Minimisers are counted over all documents by
    partial sums and joined back to those that may be shared.
 2. Windows with a shared minimiser are sent, as runs of words, to the shard of
-   the minimiser. One that ``HOT`` documents or more hold would overload its
-   shard; its windows are dealt one by one, by their own hash, and a copy that
-   documents share in thousands is one row for each of them. There is one shard
-   for each ``PER_SHARD`` holders counted in step 1, so shards keep their size
-   however large the corpus is.
+   the minimiser. There is one shard for each ``PER_SHARD`` holders counted in
+   step 1, so shards keep their size however large the corpus is.
+   A minimiser that ``HOT`` documents or more hold would overload its shard.
+   Its windows are told by two hashes of their words; their smallest id comes
+   from partial sums and is joined back to them, so a passage that a third of
+   the corpus holds is dealt over all tasks.
 3. A shard indexes each distinct run once, with the smallest id that holds it:
    suffix order to ``size`` words, Burrows-Wheeler transform, and a wavelet
    matrix of packed bits. The runs are then streamed through backward search,
@@ -48,7 +49,7 @@ from .words import blocks, mix, white_space_words, window_hashes, window_starts
 
 SIZE = 13
 GRAM = 4
-HOT = 1000
+HOT = 10_000
 PER_SHARD = 1 << 13
 
 
@@ -165,6 +166,7 @@ def _runs(size: int, shards: int):
             for block in blocks(batch.column(1), white_space_words()):
                 hashes, at, key = _block_windows(block, size)
                 whole = mix(window_hashes(hashes, size)) if len(at) else key
+                other = window_hashes(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), size) if len(at) else key
                 row = block.rows()[at]
                 bounds = np.searchsorted(row, np.arange(block.last - block.first + 1))
                 wanted, hot = np.zeros(len(at), bool), np.zeros(len(at), bool)
@@ -193,12 +195,17 @@ def _runs(size: int, shards: int):
                 places = (at[heads] - block.bounds[row[heads]]).astype(np.int32)
                 places_end = np.append(np.flatnonzero(first), len(heads)).astype(np.int32)
                 heads, tails, by = heads[first], tails[first], by[first]
+                cold = ~hot[heads]
                 begin, end = block.start[at[heads]].tolist(), block.end[at[tails] + size - 1].tolist()
                 data = block.data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((by % np.uint64(shards)).astype(np.int32)), pa.array(ids[block.first + row[heads]]), pa.ListArray.from_arrays(pa.array(places_end), pa.array(places)), pa.array([data[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())],
-                    names=["shard", "id", "places", "run"],
-                )
+                    [
+                        pa.array((by % np.uint64(shards)).astype(np.int32)), pa.array(ids[block.first + row[heads]]), pa.ListArray.from_arrays(pa.array(places_end), pa.array(places)),
+                        pa.array([data[a:b] if c else None for a, b, c in zip(begin, end, cold.tolist(), strict=True)], pa.binary()),
+                        pa.array(by.view(np.int64), mask=cold), pa.array(other[at[heads]].view(np.int64), mask=cold),
+                    ],
+                    names=["shard", "id", "places", "run", "wa", "wb"],
+                )
 
     return run
 
@@ -294,10 +301,15 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", s
     some, _ = sieved(held, "key", keys, "key")
     shared = some.join(keys.hint("merge"), "key")
     wanted = shared.groupBy("id").agg(F.collect_set(F.struct("key", (F.col("n") >= HOT).alias("hot"))).alias("keys"))
-    runs = rows.join(wanted.hint("merge"), "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, places array<int>, run binary")
+    runs = rows.join(wanted.hint("merge"), "id").select("id", "text", "keys").mapInArrow(_runs(size, shards), "shard int, id long, places array<int>, run binary, wa long, wb long")
+    runs = written(runs, "runs")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(partitions, "shard").sortWithinPartitions("shard")
+    dealt = runs.where("run is not null").select("shard", "id", "places", "run").repartition(partitions, "shard").sortWithinPartitions("shard")
     found = dealt.mapInArrow(_search_shards(size), "id long, a int, b int")
+    hot = runs.where("run is null").select("wa", "wb", "id", "places")
+    least = written(hot.groupBy("wa", "wb").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("wa", "wb", "lo"), "least")
+    late = hot.join(least.hint("merge"), ["wa", "wb"]).where("id > lo").select("id", F.explode("places").alias("a"))
+    found = found.unionByName(late.withColumn("b", F.col("a") + size))
     return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
