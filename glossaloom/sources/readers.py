@@ -69,20 +69,29 @@ def read_zip(spark: SparkSession, paths: str, fields: Sequence[str], *, kind: st
     return files.mapInPandas(run, _strings(names))
 
 
-def file_texts(spark: SparkSession, paths: str, *, pattern: str = "*.txt") -> DataFrame:
-    """(name, text) of the files below a folder; the name is relative to it."""
-    root = paths.rstrip("/")
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return rows.select(F.regexp_extract("_metadata.file_path", r"[^/]*$", 0).alias("name"), F.col("value").alias("text"))
-
-
-def join_file_texts(rows: DataFrame, texts: DataFrame, *, filename: str = "filename", id: str = "id", separator: str = ";;") -> DataFrame:
-    """Texts in place of the names of their files, several joined by a space in order. A row without any file goes."""
-    names = rows.withColumn("_row", F.monotonically_increasing_id()) if id not in rows.columns else rows.withColumn("_row", F.col(id))
-    each = names.select("_row", F.posexplode(F.split(filename, separator)).alias("_pos", "name")).withColumn("name", F.btrim("name"))
-    met = each.join(texts, "name").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "text"))).alias("_parts"))
-    joined = F.array_join(F.transform("_parts", lambda x: x["text"]), " ").alias("text")
-    return names.join(met.select("_row", joined), "_row").drop("_row", filename)
+def file_texts(spark: SparkSession, root: str, *, pattern: str = "*.txt") -> DataFrame:
+    """(name, text) of the files below a folder; the name is their path from it."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root.rstrip("/"), wholetext=True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
+    path = F.url_decode(F.replace(F.parse_url(F.col("_metadata.file_path"), F.lit("PATH")), F.lit("+"), F.lit("%2B")))  # file paths are written as in addresses
+    return rows.select(F.substring(path, len(folder) + 2, 1 << 30).alias("name"), F.col("value").alias("text"))
+
+
+def join_file_texts(rows: DataFrame, texts: DataFrame, *, filename: str = "filename", folder: str | None = None, parent: str | None = None, separator: str = ";;") -> DataFrame:
+    """Texts in place of the names of their files, several joined by a space in order.
+
+    Names are paths from the root of ``texts``, below ``folder`` if it is given, or else below what the row's column
+    ``parent`` says. Files that are missing are left out, and rows without any go. Rows may repeat.
+    """
+    name = F.btrim(F.col("name"))
+    below = F.lit(folder) if folder is not None else F.col(f"row.{parent}") if parent is not None else F.lit(None).cast("string")
+    keyed = rows.select(F.monotonically_increasing_id().alias("key"), F.struct(*rows.columns).alias("row"), F.split(filename, separator).alias("names"))
+    each = keyed.select("key", "row", F.posexplode("names").alias("pos", "name"))
+    each = each.where(name != "").select("key", "row", "pos", F.concat_ws("/", F.when(below != "", F.btrim(below, F.lit("/"))), name).alias("name"))
+    met = each.join(texts.select("name", F.col("text").alias("found")), "name").groupBy("key").agg(F.first("row").alias("row"), F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda x: x["found"]), " ").alias("text")
+    return met.select(*(F.col("row").getField(c).alias(c) for c in rows.columns if c not in (filename, "text")), joined)
 
 
 def read_metadata(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], id: str) -> DataFrame:

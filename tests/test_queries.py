@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entries
+from glossaloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages benchmark labels conversations embeddings".split()
@@ -24,10 +25,10 @@ def rows(frame, columns):
     return sorted(map(repr, frame[columns].astype(str).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, db, name):
-    found = entries.queries()[name](spark, SF).toPandas()
-    expected = db.sql(entries.oracle_sql()[name]).df()
+    found = catalogue.queries()[name](spark, SF).toPandas()
+    expected = db.sql(catalogue.oracle_sql()[name]).df()
     columns = sorted(expected.columns)
     assert sorted(found.columns) == columns
     assert rows(found, columns) == rows(expected, columns)

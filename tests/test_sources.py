@@ -40,6 +40,20 @@ def test_file_texts(spark, tmp_path):
     assert {r.id: r.text for r in found} == {1: "second first\nfile"}
 
 
+def test_file_texts_below_folders(spark, tmp_path):
+    for name, text in (("a/x.txt", "one"), ("b/x.txt", "two"), ("x.txt", "top"), ("b/my file+1%.txt", "odd")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    texts = readers.file_texts(spark, f"{tmp_path}/")
+    assert {r.name for r in texts.collect()} == {"a/x.txt", "b/x.txt", "x.txt", "b/my file+1%.txt"}
+    rows = spark.createDataFrame([(1, "a/x.txt", "b"), (1, "x.txt;;x.txt", "a"), (2, "x.txt", "b"), (2, "x.txt", "b"), (3, "", "a"), (4, None, None), (5, "x.txt", None)], "id long, filename string, dir string").repartition(3)
+    told = lambda found: sorted((r.id, r.text) for r in found.collect())
+    assert told(readers.join_file_texts(rows, texts)) == [(1, "one"), (1, "top top"), (2, "top"), (2, "top"), (5, "top")]
+    assert told(readers.join_file_texts(rows, texts, parent="dir")) == [(1, "one one"), (2, "two"), (2, "two"), (5, "top")]
+    assert told(readers.join_file_texts(rows, texts, folder="b")) == [(1, "two two"), (2, "two"), (2, "two"), (5, "two")]
+    assert readers.join_file_texts(rows, texts).columns == ["id", "dir", "text"]
+
+
 def test_metadata_and_documents(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes("Key,Größe\nx,5\n".encode("latin-1"))
     row = readers.read_metadata(spark, f"{tmp_path}/m.csv", ["Key", "Größe"], "Key").first()
