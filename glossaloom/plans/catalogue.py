@@ -117,6 +117,24 @@ r(rule, ord, match, {", ".join(rules.tags)}) AS (VALUES {rows}),
 t AS (SELECT doc_id, source, pos::INT AS pos, chunk, rule, ord::INT AS ord, match::INT AS match, {", ".join(f"{t}::INT AS {t}" for t in rules.tags)} FROM x CROSS JOIN r WHERE {hit})"""
 
 
+def _sql_negatives(rules: RuleSet) -> str:
+    """Positives and sampled negatives. The nth chunk without any rule's text is taken if fewer were taken than the share
+    ``c`` that the matches before it pay for; with n - c bounded from above, their number is a running minimum."""
+    k, tags = len(rules.tags), ", ".join(rules.tags)
+    rows = ", ".join(f"('{r.text}', {r.order}, {r.priority}, {', '.join(str(r.encoding[t]) for t in rules.tags)})" for r in rules.rules)
+    hit = "CASE ord " + " ".join(f"WHEN {r.order} THEN {_sql_hit(r, 'chunk')}" for r in rules.rules) + " END"
+    return f"""WITH {_sql_extract()},
+x AS (SELECT doc_id, source, unnest(range(len(chunks))) AS pos, unnest(chunks) AS chunk FROM e),
+r(rule, ord, match, {tags}) AS (VALUES {rows}),
+a AS (SELECT *, {hit} AS hit, {_sql_any("chunk", [r.text for r in rules.rules])} AS told FROM x CROSS JOIN r),
+h AS (SELECT *, coalesce(sum(hit::INT) OVER (PARTITION BY doc_id, ord ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY pos) AS i, ceil(before / {k}) AS c FROM h WHERE NOT hit AND NOT told),
+m AS (SELECT *, i + least(0, min(c - i) OVER (PARTITION BY doc_id, ord ORDER BY pos)) AS taken FROM n),
+o AS (SELECT *, lag(taken, 1, 0) OVER (PARTITION BY doc_id, ord ORDER BY pos) AS earlier FROM m)
+SELECT doc_id, source, pos::INT AS pos, chunk, rule, ord::INT AS ord, match::INT AS match, {", ".join(f"{t}::INT AS {t}" for t in rules.tags)} FROM a WHERE hit
+UNION ALL SELECT doc_id, source, pos::INT, chunk, rule, ord::INT, match::INT, {", ".join("0" for _ in rules.tags)} FROM o WHERE taken > earlier"""
+
+
 # Gates, cleaning, extraction --------------------------------------------------------------------------------------
 
 
@@ -230,7 +248,7 @@ def trainset_dedupe(spark, sf):
     return trainset.dedupe(_train(spark, sf), ["doc_id", "pos"], ["source"])
 
 
-@query("trainset_negative")
+@query("trainset_negative", _sql_negatives(RULES_LONG))
 def trainset_negative(spark, sf):
     return _train(spark, sf, negatives=True)
 
@@ -446,8 +464,7 @@ def nb_train_metrics(spark, sf):
 
 @query("rf_train_metrics")
 def rf_train_metrics(spark, sf):
-    rows = trainset.dedupe(_train(spark, sf, negatives=True), ["doc_id", "pos"])
-    return train(rows, ["linking", "nominal"], "rf", trees=10, depth=8)[1]
+    return _metrics(spark, sf, "rf")[1]
 
 
 @query("classify_docs")
