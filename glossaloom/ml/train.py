@@ -64,17 +64,24 @@ def train(rows: DataFrame, tags: Sequence[str], algorithm: str = "nb", *, rate:
         found = score(model.transform(held).select(F.col(tag).alias("truth"), F.col("prediction").cast("int").alias("predicted")))
         found = found.select(F.lit(tag).alias("class"), F.lit(f"{algorithm.upper()}_{rate}-{tag}").alias("name"), "*")
         scores = found if scores is None else scores.unionByName(found)
+    first.unpersist()
     return models, scores
 
 
-def classify(extracts: DataFrame, models: Mapping[str, PipelineModel], keywords: Mapping[str, Sequence[str]], *, id: str = "id", chunks: str = "chunks") -> DataFrame:
-    """``extracts`` with each tag: 1 if a chunk with one of its keywords is predicted 1, else 0."""
-    rows = extracts
-    parts = extracts.select(id, F.explode(F.array_distinct(chunks)).alias("chunk"))
-    for tag, model in models.items():
-        told = model.transform(parts.where(any_in(F.col("chunk"), keywords[tag]))).groupBy(id).agg(F.max("prediction").cast("int").alias(tag))
-        rows = rows.join(told, id, "left").fillna(0, [tag])
-    return rows
+def classify(extracts: DataFrame, models: Mapping[str, PipelineModel], keywords: Mapping[str, Sequence[str]], *, chunks: str = "chunks") -> DataFrame:
+    """``extracts`` with each tag: 1 if a chunk with one of its keywords is predicted 1, else 0.
+
+    Chunks go through all models in one pass and meet their row once; rows may repeat.
+    """
+    keyed = extracts.select(F.monotonically_increasing_id().alias("_key"), F.struct(*extracts.columns).alias("_row"), F.array_distinct(chunks).alias("_chunks"))
+    parts = keyed.select("_key", "_row", F.explode_outer("_chunks").alias("chunk")).withColumn("chunk", F.coalesce("chunk", F.lit("")))
+    kept = ["_key", "_row", "chunk"]
+    for i, (tag, model) in enumerate(models.items()):
+        told = F.when(any_in(F.col("chunk"), keywords[tag]), F.col("prediction").cast("int"))
+        parts = model.transform(parts).select(*kept, told.alias(f"_{i}"))
+        kept.append(f"_{i}")
+    found = parts.groupBy("_key").agg(F.first("_row").alias("_row"), *(F.coalesce(F.max(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(models))))
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in extracts.columns if c not in models), *(F.col(f"_{i}").alias(tag) for i, tag in enumerate(models)))
 
 
 def save(models: Mapping[str, PipelineModel], path: str) -> None:

@@ -52,3 +52,8 @@ def apply_rules(extracts: DataFrame, rulesets: RuleSet | Sequence[RuleSet], *, c
             found.setdefault(tag, []).append(F.coalesce(F.get(values, F.col(f"_won{k}")), F.lit(0)).cast("int"))
     rows = rows.withColumns({tag: each[0] if len(each) == 1 else F.greatest(*each) for tag, each in found.items()})
     return rows.drop(*(f"_won{k}" for k in range(len(rulesets))))
+
+
+def rule_words(rule: Column) -> Column:
+    """How many words a rule has."""
+    return F.size(F.filter(F.split(rule, r"\s+"), lambda w: w != ""))

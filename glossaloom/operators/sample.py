@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.clean import clean_sample
 from ..functions.hashes import smallest
 
 
@@ -52,6 +53,13 @@ def sample_files(paths: DataFrame, percent: float, *, path: str = "path", seed:
     return paths.where(smallest(paths, _order(seed, path), int(paths.count() * percent / 100)))
 
 
+def sample_documents(df: DataFrame, *, key: Sequence[str], text: str = "text", percent: float = 1, most: int = 250_000, seed: str = "42") -> DataFrame:
+    """A sample of a document store to look at: ``percent`` of the rows, ``most`` at most, with cleaned text and "" for nulls."""
+    size = min(most, int(df.count() * percent / 100))
+    chosen = df.where(smallest(df, _order(seed, *key), size)).withColumn(text, clean_sample(F.col(text)))
+    return chosen.fillna("", [f.name for f in df.schema if f.dataType.simpleString() == "string"])
+
+
 def split(df: DataFrame, train_percent: int = 80, *, key: Sequence[str], seed: str = "42") -> tuple[DataFrame, DataFrame]:
     """Two parts by a hash of the key."""
     share = F.conv(F.substring(shuffled(seed, *key), 1, 8), 16, 10).cast("long") * 100

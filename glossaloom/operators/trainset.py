@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import Rule, RuleSet
 from ..functions.tokens import any_in
 from .rules import rule_hits
+from .sample import sample_rows
 
 
 def _matched(chunks: Column, rule: Rule, rules: RuleSet, negatives: bool) -> Column:
@@ -32,8 +33,15 @@ def _matched(chunks: Column, rule: Rule, rules: RuleSet, negatives: bool) -> Col
     return F.aggregate(each, start, step)["out"]
 
 
-def training_set(extracts: DataFrame, rules: RuleSet, *, negatives: bool = False, chunks: str = "chunks", keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, pos, chunk, rule, ord, match, tags): ``match`` is the rule's priority; negatives have all tags 0."""
+def training_set(extracts: DataFrame, rules: RuleSet, *, negatives: bool = False, chunks: str = "chunks", keep: Sequence[str] = (), percent: float = 100, key: Sequence[str] = ()) -> DataFrame:
+    """(keep, pos, chunk, rule, ord, match, tags): ``match`` is the rule's priority; negatives have all tags 0.
+
+    Below 100, ``percent`` of the rows are matched, chosen by ``key`` (or ``keep``).
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
+    if percent < 100:
+        extracts = sample_rows(extracts, percent, key=list(key) or list(keep))
     found = F.array(*(F.struct(F.lit(r.order).alias("ord"), F.lit(r.text).alias("rule"), F.lit(r.priority).alias("match"), _matched(F.col(chunks), r, rules, negatives).alias("m"), *(F.lit(r.encoding[t]).alias(f"t_{t}") for t in rules.tags)) for r in rules.rules))
     rows = extracts.select(*keep, F.explode(found).alias("r")).select(*keep, "r", F.explode("r.m").alias("m"))
     return rows.select(*keep, F.col("m.pos").alias("pos"), F.col("m.chunk").alias("chunk"), F.col("r.rule").alias("rule"), F.col("r.ord").alias("ord"), F.col("r.match").alias("match"), *(F.when(F.col("m.hit"), F.col(f"r.t_{t}")).otherwise(0).cast("int").alias(t) for t in rules.tags))

@@ -470,7 +470,7 @@ def rf_train_metrics(spark, sf):
 @query("classify_docs")
 def classify_docs(spark, sf):
     models, _ = _metrics(spark, sf, "nb")
-    found = classify(_extracts(spark, sf), models, TAGS.keywords, id="doc_id")
+    found = classify(_extracts(spark, sf), models, TAGS.keywords)
     return found.select("doc_id", "source", *models)
 
 

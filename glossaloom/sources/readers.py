@@ -6,6 +6,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -112,8 +113,33 @@ def header(spark: SparkSession, path: str, *, kind: str = "csv", row_tag: str |
         return spark.read.csv(path, header=True).columns
     if kind == "xml":
         return spark.read.format("xml").option("rowTag", row_tag).option("samplingRatio", 0.01).load(path).columns
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    return next(csv.reader(io.StringIO(next(_members(content)).decode("utf-8-sig"))))
+    member = next(_members(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])))
+    if not member.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"<"):
+        return next(csv.reader(io.StringIO(member.decode("utf-8-sig"))))
+    opened: list[list[str]] = []  # the children of every open element; the first record is the one that is asked for, or the first with children
+    for event, element in ElementTree.iterparse(io.BytesIO(member), ["start", "end"]):
+        if event == "start":
+            opened.append([])
+        else:
+            children = opened.pop()
+            if element.tag == row_tag or row_tag is None and children:
+                return children
+            if opened:
+                opened[-1].append(element.tag)
+    return []
+
+
+def read_extracts(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, *, full: bool = True) -> DataFrame:
+    """Extracts or datasets of several files, one after the other by column name; CSV by its ending, Parquet otherwise.
+
+    Without ``full``, files of already tagged rows, which have "full" in their path, are left out.
+    """
+    chosen = [p for p in paths if full or "full" not in p]
+    if not chosen:
+        raise ValueError("no files are left to read")
+    frames = [spark.read.csv(p, header=True, multiLine=True, escape='"') if p.endswith(".csv") else spark.read.parquet(p) for p in chosen]
+    frames = [f.select(*(c for c in columns if c in f.columns)) if columns else f for f in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_documents(spark: SparkSession, paths: str, extractor: Callable[[bytes], str | None], *, retries: int = 3) -> DataFrame:

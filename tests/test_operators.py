@@ -189,3 +189,16 @@ def test_training(spark, algorithm, options, tmp_path):
     assert scores.first().f1 > 0.9
     extracts = spark.createDataFrame([(1, ["good great one"]), (2, ["awful poor one"]), (3, ["other"])], "id long, chunks array<string>")
     assert {r.id: r.t for r in classify(extracts, models, {"t": ["one"]}).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_training_share_and_document_sample(spark):
+    rows = spark.createDataFrame([(i, ["A x"]) for i in range(50)], "id long, chunks array<string>")
+    rules_of = RuleSet.of([("A", 1, 1)], ["t"])
+    assert trainset.training_set(rows, rules_of, keep=["id"], percent=10).count() == 5
+    with pytest.raises(ValueError):
+        trainset.training_set(rows, rules_of, keep=["id"], percent=0)
+    docs = spark.createDataFrame([(i, None if i % 2 else "Some: text 1", None) for i in range(300)], "id long, text string, other string")
+    found = sample.sample_documents(docs, key=["id"], percent=10, most=20).collect()
+    assert len(found) == 20 and {(r.text, r.other) for r in found} == {("", ""), ("Some. text", "")}
+    assert len(sample.sample_documents(docs, key=["id"]).collect()) == 3
+    assert [r[0] for r in spark.createDataFrame([("a  b c",), ("",)], "r string").select(rules.rule_words(F.col("r"))).collect()] == [3, 0]

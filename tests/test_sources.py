@@ -92,3 +92,22 @@ def test_stream(spark, tmp_path):
     query = to_parquet(label_stream(stream, ["hour"], [RuleSet.of([("hour", 0, 1)], ["t"])]), f"{tmp_path}/out", f"{tmp_path}/at")
     query.awaitTermination(60)
     assert [(r.id, r.t) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 1)]
+
+
+def test_extract_files(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "t")], "id int, text string, tag string").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([(2, "b")], "id int, text string").toPandas().to_csv(tmp_path / "x.csv", index=False)
+    spark.createDataFrame([(3, "c")], "id int, text string").write.parquet(f"{tmp_path}/x_full")
+    paths = [f"{tmp_path}/p", f"{tmp_path}/x.csv", f"{tmp_path}/x_full"]
+    assert sorted((str(r.id), r.text, r.tag) for r in readers.read_extracts(spark, paths).collect()) == [("1", "a", "t"), ("2", "b", None), ("3", "c", None)]
+    found = readers.read_extracts(spark, paths, ["id", "text"], full=False)
+    assert found.columns == ["id", "text"] and {str(r.id) for r in found.collect()} == {"1", "2"}
+
+
+def test_header_of_zipped_records(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as archive:
+        archive.writestr("x.xml", "<?xml version='1.0'?><root><rec><id>1</id><text>a</text></rec><rec><other/></rec></root>")
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as archive:
+        archive.writestr("c.csv", "id,text\n1,a\n")
+    assert readers.header(spark, f"{tmp_path}/x.zip", kind="zip", row_tag="rec") == ["id", "text"] == readers.header(spark, f"{tmp_path}/x.zip", kind="zip")
+    assert readers.header(spark, f"{tmp_path}/c.zip", kind="zip") == ["id", "text"]
