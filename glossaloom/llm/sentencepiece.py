@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 SPACE = "▁"
-BLOCK = 200_000
+BLOCK = 100_000
 LONG = 48
 KNOWN = 400_000
 OUT_IDS = 4_000_000
@@ -287,7 +287,7 @@ class Encoder:
         return ids.astype(np.int32), total[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def _parts(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _parts(column: pa.Array, chars: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
     """Slices of a text column of about so many characters."""
     first, held, size = 0, [], 0
     for i, value in enumerate(column):
