@@ -18,9 +18,12 @@ Characters that no piece holds become byte pieces.
 Blocks of distinct text are bounded by ``BLOCK`` characters and the memory of
 known segments by ``KNOWN`` entries, so memory follows the longest document.
 
-Null and empty texts have no ids. Texts are handled whole. The word separator
+Null and empty texts have no ids. Texts of any length are handled whole. Rows
+are independent, so repeated rows have equal ids and an empty table gives an
+empty one. The word separator
 U+2581 in a text is read as a space, as in the library, so such a text does not
-come back exactly. Extra columns pass through; clashing ones are replaced.
+come back exactly. Extra columns pass through whatever their names; a column
+that is named like a result is replaced.
 """
 
 from __future__ import annotations

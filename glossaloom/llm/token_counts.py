@@ -13,8 +13,10 @@ ties go to fewer tokens. A character that no piece holds costs
 ``10**6 * log(size) + 10**7`` for each of its UTF-8 bytes, each one token.
 
 Stored counts are bounded by ``KNOWN`` words a partition and start anew
-beyond that. Null and empty texts have no pre-tokens. Extra columns pass
-through; clashing ones are replaced.
+beyond that. Null and empty texts have no pre-tokens. Texts of any length are
+handled whole. Rows are independent, so repeated rows have equal counts and an
+empty table gives an empty one. Extra columns pass through whatever their
+names; a column that is named like a result is replaced.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ from glossaloom.llm.line_dedup import dedupe_lines
 from glossaloom.llm.ngram_join import join_classes, keep_one
 from glossaloom.llm.quality import judge
 from glossaloom.llm.secret_scan import ACCESS, ASSIGN, CLASSES, N_CLASSES, base_spans, labelled_credentials, learned_spans, scan, train
+from glossaloom.llm.sentencepiece import Vocabulary, encode, round_trip
 from glossaloom.llm.substring_dedup import dedupe_substrings
+from glossaloom.llm.token_counts import Unigram, count_tokens
 from tests.llm import plain
 
 CLASHES = "bit at word ones may own of lost h body gone lines id key n no text_ spans ka kb _bit _spans _gone _removed _h _text".split()
@@ -239,3 +241,13 @@ def test_secrets_of_awkward_tables(spark):
     found = scan(clashing(df))
     assert kept_extras(df, found) and Counter((r.doc_id, len(r.secrets)) for r in found.collect()) == Counter([(1, 0), (1, 0), (2, 1), (2, 1), (None, 0), (3, 0)])
     assert scan(df.limit(0)).collect() == []
+
+
+def test_tokens_of_awkward_tables(spark):
+    vocabulary, unigram = Vocabulary.load("/opt/tokenizers/piece_bpe_32k.model"), Unigram.load("/opt/tokenizers/piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "two words"), (1, "two words"), (None, None), (2, ""), (3, "x" * 300_000)], "doc_id long, text string")
+    for operator in (lambda d: encode(d, vocabulary), lambda d: round_trip(d, vocabulary), lambda d: count_tokens(d, unigram)):
+        found = operator(clashing(df))
+        assert kept_extras(df, found) and operator(df.limit(0)).collect() == []
+        counts = Counter((r.doc_id, r.n_tokens) for r in found.collect())
+        assert counts[1, 2] == 2 and counts[None, 0] == counts[2, 0] == 1 and max(n for i, n in counts if i == 3) > 10_000
