@@ -49,13 +49,15 @@ def apply_embeddings(extracts: DataFrame, rulesets: Sequence[RuleSet], tags: Tag
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold is from 0 to 1")
     vectors = class_vectors(rulesets, encoder)
+    wanted = sorted({k for tag, keys in tags.keywords.items() if tag in vectors for k in keys})
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [x or [] for x in batch.column(chunks).to_pylist()]
-            found = encoder([c for x in held for c in x])
-            ends = np.cumsum([len(x) for x in held])
-            vectors = pa.array([found[e - len(x) : e].tolist() for x, e in zip(held, ends, strict=True)], pa.list_(pa.list_(pa.float32())))
+            # chunks without a keyword of any tag have no vector; equal ones share it
+            asked = list(dict.fromkeys(c for x in held for c in x if c is not None and any(k in c for k in wanted)))
+            found = dict(zip(asked, encoder(asked).tolist(), strict=True)) if asked else {}
+            vectors = pa.array([[found.get(c) for c in x] for x in held], pa.list_(pa.list_(pa.float32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, "_vectors"])
 
     schema = T.StructType(list(extracts.schema)).add("_vectors", T.ArrayType(T.ArrayType(T.FloatType())))

@@ -26,12 +26,15 @@ def write_csv(rows: DataFrame, path: str, *, first: Sequence[str] = ()) -> None:
 
 
 def create_table(rows: DataFrame, name: str, types: Mapping[str, str], tags: Sequence[str]) -> None:
-    """Replace a table with declared columns and append the rows."""
+    """Replace a table by one with declared columns and the rows; the old one stays until the new one is whole."""
     columns = [f"`{c}` {TYPES[kind]}" for c, kind in types.items()] + [f"`{t.lower()}` int not null" for t in tags]
     spark = rows.sparkSession
+    new = f"{name}__new"
+    spark.sql(f"DROP TABLE IF EXISTS {new}")
+    spark.sql(f"CREATE TABLE {new} ({', '.join(columns)}) USING parquet")
+    append_table(rows, new)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet")
-    append_table(rows, name)
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
 
 
 def append_table(rows: DataFrame, name: str) -> None:
