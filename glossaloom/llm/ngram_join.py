@@ -95,16 +95,16 @@ def _sign(size: int, percent: int, counts: np.ndarray):
     most = int(counts.sum()) // HEAVY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
             for block in blocks(batch.column(1), white_space_words(), lower_ascii()):
                 sizes, keys, others, firsts, ends, light, bitmaps = [], [], [], [np.zeros(0, np.uint64)], [0], [], []
                 for own, known in zip(_sets(block, size), batch.column(0).slice(block.first, block.last - block.first).is_valid().to_pylist(), strict=True):
                     n, (key, other) = len(own), _set_key(own)
-                    if n and known and (key, other) not in seen:  # what this task has told of an equal set holds for this one
+                    if n and known and (whole := key << 64 ^ other) not in seen:  # what this task has told of an equal set holds for this one
                         if len(seen) >= SEEN:
                             seen = set()
-                        seen.add((key, other))
+                        seen.add(whole)
                         held = counts[(own >> np.uint64(64 - BITS)).astype(np.int64)]
                         order = np.lexsort((own, held))[: n - (percent * n + 99) // 100 + 1]
                         firsts.append(own[order])
