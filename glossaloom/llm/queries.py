@@ -11,10 +11,13 @@ from .decontaminate import decontaminate
 from .html_extract import extract_text
 from .language_id import evidence, fit, fuse
 from .line_dedup import dedupe_lines
+from .manifest import manifest
+from .mixing import taken
 from .ngram_join import join_classes
 from .quality import judge
 from .secret_scan import KINDS, scan
 from .sentencepiece import Vocabulary, round_trip
+from .source_audit import audit
 from .substring_dedup import dedupe_substrings
 from .token_counts import Unigram, count_tokens
 
@@ -165,9 +168,45 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN (SELECT lang, term FROM k) USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (gn.n + l.v)::HUGEINT AS p,
+             1 + 1000000000::HUGEINT * (k.n + 1)::HUGEINT // (l.n + l.v)::HUGEINT AS q
+      FROM gn JOIN l ON l.lang = gn.lang JOIN k ON k.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id has a checksum that 3 divides are folded with a tampered text."""
+    found = manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_substring_dedup": op2_substring_dedup, "op3_token_counts": op3_token_counts, "op4_secret_scan": op4_secret_scan, "op5_sentencepiece": op5_sentencepiece, "op6_ngram_join": op6_ngram_join, "op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract}
+    return {"op1_language_id": op1_language_id, "op2_substring_dedup": op2_substring_dedup, "op3_token_counts": op3_token_counts, "op4_secret_scan": op4_secret_scan, "op5_sentencepiece": op5_sentencepiece, "op6_ngram_join": op6_ngram_join, "op7_line_dedup": op7_line_dedup, "op8_decontaminate": op8_decontaminate, "op9_quality": op9_quality, "op10_html_extract": op10_html_extract, "op11_source_audit": op11_source_audit, "op12_merkle_manifest": op12_merkle_manifest, "op13_source_mix": op13_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_quality": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_quality": OP9_SQL, "op11_source_audit": OP11_SQL}
