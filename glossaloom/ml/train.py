@@ -14,6 +14,14 @@ from ..functions.tokens import any_in
 from ..operators.sample import split
 from ..operators.validate import score
 
+#: Words that say nothing; fixed values, those of Spark's list for English that tokens can be.
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now cannot could ought would"
+).split()
+
 LEAVES, SPLITS, TREES = (1, 2, 4, 8), (2, 4, 8, 16), range(10, 101)
 
 
@@ -21,7 +29,7 @@ def fit_features(rows: DataFrame, text: str = "chunk") -> PipelineModel:
     """Words of two or more letters, without stop words, as smoothed and normalised TF-IDF."""
     cut = Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
+        StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=STOP),
     ]).fit(rows)
     kept = cut.transform(rows)
     size = kept.select(F.explode("_kept").alias("w")).distinct().count()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clean import clean
+from ..functions.let import once
 from ..functions.tokens import any_in, contexts, sentence_tokens, word_tokens
 
 
@@ -31,7 +32,7 @@ def extract(df: DataFrame, keywords: Sequence[str], n: int = 6, *, text: str = "
     strings = {c for c, kind in df.dtypes if kind == "string"}
     for c in fields:
         rows = rows.where(F.col(c).isNotNull() & (F.col(c) != "") if c in strings else F.col(c).isNotNull())
-    rows = rows.select(*fields, chunks_of(F.col(text), keywords, n, mode, keep_num, html).alias("chunks"))
+    rows = rows.select(*fields, once(chunks_of(F.col(text), keywords, n, mode, keep_num, html)).alias("chunks"))
     return rows.where(F.size("chunks") > 0)
 
 

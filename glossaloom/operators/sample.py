@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.clean import clean_sample
 from ..functions.hashes import smallest
+from ..functions.names import unused
 
 
 def shuffled(seed: str, *key: str) -> Column:
@@ -26,18 +27,23 @@ def sample_rows(df: DataFrame, percent: float, *, key: Sequence[str], seed: str
 
 
 def smallest_by(df: DataFrame, by: str, sizes: Callable[[DataFrame], DataFrame], *, key: Sequence[str], seed: str = "42") -> DataFrame:
-    """Of each value of ``by`` so many rows of the smallest hashes as ``sizes`` says, given (by, count), in (by, size).
+    """Of each value of ``by`` so many rows of the smallest hashes as ``sizes`` says: it adds ``size`` to rows with ``by`` and ``count``.
 
-    Rows are counted by ``by`` and the first 16 bits of the hash. The counts tell in which of these parts a value's last
-    row lies; rows are ranked within their part, so no task gathers a value, however many rows it has.
+    Rows are counted by ``by`` and the first 16 bits of the hash, in one pass. A value's counts, at most 65,536, tell in
+    which of these parts its last row lies; in a second pass rows are ranked within their part, so no task gathers a
+    value, however many rows it has.
     """
-    part, edge, need, rank, before, size, own = (f"sample {x}" for x in ("part", "edge", "need", "rank", "before", "size", "by"))
+    part, edge, need, rank, own = unused(df.columns, "part", "edge", "need", "rank", "own")
     hashed = df.withColumn(part, F.conv(F.substring(shuffled(seed, *key), 1, 4), 16, 10).cast("int"))
-    counts = hashed.groupBy(by, part).agg(F.count("*").alias("count"))
-    sizes = sizes(counts.groupBy(by).agg(F.sum("count").alias("count"))).select(F.col(by).alias(own), F.col("size").alias(size))
-    upto = W.partitionBy(by).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    met = counts.withColumn(before, F.coalesce(F.sum("count").over(upto), F.lit(0))).join(sizes, F.col(by).eqNullSafe(F.col(own)))
-    edges = met.where(F.col(before) < F.col(size)).groupBy(F.col(by).alias(own)).agg(F.max(part).alias(edge), F.max_by(F.col(size) - F.col(before), part).alias(need))
+    counts = hashed.groupBy(by, part).agg(F.count("*").alias("n")).groupBy(by).agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct(F.col(part).alias("part"), F.col("n").alias("n")))).alias("parts"))
+    start = F.struct(F.lit(-1).alias("edge"), F.lit(0).cast("long").alias("need"), F.lit(0).cast("long").alias("before"))
+
+    def step(at: Column, x: Column) -> Column:
+        further = F.struct(x["part"].alias("edge"), (F.col("size") - at["before"]).cast("long").alias("need"), (at["before"] + x["n"]).alias("before"))
+        return F.when(at["before"] < F.col("size"), further).otherwise(at)
+
+    cut = F.aggregate("parts", start, step)
+    edges = sizes(counts).select(F.col(by).alias(own), cut.alias("cut")).select(own, F.col("cut.edge").alias(edge), F.col("cut.need").alias(need))
     some = hashed.join(edges, hashed[by].eqNullSafe(edges[own])).where(F.col(part) <= F.col(edge))
     ranked = some.withColumn(rank, F.row_number().over(W.partitionBy(by, part).orderBy(shuffled(seed, *key), *key)))
     return ranked.where((F.col(part) < F.col(edge)) | (F.col(rank) <= F.col(need))).select(*df.columns)
@@ -53,6 +59,11 @@ def sample_files(paths: DataFrame, percent: float, *, path: str = "path", seed:
     return paths.where(smallest(paths, _order(seed, path), int(paths.count() * percent / 100)))
 
 
+def by_ids(df: DataFrame, ids: DataFrame, *, id: str = "id") -> DataFrame:
+    """Rows whose id was sampled before; an id may be listed several times."""
+    return df.join(ids.select(id), id, "left_semi")
+
+
 def sample_documents(df: DataFrame, *, key: Sequence[str], text: str = "text", percent: float = 1, most: int = 250_000, seed: str = "42") -> DataFrame:
     """A sample of a document store to look at: ``percent`` of the rows, ``most`` at most, with cleaned text and "" for nulls."""
     size = min(most, int(df.count() * percent / 100))

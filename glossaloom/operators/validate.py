@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.names import unused
 from .sample import smallest_by
 
 
@@ -15,20 +16,21 @@ def rule_counts(train: DataFrame) -> DataFrame:
 
 
 def quotas(counts: DataFrame, x: int = 100, m: int = 5) -> DataFrame:
-    """(rule, count, quota): shares of about x rows, at least m for each rule that has more than m in its share."""
+    """``counts`` with ``quota``: shares of about x rows, at least m for each rule that has more than m in its share."""
     if not (1 <= x <= 1000 and 1 <= m <= 100):
         raise ValueError("x is from 1 to 1000, m from 1 to 100")
-    # rules are few: totals come from one row, joined to each rule
-    total = counts.agg(F.sum("count").alias("_total"), (F.lit(x) + m * F.count("*")).alias("_wanted"))
-    v = counts.crossJoin(F.broadcast(total)).withColumn("_v", F.floor(F.col("count") / F.col("_total") * F.col("_wanted") + 5))
-    above = v.agg(F.sum(F.when(F.col("_v") > m, F.col("_v"))).alias("_above"))
-    share = F.floor((F.col("_v") - m) / F.col("_above") * F.col("_wanted"))
-    return v.crossJoin(F.broadcast(above)).select("rule", "count", F.when(F.col("_v") > m, F.greatest(share, F.lit(m))).otherwise(F.col("_v")).cast("long").alias("quota"))
+    # one row for each rule: they are few, and a window over all of them reads them once
+    v, wanted = unused(counts.columns, "v", "wanted")
+    rules = W.partitionBy(F.lit(0))
+    rows = counts.withColumn(wanted, F.lit(x) + m * F.count("*").over(rules))
+    rows = rows.withColumn(v, F.floor(F.col("count") / F.sum("count").over(rules) * F.col(wanted) + 5))
+    share = F.floor((F.col(v) - m) / F.sum(F.when(F.col(v) > m, F.col(v))).over(rules) * F.col(wanted))
+    return rows.withColumn("quota", F.when(F.col(v) > m, F.greatest(share, F.lit(m))).otherwise(F.col(v)).cast("long")).drop(v, wanted)
 
 
 def validation_sample(train: DataFrame, x: int = 100, m: int = 5, *, key: Sequence[str], seed: str = "42") -> DataFrame:
     """``train`` rows within their rule's quota, with an empty ``truth``."""
-    kept = smallest_by(train, "rule", lambda counts: quotas(counts, x, m).select("rule", F.col("quota").alias("size")), key=key, seed=seed)
+    kept = smallest_by(train, "rule", lambda counts: quotas(counts, x, m).withColumnRenamed("quota", "size"), key=key, seed=seed)
     return kept.withColumn("truth", F.lit(None).cast("int"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import RuleSet, TagSet
 from ..functions.clean import clean, clean_file, clean_sample, spell_digits, without_markup
 from ..functions.tokens import trim_to_keyword
-from ..ml.train import classify, train
+from ..ml.light import Light, classify_light
+from ..ml.train import STOP, classify, train
 from ..operators import dataset, embed, explore, extract, metadata, rules, sample, trainset, validate
 
 TAGS = TagSet({"linking": ["that", "with"], "nominal": ["tion"], "legal": ["license", "License"]})
@@ -31,14 +32,20 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
+def registrar(queries: dict[str, Query], sql_texts: dict[str, str]):
+    def query(name: str, sql: str | None = None):
+        def register(f: Query) -> Query:
+            queries[name] = f
+            if sql is not None:
+                sql_texts[name] = sql
+            return f
 
-    return register
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, SQL)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -229,6 +236,37 @@ def embedding_evidence(spark, sf):
     return embed.apply_embeddings(_extracts(spark, sf), [RULES_A], TAGS, 0.2).select("doc_id", *TAGS.keywords, *(F.array_join(f"{t}_evidence", "|").alias(f"{t}_evidence") for t in TAGS.keywords))
 
 
+# Many rules: the words and pairs of words of the benchmark, which are some thousand -------------------------------------
+
+_MANY = """r AS (SELECT rule, CASE WHEN contains(rule, ' ') THEN 2 ELSE length(rule) % 2 END AS prio, (md5(rule) < '8')::INT AS nominal, (md5(rule) >= '8')::INT AS linking
+FROM (SELECT DISTINCT unnest(list_concat(regexp_extract_all(lower(text), '[a-z]{4,}'), regexp_extract_all(lower(text), '[a-z]+ [a-z]+'))) AS rule FROM benchmark)),
+k AS (SELECT *, row_number() OVER (ORDER BY rule) AS ord FROM r)"""
+
+
+def _many_rules(spark, sf) -> RuleSet:
+    """A rule file made from the benchmark, which has some hundred items whatever the corpus."""
+    words = lambda pattern: F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
+    rows = _table(spark, sf, "benchmark").select(F.explode(F.concat(words("[a-z]{4,}"), words("[a-z]+ [a-z]+"))).alias("rule")).distinct()
+    low = (F.md5("rule") < "8").cast("int")
+    rows = rows.select("rule", F.when(F.col("rule").contains(" "), 2).otherwise(F.length("rule") % 2).alias("prio"), (1 - low).alias("linking"), low.alias("nominal"))
+    return RuleSet.of(sorted(tuple(r) for r in rows.collect()), ["linking", "nominal"], "many")
+
+
+@query("extrapolate_many_rules", f"""WITH {_sql_extract()}, {_MANY}, x AS (SELECT DISTINCT doc_id, unnest(chunks) AS chunk FROM e),
+best AS (SELECT doc_id, first(linking ORDER BY prio DESC, ord) AS linking, first(nominal ORDER BY prio DESC, ord) AS nominal FROM x JOIN k ON contains(chunk, rule) GROUP BY doc_id)
+SELECT doc_id, source, coalesce(linking, 0)::INT AS linking, coalesce(nominal, 0)::INT AS nominal FROM e LEFT JOIN best USING (doc_id)""")
+def extrapolate_many_rules(spark, sf):
+    return rules.apply_rules(_extracts(spark, sf), _many_rules(spark, sf)).drop("chunks")
+
+
+@query("trainset_many_rules", f"""WITH {_sql_extract()}, {_MANY}, x AS (SELECT doc_id, source, unnest(range(len(chunks)))::INT AS pos, unnest(chunks) AS chunk FROM e)
+SELECT doc_id, source, pos, rule, count(*) OVER (PARTITION BY rule) AS uses, prio::INT AS match, linking, nominal FROM x JOIN k ON contains(chunk, rule)""")
+def trainset_many_rules(spark, sf):
+    found = trainset.training_set(_extracts(spark, sf), _many_rules(spark, sf), keep=["doc_id", "source"]).drop("ord", "chunk")
+    uses = found.groupBy("rule").agg(F.count("*").alias("uses"))
+    return found.join(uses, "rule")
+
+
 # Training rows ----------------------------------------------------------------------------------------------------
 
 _TRAIN = "doc_id, source, pos, chunk, rule, ord, match, linking, nominal"
@@ -285,6 +323,31 @@ def preview_first(spark, sf):
     return explore.preview(_table(spark, sf, "documents").select("doc_id", "lang", "source"), x=100, order=["doc_id"])
 
 
+@query("preview_random", "SELECT doc_id, lang, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100")
+def preview_random(spark, sf):
+    return explore.preview(_table(spark, sf, "documents").select("doc_id", "lang", "source"), "RANDOM", 100, key=["doc_id"])
+
+
+_WORDS = "SELECT word AS chunk, count(*) AS count FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY word ORDER BY count DESC, chunk LIMIT 50"
+
+
+@query("explore_frequent_words", _WORDS)
+def explore_frequent_words(spark, sf):
+    words = _docs(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("chunk"))
+    return explore.frequent_chunks(words, 50)
+
+
+@query("highlight_table", f"WITH {_sql_extract()} SELECT doc_id, array_to_string(list_filter(range(1, len(chunks) + 1), lambda i: contains(chunks[i], 'that')), ',') AS marked, chunks[1] AS chunk_1, chunks[2] AS chunk_2 FROM e ORDER BY md5('42|' || doc_id), doc_id LIMIT (SELECT floor(count(*) * 0.1 + 0.5)::BIGINT FROM e)")
+def highlight_table(spark, sf):
+    found = explore.highlight_table(_extracts(spark, sf), ["that"], key=["doc_id"])
+    return found.select("doc_id", F.array_join("marked", ",").alias("marked"), "chunk_1", "chunk_2")
+
+
+@query("sampled_ids", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def sampled_ids(spark, sf):
+    return sample.by_ids(_docs(spark, sf).select("doc_id", "source"), _table(spark, sf, "labels").where("toxic = 1"), id="doc_id")
+
+
 @query("sample_rows", "SELECT doc_id, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT (SELECT floor(count(*) * 0.1 + 0.5)::BIGINT FROM documents)")
 def sample_rows(spark, sf):
     return sample.sample_rows(_docs(spark, sf).select("doc_id", "source"), 10, key=["doc_id"])
@@ -370,6 +433,23 @@ def table_changes(spark, sf):
     return metadata.changes(before, labels.select("doc_id", F.when(F.col("toxic") == 1, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality")))
 
 
+@query("cell_changes", """WITH b AS (SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1)
+SELECT doc_id, 1 AS nth, unnest(['quality', 'toxic']) AS "column", unnest([quality::VARCHAR, toxic::VARCHAR]) AS old, NULL::VARCHAR AS new, 'removed' AS change FROM b WHERE quality = 0
+UNION ALL SELECT doc_id, 1, 'quality', quality::VARCHAR, NULL, 'changed' FROM b WHERE quality <> 0
+UNION ALL SELECT -1 - doc_id, 1, unnest(['quality', 'toxic']), NULL, unnest([quality::VARCHAR, toxic::VARCHAR]), 'added' FROM b""")
+def cell_changes(spark, sf):
+    """Toxic documents of low quality go, those of high quality lose it, and each toxic one is added once more."""
+    labels = _table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    after = labels.where("NOT (toxic = 1 AND quality = 0)").withColumn("quality", F.when(F.col("toxic") == 0, F.col("quality")))
+    added = labels.where("toxic = 1").withColumn("doc_id", -1 - F.col("doc_id"))
+    return metadata.cell_changes(labels, after.unionByName(added), ["doc_id"])
+
+
+@query("row_counts", "SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels")
+def row_counts(spark, sf):
+    return metadata.row_counts({t: _table(spark, sf, t) for t in ("documents", "pages", "labels")})
+
+
 @query("common_columns", "SELECT unnest(['text']) AS name")
 def common_columns(spark, sf):
     names = metadata.common_columns([_table(spark, sf, t) for t in ("documents", "conversations", "benchmark")])
@@ -440,6 +520,16 @@ def embedding_cosine_match(spark, sf):
     return pairs.select("vec_id", "label", "class", F.round("c", 6).alias("cosine"), (F.col("c") > 0.6).cast("int").alias("tag"))
 
 
+@query("embedding_best_class", f"""WITH {_MEANS}, c AS (SELECT label AS class, list(mean ORDER BY pos) AS vector FROM m GROUP BY label),
+s AS (SELECT vec_id, label, class, list_cosine_similarity(embedding::DOUBLE[], vector) AS cosine FROM embeddings CROSS JOIN c)
+SELECT vec_id, label, class, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, class) AS n FROM s) WHERE n = 1""")
+def embedding_best_class(spark, sf):
+    classes = _means(spark, sf).groupBy(F.col("label").alias("class")).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"))
+    classes = classes.select("class", F.transform("v", lambda x: x["mean"]).alias("vector"))
+    found = embed.best_class(_table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), classes)
+    return found.select("vec_id", "label", "class", F.round("cosine", 6).alias("cosine"))
+
+
 # Trimming and classifiers -----------------------------------------------------------------------------------------
 
 
@@ -457,7 +547,27 @@ def _metrics(spark, sf, algorithm):
     return train(rows, ["linking", "nominal"], algorithm)
 
 
-@query("nb_train_metrics")
+def _sql_bayes() -> str:
+    """CTEs of the training in SQL: ``d`` (tag, word, weight), ``b`` (tag, bias), ``i`` (word, idf), ``k`` (chunk, label of each tag, part)."""
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    both = " UNION ALL ".join(f"SELECT chunk, first, '{t}' AS tag, {t} AS y FROM k" for t in ("linking", "nominal"))
+    return f"""t AS ({_sql_negatives(RULES_LONG)}),
+k AS (SELECT *, ('0x' || substr(md5('42|' || chunk), 1, 8))::BIGINT * 100 < 80 * 4294967296 AS first FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY match DESC, ord, doc_id, pos) AS n FROM t) WHERE n = 1),
+f AS (SELECT chunk, first, word, count(*) AS tf FROM (SELECT chunk, first, unnest(regexp_extract_all(chunk, '[a-z0-9]{{2,}}')) AS word FROM k) WHERE word NOT IN ({stop}) GROUP BY ALL),
+i AS (SELECT word, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM f, (SELECT count(*) AS n FROM k WHERE first) WHERE first GROUP BY word),
+x AS (SELECT chunk, first, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY chunk)) AS v FROM f JOIN i USING (word)),
+l AS ({both}),
+s AS (SELECT tag, y, word, sum(v) AS s FROM x JOIN l USING (chunk) WHERE x.first GROUP BY ALL),
+a AS (SELECT tag, word, coalesce(sum(s) FILTER (y = 1), 0) AS s1, coalesce(sum(s) FILTER (y = 0), 0) AS s0 FROM (SELECT DISTINCT tag, word FROM l, i) LEFT JOIN s USING (tag, word) GROUP BY ALL),
+d AS (SELECT tag, word, ln((s1 + 1) / (sum(s1) OVER z + count(*) OVER z)) - ln((s0 + 1) / (sum(s0) OVER z + count(*) OVER z)) AS weight FROM a WINDOW z AS (PARTITION BY tag)),
+b AS (SELECT tag, ln((count(*) FILTER (y = 1) + 1) / (count(*) FILTER (y = 0) + 1)) AS bias FROM l WHERE first GROUP BY tag)"""
+
+
+_TOLD = "SELECT l.tag, l.chunk, y AS truth, (bias + coalesce(sum(v * weight), 0) > 0)::INT AS predicted FROM l JOIN b USING (tag) LEFT JOIN (x JOIN d USING (word)) ON x.chunk = l.chunk AND d.tag = l.tag WHERE NOT l.first GROUP BY l.tag, l.chunk, y, bias"
+
+
+@query("nb_train_metrics", f"""WITH {_sql_bayes()}, p AS ({_TOLD}), c AS (SELECT tag, count(*) FILTER (truth = 1 AND predicted = 1) AS tp, count(*) FILTER (truth = 0 AND predicted = 1) AS fp, count(*) FILTER (truth = 1 AND predicted = 0) AS fn, count(*) FILTER (truth = 0 AND predicted = 0) AS tn FROM p GROUP BY tag)
+SELECT tag AS class, 'NB_100-' || tag AS name, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 3) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 3) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 3) AS f1 FROM c""")
 def nb_train_metrics(spark, sf):
     return _metrics(spark, sf, "nb")[1]
 
@@ -467,13 +577,28 @@ def rf_train_metrics(spark, sf):
     return _metrics(spark, sf, "rf")[1]
 
 
-@query("classify_docs")
+_CLASSIFIED = f"""WITH {_sql_extract()}, {_sql_bayes()}, u AS (SELECT DISTINCT doc_id, unnest(chunks) AS chunk FROM e), q AS (SELECT DISTINCT chunk FROM u),
+g1 AS (SELECT chunk, word, count(*) AS tf FROM (SELECT chunk, unnest(regexp_extract_all(chunk, '[a-z0-9]{{2,}}')) AS word FROM q) GROUP BY ALL),
+g2 AS (SELECT chunk, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY chunk)) AS v FROM g1 JOIN i USING (word)),
+g3 AS (SELECT q.chunk, b.tag, bias + coalesce(sum(v * weight), 0) > 0 AS yes FROM q CROSS JOIN b LEFT JOIN (g2 JOIN d USING (word)) ON g2.chunk = q.chunk AND d.tag = b.tag GROUP BY q.chunk, b.tag, bias),
+g4 AS (SELECT doc_id, max((tag = 'linking' AND yes AND {_sql_any("u.chunk", TAGS.keywords["linking"])})::INT) AS linking, max((tag = 'nominal' AND yes AND {_sql_any("u.chunk", TAGS.keywords["nominal"])})::INT) AS nominal FROM u JOIN g3 USING (chunk) GROUP BY doc_id)
+SELECT e.doc_id, e.source, linking, nominal FROM e JOIN g4 USING (doc_id)"""
+
+
+@query("classify_docs", _CLASSIFIED)
 def classify_docs(spark, sf):
     models, _ = _metrics(spark, sf, "nb")
     found = classify(_extracts(spark, sf), models, TAGS.keywords)
     return found.select("doc_id", "source", *models)
 
 
+@query("classify_docs_light", _CLASSIFIED)
+def classify_docs_light(spark, sf):
+    """The same by plain weights: no ML transforms, and no shuffle."""
+    models, _ = _metrics(spark, sf, "nb")
+    return classify_light(_extracts(spark, sf), Light.of(models), TAGS.keywords).select("doc_id", "source", *models)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

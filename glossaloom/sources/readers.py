@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from xml.etree import ElementTree
+from itertools import batched
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from .archives import ROWS, ZipRecords, records
+from .files import by_header, csv_header, first_record, lines, listed, retried
 
 STEM = r"([^/]*?)(?:\.[^./]*)?$"
 
@@ -19,55 +24,72 @@ def _strings(fields: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f, T.StringType()) for f in fields])
 
 
+def _plain_path() -> Column:
+    """The path of a row's file; paths are given as in addresses."""
+    return F.url_decode(F.replace(F.parse_url(F.col("_metadata.file_path"), F.lit("PATH")), F.lit("+"), F.lit("%2B")))
+
+
 def _with_parent(rows: DataFrame, fields: Sequence[str], parent: bool) -> DataFrame:
-    return rows.select(*([F.regexp_extract("_metadata.file_path", STEM, 1).alias("parent")] if parent else []), *fields)
+    return rows.select(*([F.regexp_extract(_plain_path(), STEM, 1).alias("parent")] if parent else []), *(F.col(f"`{f}`") for f in fields))
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], fields: Sequence[str], *, delimiter: str = ",", encoding: str = "UTF-8", parent: bool = False) -> DataFrame:
-    """Fields of CSV files with a header, as strings; ``parent`` is the file's stem."""
-    rows = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, sep=delimiter, encoding=encoding, multiLine=True, escape='"', inferSchema=False)
-    return _with_parent(rows, fields, parent)
+def _csv_groups(spark: SparkSession, paths: str | Sequence[str], fields: Sequence[str], delimiter: str, encoding: str, recursive: bool = False, pattern: str = "*") -> dict[tuple[str, ...], list[str]]:
+    """CSV files by their header; each must have all fields."""
+    groups = by_header(spark, listed(spark, paths, recursive=recursive, pattern=pattern), delimiter, encoding)
+    for header, files in groups.items():
+        if lost := [f for f in fields if f not in header]:
+            raise ValueError(f"no column {lost[0]!r} in {files[0]}")
+    return groups
 
 
-def read_xml(spark: SparkSession, paths: str, fields: Sequence[str], row_tag: str, *, parent: bool = False) -> DataFrame:
-    """Fields of the records of XML files, as strings."""
-    return _with_parent(spark.read.format("xml").option("rowTag", row_tag).schema(_strings(fields)).load(paths), fields, parent)
+def _all(frames: Sequence[DataFrame], empty: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else empty
 
 
-def _members(content: bytes) -> Iterator[bytes]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        for name in archive.namelist():
-            if not name.endswith("/"):
-                yield archive.read(name)
+def read_csv(spark: SparkSession, paths: str | Sequence[str], fields: Sequence[str], *, delimiter: str = ",", encoding: str = "UTF-8", parent: bool = False, recursive: bool = False, pattern: str = "*") -> DataFrame:
+    """Fields of CSV files with a header, as strings, picked by name in each file; ``parent`` is the file's stem.
+
+    Files of one header are read together, so files may differ in their columns and the order of these. A file
+    without one of the fields is an error, empty files have no rows.
+    """
+    groups = _csv_groups(spark, paths, fields, delimiter, encoding, recursive, pattern)
+    options = {"header": True, "sep": delimiter, "encoding": encoding, "multiLine": True, "escape": '"', "maxCharsPerColumn": -1}
+    read = [_with_parent(spark.read.options(**options).schema(_strings(header)).csv(files), fields, parent) for header, files in groups.items()]
+    return _all(read, spark.createDataFrame([], _strings((["parent"] if parent else []) + list(fields))))
 
 
-def read_zip(spark: SparkSession, paths: str, fields: Sequence[str], *, kind: str = "csv", delimiter: str = ",", row_tag: str | None = None, parent: bool = False) -> DataFrame:
-    """Fields of all CSV or XML members of zip archives; an archive is read by one task."""
-    fields, names = list(fields), (["parent"] if parent else []) + list(fields)
+def read_xml(spark: SparkSession, paths: str, fields: Sequence[str], row_tag: str, *, parent: bool = False) -> DataFrame:
+    """Fields of the records of XML files, as strings; tags are told without their namespaces."""
+    return _with_parent(spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").schema(_strings(fields)).load(paths), fields, parent)
 
-    def records(content: bytes) -> Iterator[dict]:
-        for member in _members(content):
-            if kind == "csv":
-                yield from csv.DictReader(io.StringIO(member.decode("utf-8-sig")), delimiter=delimiter)
-            else:
-                for _, element in ElementTree.iterparse(io.BytesIO(member)):
-                    if element.tag == row_tag:
-                        yield {child.tag: child.text for child in element}
-                        element.clear()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_zip(spark: SparkSession, paths: str, fields: Sequence[str], *, kind: str = "csv", delimiter: str = ",", row_tag: str | None = None, parent: bool = False, by_member: bool = False) -> DataFrame:
+    """Fields of all CSV or XML members of zip archives, by name; null where a record has none.
+
+    ``by_member``: a task for each member, read as a stream (``archives.ZipRecords``; for paths that executors can open).
+    Else a task reads the bytes of an archive through Spark's file systems, and its members one by one.
+    """
+    fields = list(fields)
+    if by_member:
+        spark.dataSource.register(ZipRecords)
+        options = {"fields": json.dumps(fields), "kind": kind, "delimiter": delimiter} | ({"rowTag": row_tag} if row_tag else {}) | ({"parent": "parent"} if parent else {})
+        return spark.read.format("zip_records").options(**options).load(paths)
+    names = (["parent"] if parent else []) + fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for stem, content in zip(batch["stem"], batch["content"], strict=True):
-                held = []
-                for record in records(content):
-                    held.append([stem, *(record.get(f) for f in fields)] if parent else [record.get(f) for f in fields])
-                    if len(held) == 10_000:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-                yield pd.DataFrame(held, columns=names)
+            for stem, content in zip(batch.column("stem"), batch.column("content"), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                    for info in archive.infolist():
+                        if info.is_dir():
+                            continue
+                        with archive.open(info) as member:
+                            for rows in batched(records(member, kind, fields, delimiter, row_tag), ROWS):
+                                columns = [[stem.as_py()] * len(rows)] if parent else []
+                                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in [*columns, *zip(*rows, strict=True)]], names)
 
     files = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", STEM, 1).alias("stem"), "content")
-    return files.mapInPandas(run, _strings(names))
+    return files.mapInArrow(run, _strings(names))
 
 
 def file_texts(spark: SparkSession, root: str, *, pattern: str = "*.txt") -> DataFrame:
@@ -75,8 +97,7 @@ def file_texts(spark: SparkSession, root: str, *, pattern: str = "*.txt") -> Dat
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root.rstrip("/"), wholetext=True)
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
-    path = F.url_decode(F.replace(F.parse_url(F.col("_metadata.file_path"), F.lit("PATH")), F.lit("+"), F.lit("%2B")))  # file paths are written as in addresses
-    return rows.select(F.substring(path, len(folder) + 2, 1 << 30).alias("name"), F.col("value").alias("text"))
+    return rows.select(F.substring(_plain_path(), len(folder) + 2, 1 << 30).alias("name"), F.col("value").alias("text"))
 
 
 def join_file_texts(rows: DataFrame, texts: DataFrame, *, filename: str = "filename", folder: str | None = None, parent: str | None = None, separator: str = ";;") -> DataFrame:
@@ -96,9 +117,24 @@ def join_file_texts(rows: DataFrame, texts: DataFrame, *, filename: str = "filen
 
 
 def read_metadata(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], id: str) -> DataFrame:
-    """Metadata in latin-1 with inferred types, lower-case names and ``id``."""
-    rows = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True, encoding="ISO-8859-1", inferSchema=True)
-    return rows.select(*columns).withColumnsRenamed({c: "id" if c == id else c.lower() for c in columns})
+    """Metadata in latin-1 with inferred types, lower-case names and ``id``; columns are picked by name in each file.
+
+    Types are those that all files agree on: whole numbers and others are doubles, and what is a number in some files only is text.
+    """
+    groups = _csv_groups(spark, paths, columns, ",", "ISO-8859-1")
+    reader = lambda: spark.read.options(header=True, encoding="ISO-8859-1", multiLine=True, escape='"', maxCharsPerColumn=-1)
+    types: dict[str, set[str]] = {c: set() for c in columns}
+    for files in groups.values():
+        for name, kind in reader().option("inferSchema", True).csv(files).select(*(F.col(f"`{c}`") for c in columns)).dtypes:
+            types[name].add(kind)
+    numbers = {"int", "bigint", "double"}
+    agreed = {c: kinds.copy().pop() if len(kinds) == 1 else "string" if not kinds <= numbers else "double" if "double" in kinds else "bigint" for c, kinds in types.items()}
+    read = []
+    for header, files in groups.items():
+        schema = ", ".join(f"`{c}` {agreed.get(c, 'string')}" for c in header)
+        read.append(reader().schema(schema).csv(files).select(*(F.col(f"`{c}`") for c in columns)))
+    rows = _all(read, spark.createDataFrame([], _strings(columns)))
+    return rows.withColumnsRenamed({c: "id" if c == id else c.lower() for c in columns})
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -107,26 +143,28 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.round(F.col("length") / 1024 / 1024, 2).alias("megabytes"))
 
 
-def header(spark: SparkSession, path: str, *, kind: str = "csv", row_tag: str | None = None) -> list[str]:
-    """Field names of an input: a CSV's first line, the tags of an XML record, or a zip archive's first member."""
+def header(spark: SparkSession, path: str, *, kind: str = "csv", row_tag: str | None = None, delimiter: str = ",") -> list[str]:
+    """Field names of an input: a CSV's first record, the tags of the first XML record, or those of a zip archive's first member."""
     if kind == "csv":
-        return spark.read.csv(path, header=True).columns
+        return list(csv_header(spark, listed(spark, path)[0], delimiter))
     if kind == "xml":
-        return spark.read.format("xml").option("rowTag", row_tag).option("samplingRatio", 0.01).load(path).columns
-    member = next(_members(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])))
-    if not member.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"<"):
-        return next(csv.reader(io.StringIO(member.decode("utf-8-sig"))))
-    opened: list[list[str]] = []  # the children of every open element; the first record is the one that is asked for, or the first with children
-    for event, element in ElementTree.iterparse(io.BytesIO(member), ["start", "end"]):
-        if event == "start":
-            opened.append([])
-        else:
-            children = opened.pop()
-            if element.tag == row_tag or row_tag is None and children:
-                return children
-            if opened:
-                opened[-1].append(element.tag)
-    return []
+        return first_record(lines(spark, listed(spark, path)[0]), row_tag)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                    info = next(m for m in archive.infolist() if not m.is_dir())
+                    with archive.open(info) as member:
+                        start = member.peek(64)
+                        if start.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"<"):
+                            names = first_record(iter(lambda: member.read(1 << 16), b""), row_tag)
+                        else:
+                            names = next(csv.reader(io.TextIOWrapper(member, "utf-8-sig", newline=""), delimiter=delimiter))
+                yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(pa.string()))], ["names"])
+
+    first = listed(spark, path)[0]
+    return spark.read.format("binaryFile").load(first).select("content").mapInArrow(run, "names array<string>").first()["names"]
 
 
 def read_extracts(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, *, full: bool = True) -> DataFrame:
@@ -147,16 +185,7 @@ def read_documents(spark: SparkSession, paths: str, extractor: Callable[[bytes],
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for content in batch["content"]:
-                for attempt in range(retries):
-                    try:
-                        found.append(extractor(content))
-                        break
-                    except RuntimeError:
-                        if attempt + 1 == retries:
-                            raise
-            yield pd.DataFrame({"path": batch["path"], "text": found})
+            yield pd.DataFrame({"path": batch["path"], "text": [retried(extractor, content, retries) for content in batch["content"]]})
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(run, "path string, text string").where(F.col("text").isNotNull())

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.dataset import TYPES
 from ..operators.extract import to_text
+from .archives import ZipRecords, opened
+from .shared import new_folder
 
 ROWS_PER_FILE = 1_000_000
 
@@ -20,9 +24,16 @@ def write_extracts(extracts: DataFrame, path: str, *, kind: str = "parquet", by:
 
 
 def write_csv(rows: DataFrame, path: str, *, first: Sequence[str] = ()) -> None:
-    """Rows as CSV, some columns first."""
+    """Rows as CSV, some columns first. Space around texts stays."""
     rest = [c for c in rows.columns if c not in first]
-    rows.select(*first, *rest).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    rows.select(*first, *rest).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def write_zip(rows: DataFrame, path: str) -> None:
+    """Rows as zipped CSV, an archive for each task; the path must be one that executors can open."""
+    rows.sparkSession.dataSource.register(ZipRecords)
+    strings = rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns))
+    strings.write.format("zip_records").mode("overwrite").option("fields", "[]").save(path)
 
 
 def create_table(rows: DataFrame, name: str, types: Mapping[str, str], tags: Sequence[str]) -> None:
@@ -46,6 +57,40 @@ def table_exists(rows: DataFrame, name: str) -> bool:
     return rows.sparkSession.catalog.tableExists(name)
 
 
+def write_text_files(rows: DataFrame, path: str, *, name: str = "name", text: str = "text") -> DataFrame:
+    """Write one ``.txt`` file for each row, spaces of its name as ``_``, and give (name, bytes) of what was written.
+
+    Files are written under another name first, so none is ever half there; a task that runs again writes the same. The
+    path must be one that executors can open. Names may have folders; a null text is an empty file.
+    """
+    system, root = opened(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        for batch in batches:
+            names, sizes = [], []
+            for n, t in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at, data = f"{root}/{n}.txt", (t or "").encode()
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                held = f"{at}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(held) as out:
+                    out.write(data)
+                system.move(held, at)
+                names.append(n)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "bytes"])
+
+    system.create_dir(root, recursive=True)
+    told = rows.select(F.replace(F.col(name), F.lit(" "), F.lit("_")).alias("name"), F.col(text).cast("string").alias("text")).where("name is not null")
+    return written(told.mapInArrow(run, "name string, bytes long"), new_folder(rows.sparkSession, "texts"))
+
+
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` written as Parquet, so that they are computed now and once, and read back."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_texts(rows: DataFrame, path: str, *, name: str = "name", text: str = "text") -> None:
     """One folder of text for each name, spaces in it as ``_``."""
     rows.select(F.replace(F.col(name), F.lit(" "), F.lit("_")).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path)

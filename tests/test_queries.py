@@ -5,8 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entries
-from glossaloom.plans import catalogue
+from glossaloom.plans import catalogue, stored
 
+QUERIES, SQL = catalogue.queries() | stored.queries(), catalogue.oracle_sql() | stored.oracle_sql()
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages benchmark labels conversations embeddings".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -25,10 +26,10 @@ def rows(frame, columns):
     return sorted(map(repr, frame[columns].astype(str).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
-    found = catalogue.queries()[name](spark, SF).toPandas()
-    expected = db.sql(catalogue.oracle_sql()[name]).df()
+    found = QUERIES[name](spark, SF).toPandas()
+    expected = db.sql(SQL[name]).df()
     columns = sorted(expected.columns)
     assert sorted(found.columns) == columns
     assert rows(found, columns) == rows(expected, columns)
