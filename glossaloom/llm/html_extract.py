@@ -2,12 +2,15 @@
 
 The markup is read once, from its start to its end, into a tree that tolerates
 missing end tags; a tag that is not closed ends where the next begins. Parts
-that name themselves as something other than the article (menus, page headers
-and footers, sidebars, notices, adverts, forms, scripts, styles, comments) go
-first. Names count for containers: a heading goes by its tag alone, a paragraph
-only if its class is such a name and nothing else, and the id of a section,
-which is often made from its heading, not at all. A form that holds most of the
-page is looked into. Each paragraph then passes points to its ancestors: one,
+that are something other than the article by their tag or role (menus, page
+headers and footers, forms, scripts, styles) go first. A container that names
+itself as such (sidebars, notices, adverts, comments) goes if what it holds
+agrees: never if that is most of the page, and if the name may mean something
+else (``side-effects``, ``discussion``) only where it is full of links, or
+outside of the article not prose. A heading goes by its tag alone, a paragraph
+if its class is such names only or an advert's. A form that holds most of the
+page is looked into. If nothing is left, names don't count, and then all text
+does. Each paragraph then passes points to its ancestors: one,
 one for every comma and one for every hundred characters up to three, the whole
 to its parent, half to the next and less beyond. A container's score is
 discounted by its link density. The best container is kept, widened to the
@@ -59,6 +62,15 @@ KEPT_ANYWAY = frozenset("html body main".split())
 #: Names that an article element must have to be dropped.
 DROPPED_ARTICLES = frozenset("ad ads advert advertisement comment comments promo promoted related reply replies response sponsored teaser widget".split())
 WRAPPER_PREFIX = frozenset("has with no without is".split())
+#: Names that also head parts of articles, and words beside a name that leave its meaning as it is.
+AMBIGUOUS = frozenset("discussion discussions register side legal head foot rail response responses tags toc".split())
+MODIFIERS = frozenset(
+    "section area box list wrapper wrap container block content inner outer bar left right top bottom main site page post posts article articles story stories news product products entry global primary secondary mobile desktop sticky fixed form links link item items group row col column module panel region zone title body text button buttons icon icons media meta count tools actions respond unit slot space".split()
+)
+#: A paragraph with one of these among its classes is none of the article.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo newsletter cookie cookies breadcrumb breadcrumbs".split())
+#: A named container stays if it holds this share of the page and its title, or the other share of a page without one; a doubtful one stays up to this share of linked text.
+MOST, ALMOST_ALL, LINKED, PROSE = 0.5, 0.85, 0.33, 80
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote".split())
 #: What may be a menu if it is mostly links, and how many characters its links have at most on average.
@@ -78,14 +90,15 @@ PAGE_WIDE = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "size", "linked", "name_bonus", "label", "inside", "held", "table_held", "chars", "commas", "links", "link_size", "solid")
+    __slots__ = ("tag", "parent", "parts", "score", "size", "linked", "name_bonus", "label", "named", "titled", "inside", "held", "table_held", "chars", "commas", "links", "link_size", "solid")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.score, self.size, self.linked, self.name_bonus, self.label = 0.0, 0, 0, 0, ""
+        self.named = ""  # "named" or "doubt" if its names say that it is not the article
         #: of the text: characters, commas; of outermost links: number and size; a heading or sentence is in it
         self.chars = self.commas = self.links = self.link_size = 0
-        self.solid = False
+        self.solid = self.titled = False
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         #: open elements by tag, within the nearest scope that begins here or above
         self.held: dict[str, int] = {} if parent is None or tag in SCOPE else parent.held
@@ -93,13 +106,14 @@ class Node:
 
 
 def _dropped(tag: str, attributes: str, inside: bool) -> str:
-    """"all" if the element is not part of the article, "rest" if only its headings are, else empty; inside: of article or main."""
+    """"all" if the element is not part of the article, "rest" if only its headings are, "named" or "doubt" if its names say so, else empty; inside: of article or main."""
     if tag in DROPPED_TAGS:
         return "all"
     if tag == "header":
         return "rest" if inside else "all"
     if not attributes or tag in KEPT_ANYWAY:
         return ""
+    told = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -109,15 +123,23 @@ def _dropped(tag: str, attributes: str, inside: bool) -> str:
         if name == "role" and value.strip() in DROPPED_ROLES:
             return "all"
         if tag not in CONTAINERS:
-            if name == "class" and tag not in HEADINGS and DROPPED_NAMES.issuperset(words := value.split()) and words:
+            words = value.split()
+            if name == "class" and tag not in HEADINGS and words and (DROPPED_NAMES.issuperset(words) or tag == "p" and ADVERTS.intersection(words)):
                 return "all"
-        elif name == "class" or name == "id" and tag not in NO_ID:
+        elif name in ("class", "id"):
             for word in value.split():
-                parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
-                names = DROPPED_ARTICLES if tag == "article" else DROPPED_NAMES
-                if parts and parts[0] not in WRAPPER_PREFIX and (hit := names.intersection(parts)):
-                    return "rest" if hit == {"header"} and inside else "all"
-    return ""
+                parts = {x for x in re.split(r"[^a-z0-9]+", word) if x}
+                hit = (DROPPED_ARTICLES if tag == "article" else DROPPED_NAMES) & parts
+                if not hit or parts & WRAPPER_PREFIX:
+                    continue
+                if hit == {"header"} and inside:
+                    return "rest"
+                sure = hit - AMBIGUOUS and all(x in hit or x in MODIFIERS or x.isdigit() for x in parts)
+                if sure:
+                    told = "named"
+                elif not (name == "id" and tag in NO_ID):  # such an id is made from a heading
+                    told = told or "doubt"
+    return told
 
 
 def _named_content(attributes: str) -> bool:
@@ -251,6 +273,8 @@ class Reader:
         self._enter(node)
         if what == "rest":
             self.headings = node
+        elif what:
+            node.named = what
         return at
 
 
@@ -283,6 +307,9 @@ def _measure(root: Node) -> list[Node]:
     while stack:
         node, link = stack.pop()
         order.append(node)
+        node.size = node.linked = node.chars = node.commas = node.links = node.link_size = 0
+        node.solid = False
+        node.titled = node.tag in ("h1", "main") or node.tag == "article" and not node.named
         link = link or node.tag == "a"
         for part in node.parts:
             if isinstance(part, str):
@@ -306,9 +333,22 @@ def _measure(root: Node) -> list[Node]:
             up.links += node.links
             up.link_size += node.link_size
             up.solid |= node.solid
+            up.titled |= node.titled
     return order
 
 
+def _without_named(root: Node, order: list[Node]) -> bool:
+    """Take out the containers whose names and content agree that they are not the article; says whether there were any."""
+    found = False
+    for node in order:
+        if not node.named or node.size >= (MOST if node.titled else 1 if root.titled else ALMOST_ALL) * root.size:
+            continue
+        if node.named == "doubt" and _density(node) <= LINKED and (node.inside or node.commas or node.chars >= PROSE):
+            continue
+        node.tag, node.parts, node.named, found = "br", [], "", True
+    return found
+
+
 def _last(node: Node) -> str:
     """The last character of a node's text."""
     return "".join(_texts(node)).strip()[-1:]
@@ -364,6 +404,29 @@ def extract(html: str | None) -> str:
         return ""
     root = parse(html)
     order = _measure(root)
+    if _without_named(root, order):
+        order = _measure(root)
+    if not root.size:  # names took all
+        root = parse(html)
+        order = _measure(root)
+    return _main_text(root, order) or " ".join("".join(_texts_of_blocks(root)).split())
+
+
+def _texts_of_blocks(root: Node) -> Iterator[str]:
+    """All text, with marks between blocks."""
+    stack: list = [root]
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            yield part
+            continue
+        if part.tag in BLOCK:
+            yield " "
+            stack.append(" ")
+        stack.extend(reversed(part.parts))
+
+
+def _main_text(root: Node, order: list[Node]) -> str:
     scored: dict[int, Node] = {}
     for node in order:
         if not node.size or not _is_paragraph(node):
