@@ -18,11 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.let import let
 from .shared import written
+from .words import Block, blocks, lower_ascii
 
-BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT = 1_000_000_000
 MIN_DOCS = 3
 TOP = 200
@@ -33,6 +31,8 @@ BLOCK = 128
 #: Pairs that a task holds at once, and pairs of blocks that it sums before it hands them on.
 PAIRS = 1 << 19
 HELD = 64
+#: Rows of sums that a task holds.
+SUMS = 1 << 19
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -48,12 +48,58 @@ def divergence(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
+def letters() -> np.ndarray:
+    """Bytes of terms ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+``."""
+    table = np.zeros(256, bool)
+    table[0x41:0x5B] = table[0x61:0x7B] = table[0x80:] = True
+    return table
+
+
+def _terms_of(block: Block, lang: pa.Array, source: pa.Array, table: np.ndarray, fold: np.ndarray) -> pa.Table:
+    """(lang, source, term, n, docs) of the documents of a block."""
+    offsets = np.zeros(len(block.start) + 1, np.int32)
+    np.cumsum(block.end - block.start, out=offsets[1:])
+    words = pa.StringArray.from_buffers(len(block.start), pa.py_buffer(offsets), pa.py_buffer(fold[block.data[table[block.data]]]))
+    coded = words.dictionary_encode()
+    n = max(1, len(coded.dictionary))
+    in_row, count = np.unique(block.rows() * n + coded.indices.to_numpy(), return_counts=True)
+    lang, source = (x.slice(block.first, block.last - block.first).dictionary_encode() for x in (lang, source))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    keys, at, docs = np.unique(group[in_row // n] * n + in_row % n, return_inverse=True, return_counts=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, at, count)
+    group = keys // n
+    return pa.table({"lang": lang.dictionary.take(pa.array(group // max(1, len(source.dictionary)))), "source": source.dictionary.take(pa.array(group % max(1, len(source.dictionary)))), "term": coded.dictionary.take(pa.array(keys % n)), "n": sums, "docs": docs})
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return found.rename_columns({"n_sum": "n", "docs_sum": "docs"})
+
+
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's documents, which go on whenever they have ``SUMS`` rows."""
+    table, fold = letters(), lower_ascii()
+    held: list[pa.Table] = []
+    least = SUMS // 4
+    for batch in batches:
+        text, lang, source = (batch.column(c) for c in ("text", "lang", "source"))
+        for block in blocks(text, table):
+            held.append(_terms_of(block, lang, source, table, fold))
+            if sum(map(len, held)) > least:
+                held = [_summed(held)]
+                if len(held[0]) > SUMS:
+                    yield from held[0].to_batches()
+                    held = []
+                least = SUMS // 4 + sum(map(len, held))
+    if held:
+        yield from _summed(held).to_batches()
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents; a document's first occurrence of a term is told by sorting its words."""
-    words = F.sort_array(F.split(F.translate("text", UPPER, LOWER), BREAK))
-    marked = let(words, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get(w, i - 1) != x)).cast("long").alias("is_first"))))
-    terms = docs.select("lang", "source", F.inline(marked)).where("term != ''")
-    return terms.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("is_first").alias("docs"))
+    """(lang, source, term, n, docs): occurrences and documents."""
+    terms = docs.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long")
+    return terms.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _bucket(n: Column) -> Column:
