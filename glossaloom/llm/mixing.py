@@ -28,7 +28,7 @@ BLOCKS = 256
 MOST_BLOCKS = 1 << 26
 SHARD_WORDS = 1 << 22
 #: Documents in each part of a source in which places are found by sorting.
-PART = 1 << 16
+PART = 1 << 12
 #: Halvings that a task does at once.
 HALVINGS = 4
 SEED = 20240613
