@@ -1,5 +1,6 @@
 """Awkward tables: repeated and null ids, clashing names, very long texts, empty tables."""
 
+import base64
 import hashlib
 import random
 import re
@@ -213,6 +214,66 @@ def test_secrets_of_a_format_held_out():
     assert len(unseen) == 50 and sum(model.best(v)[0] == "source_host_token" for v in unseen) >= 48
 
 
+OTHER_WORDS = "morning river garden window bridge summer doctor yellow winter kitchen market station silver mountain letter friend evening journey captain island shadow mirror forest engine ticket account invoice customer payment shipping address checkout basket password session browser network storage monitor deploy release pipeline compile".split()
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return train(labelled_credentials(), prose_pairs(), threshold=1.0)
+
+
+def test_what_looks_like_a_secret_and_is_none(scanner):
+    """Encoded prose and names, of words that the training has not got."""
+    draw = random.Random(5)
+    prose = lambda n: " ".join(draw.choices(OTHER_WORDS, k=n))
+    encoded = [base64.b64encode(prose(9)[:30].encode()).decode() for _ in range(300)] + [base64.urlsafe_b64encode(prose(12).encode()).decode() for _ in range(300)]
+    camel = ["".join(w.title() for w in draw.choices(OTHER_WORDS, k=9))[:40] for _ in range(500)]
+    paths = [draw.choice("/_-.").join(draw.choices(OTHER_WORDS, k=draw.randint(3, 9))) for _ in range(500)]
+    for texts in (encoded, camel, [x[0].lower() + x[1:] for x in camel], paths):
+        assert sum(bool(learned_spans(f"x {t} y", [], scanner)) for t in texts) <= len(texts) / 100
+
+
+def test_secrets_of_all_formats_held_out(scanner):
+    values = labelled_credentials(40, 99)
+    for name, some in values.items():
+        assert sum(scanner.best(v)[0] == name for v in some) >= 0.97 * len(some), name
+    long = "sk-proj-" + "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=120))
+    assert learned_spans(f"x {long} y", [], scanner) == [(2, 3, 2 + len(long), "long_project_key")]
+
+
+def test_whole_formats_held_out():
+    """Formats that the training never saw are found by their bodies, three of four or more; not their whole length."""
+    new = ("assistant_key", "access_token", "long_project_key")
+    model = train({k: v for k, v in labelled_credentials().items() if k not in new}, prose_pairs(), threshold=1.0)
+    for name in new:
+        values = labelled_credentials(30, 12)[name]
+        assert sum(bool(learned_spans(v, [], model)) for v in values) >= 0.75 * len(values), name
+
+
+def test_automata_hold_lengths(scanner):
+    body = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=60))
+    for name, head, n in (("source_host_token", "ghp_", 36), ("secret_key", "", 40), ("hub_token", "hf_", 34), ("package_token", "npm_", 36)):
+        automaton = scanner.automata[name]
+        assert len(automaton.steps) > n
+        state, accepts = 0, []
+        for i, c in enumerate(head + body):
+            step = automaton.steps[state].get(c if c in automaton.marks else "")
+            if step is None:
+                break
+            state = step[0]
+            if automaton.end[state] > -3:
+                accepts.append(i + 1)
+        assert accepts == [len(head) + n], name
+
+
+def test_ties_between_formats():
+    """Of equal gains the first by name is taken, and of equal spans one."""
+    twice = {"b_key": ["key-" + "0123456789abcdef"[i % 16] * 20 for i in range(64)]}
+    model = train({**twice, "a_key": twice["b_key"]}, prose_pairs(), threshold=0.1, least_gain=5, others={})
+    value = twice["b_key"][3]
+    assert [k for _, _, _, k in learned_spans(f"{value} {value}", [], model)] == ["a_key", "a_key"]
+
+
 def plain_base(text):
     text = text or ""
     found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
