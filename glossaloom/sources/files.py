@@ -24,7 +24,8 @@ def escaped(path: str) -> str:
     return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in path)
 
 
-def _plain(path: str) -> str:
+def unescaped(path: str) -> str:
+    """A path as it is, of one in which no character stands for others."""
     out, held = "", False
     for c in path:
         held = c == "\\" and not held
@@ -35,7 +36,7 @@ def _plain(path: str) -> str:
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Iterator[str]:
     """Lines of a file, which is read only as far as they are asked for; compressed files by their ending."""
     jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(_plain(path))
+    at = jvm.org.apache.hadoop.fs.Path(unescaped(path))
     conf = spark._jsc.hadoopConfiguration()
     stream = at.getFileSystem(conf).open(at)
     codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .archives import ROWS, ZipRecords, records
-from .files import by_header, csv_header, first_record, lines, listed, retried
+from .files import by_header, csv_header, escaped, first_record, lines, listed, retried, unescaped
+from .pdf import pdf_text
 
 STEM = r"([^/]*?)(?:\.[^./]*)?$"
 
@@ -92,9 +93,33 @@ def read_zip(spark: SparkSession, paths: str, fields: Sequence[str], *, kind: st
     return files.mapInArrow(run, _strings(names))
 
 
-def file_texts(spark: SparkSession, root: str, *, pattern: str = "*.txt") -> DataFrame:
-    """(name, text) of the files below a folder; the name is their path from it."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root.rstrip("/"), wholetext=True)
+def file_texts(spark: SparkSession, root: str, *, pattern: str = "*.txt", asked: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+    """(name, text) of the files below a folder; the name is their path from it.
+
+    With ``asked``, a table of names, only those files are opened if they are ``most`` or fewer; if more, the others are left out by a join.
+    """
+    paths: str | list[str] = root.rstrip("/")
+    if asked is not None:
+        wanted = asked.select(F.btrim("name").alias("name")).distinct()
+        names = [r.name for r in wanted.limit(most + 1).collect()]
+        if len(names) <= most:
+            there = set(names)
+            files = [f for f in listed(spark, paths, recursive=True, pattern=pattern) if any(f.endswith(f"/{escaped(n)}") for n in _tails(unescaped(f)) & there)]
+            if not files:
+                return spark.createDataFrame([], "name string, text string")
+            return _file_texts(spark, root, pattern, files).join(F.broadcast(wanted), "name", "left_semi")
+        return _file_texts(spark, root, pattern, paths).join(wanted, "name", "left_semi")
+    return _file_texts(spark, root, pattern, paths)
+
+
+def _tails(path: str) -> set[str]:
+    """The ends of a path, from each of its folders on."""
+    parts = path.split("/")
+    return {"/".join(parts[i:]) for i in range(1, len(parts))}
+
+
+def _file_texts(spark: SparkSession, root: str, pattern: str, paths: str | list[str]) -> DataFrame:
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths, wholetext=True)
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
     return rows.select(F.substring(_plain_path(), len(folder) + 2, 1 << 30).alias("name"), F.col("value").alias("text"))
@@ -180,8 +205,8 @@ def read_extracts(spark: SparkSession, paths: Sequence[str], columns: Sequence[s
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_documents(spark: SparkSession, paths: str, extractor: Callable[[bytes], str | None], *, retries: int = 3) -> DataFrame:
-    """(path, text) of binary documents such as PDF by a given extractor; it is tried again on RuntimeError. Empty ones go."""
+def read_documents(spark: SparkSession, paths: str, extractor: Callable[[bytes], str | None] = pdf_text, *, retries: int = 3) -> DataFrame:
+    """(path, text) of PDF files, or of other binary documents by a given extractor; it is tried again on RuntimeError. Those without text go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -259,6 +259,18 @@ def test_text_files(spark, tmp_path):
     assert (tmp_path / "t/a_b/c_d.txt").read_text() == "Text ä\n"
 
 
+def test_only_files_that_are_asked_for(spark, tmp_path):
+    for name in ("a/x.txt", "b/x.txt", "b/y[1].txt", "z.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    asked = spark.createDataFrame([("b/x.txt",), ("b/y[1].txt ",), ("none.txt",), ("b/x.txt",)], "name string")
+    found = readers.file_texts(spark, str(tmp_path), asked=asked)
+    assert sorted(map(tuple, found.collect())) == [("b/x.txt", "b/x.txt"), ("b/y[1].txt", "b/y[1].txt")]
+    assert len(found.inputFiles()) == 2
+    assert sorted(map(tuple, readers.file_texts(spark, str(tmp_path), asked=asked, most=1).collect())) == sorted(map(tuple, found.collect()))
+    assert readers.file_texts(spark, str(tmp_path), asked=asked.where("false")).collect() == []
+
+
 def test_lines_of_compressed_files(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "id long, text string").coalesce(1).write.option("header", True).option("compression", "gzip").csv(f"{tmp_path}/g")
     assert readers.header(spark, f"{tmp_path}/g") == ["id", "text"]
