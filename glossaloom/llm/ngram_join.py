@@ -3,8 +3,9 @@
 A document is the set of its distinct ``size``-word shingles. Two documents
 link when ``100 * |A & B| >= percent * |A | B|``. The steps:
 
-1. Shingles are counted over all documents in a table of ``2**BITS`` buckets
-   (its size is fixed), which gives one order of all shingles, rare buckets
+1. Shingles are counted over all documents in a table of ``2**BITS`` buckets, or
+   in a second pass of up to ``2**MOST_BITS`` if a bucket would stand for more
+   than ``LOAD`` of them. That gives one order of all shingles, rare buckets
    first. Two sets that link share one of their first
    ``n - ceil(percent * n / 100) + 1`` shingles in that order.
 2. Equal sets are one from here on, known by two hashes of the set; they are
@@ -26,10 +27,10 @@ link when ``100 * |A & B| >= percent * |A | B|``. The steps:
    copies takes one pass. So no task holds more than about that much.
 5. Links inside blocks are joined into components.
 
-A shingle of which the bucket holds more than one in ``HEAVY`` of all shingles
-may be in very many sets. Such shingles are counted by partial sums and joined
-to their sets; the others, whose number that bounds, are brought together by
-shingle. Keyed tables are written before they are joined and joined by sorting,
+A shingle of which the bucket holds more than ``LIGHT`` shingles, or more than
+one in ``HEAVY`` of all, may be in very many sets. Such shingles are counted by
+partial sums and joined to their sets; the others, of which there are ``LIGHT``
+at most, are brought together by shingle. Keyed tables are written before they are joined and joined by sorting,
 so nothing that grows is broadcast, and a hot shingle or block is dealt over
 several tasks by the adaptive skew join.
 
@@ -55,7 +56,9 @@ from .words import blocks, lower_ascii, mix, white_space_words, window_hashes, w
 
 SIZE = 4
 PERCENT = 85
-BITS = 18
+BITS, MOST_BITS = 18, 24
+LOAD = 4096
+LIGHT = 100_000
 BIG = 2000
 BIG_SHINGLES = 4_000_000
 HEAVY = 4096
@@ -78,13 +81,13 @@ def _sets(block, size: int) -> Iterator[np.ndarray]:
             yield window_hashes(own, len(own)) if len(own) else own
 
 
-def _count_buckets(size: int):
+def _count_buckets(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for block in blocks(batch.column(0), white_space_words(), lower_ascii()):
                 shingles = window_hashes(block.hashes(), size)
-                total += np.bincount((shingles >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                total += np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
@@ -92,7 +95,8 @@ def _count_buckets(size: int):
 
 
 def _sign(size: int, percent: int, counts: np.ndarray):
-    most = int(counts.sum()) // HEAVY
+    most = min(LIGHT, int(counts.sum()) // HEAVY)
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -105,7 +109,7 @@ def _sign(size: int, percent: int, counts: np.ndarray):
                         if len(seen) >= SEEN:
                             seen = set()
                         seen.add(whole)
-                        held = counts[(own >> np.uint64(64 - BITS)).astype(np.int64)]
+                        held = counts[(own >> shift).astype(np.int64)]
                         order = np.lexsort((own, held))[: n - (percent * n + 99) // 100 + 1]
                         firsts.append(own[order])
                         ends.append(ends[-1] + len(order))
@@ -126,6 +130,20 @@ def _sign(size: int, percent: int, counts: np.ndarray):
     return run
 
 
+def _counts(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles by the first bits of their hash; the table has so many that what a bucket stands for is bounded, up to ``MOST_BITS``."""
+    bits = BITS
+    while True:
+        counts = np.zeros(1 << bits, np.int64)
+        counted = docs.select("text").mapInArrow(_count_buckets(size, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        found = counted.toArrow()  # 2**MOST_BITS rows at most
+        counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+        wanted = min(MOST_BITS, int(counts.sum() * 16 // LOAD).bit_length())
+        if wanted <= bits or counts.sum() <= LOAD << bits:
+            return counts
+        bits = wanted
+
+
 def _set_key(own: np.ndarray) -> tuple[int, int]:
     """Two hashes of a set."""
     if not len(own):
@@ -371,11 +389,7 @@ def _blocks_of(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join_classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): the size of each document's set and the smallest id that it reaches by links."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    counts = np.zeros(1 << BITS, np.int64)
-    counted = docs.select("text").mapInArrow(_count_buckets(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # 2**BITS rows at most
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    signed = written(docs.mapInArrow(_sign(size, percent, counts), "id long, n long, key long, other long, first array<bigint>, light int, bits binary"), "signatures")
+    signed = written(docs.mapInArrow(_sign(size, percent, _counts(docs, size)), "id long, n long, key long, other long, first array<bigint>, light int, bits binary"), "signatures")
     sets = written(signed.where("n > 0 and id is not null").groupBy("key", "other").agg(F.min("id").alias("least")), "sets")
     needed = written(_blocks_of(signed, sets, percent), "blocks")
     is_big = (F.col("cnt") > BIG) | (F.col("all") > BIG_SHINGLES)
