@@ -9,8 +9,9 @@ The order is rarity. The steps:
 1. Distinct windows, each with the items that hold it. Items are told by the
    set of those of a window, so that a document that holds many windows of one
    item says so once.
-2. Shingles of all documents are counted in a table of ``2**BITS`` buckets, whose
-   size is fixed; each window gets its rarest shingle as its prefix.
+2. The windows' shingles, which a sieve of bits tells, are counted over all
+   documents, in a table that has some buckets for each of them (``2**MOST_BITS``
+   at most); each window gets its rarest shingle as its prefix.
 3. Documents emit the places whose shingle may be a prefix, by a sieve of bits
    of bounded size, with the words around them. They are joined to the windows
    by shingle; the length and positional bounds (the window has to fit around
@@ -44,7 +45,8 @@ from .words import alphanumeric_words, blocks, lower_ascii, window_hashes
 
 SIZE = 13
 SHINGLE = 3
-BITS = 18
+#: Bits of the table of counts, which has COUNT_SHARE buckets for each shingle of a window as far as these allow.
+BITS, MOST_BITS, COUNT_SHARE = 16, 22, 8
 #: The sieve has this many bits for each window, and this power of two at most.
 SIEVE_SHARE, SIEVE_BITS = 32, 24
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,14 +75,44 @@ def _windows(size: int):
     return run
 
 
-def _count_shingles(ks: list[int]):
+def _tokens(shingle: int):
+    """Windows (words) to (token): all their shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            words = batch.column("words")
+            ends = words.offsets.to_numpy()
+            flat, lengths, begin = words.values.to_numpy().view(np.uint64), np.diff(ends), ends[:-1]
+            found = [np.zeros(0, np.uint64)]
+            for n in np.unique(lengths).tolist():
+                k, own = min(shingle, n), flat[begin[lengths == n][:, None] + np.arange(n)]
+                found += [window_hashes(own[:, j : j + k].ravel(), k)[::k] for j in range(n - k + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["token"])
+
+    return run
+
+
+def _sieved_places(token: np.ndarray, bits: int, sieves: list[np.ndarray]) -> np.ndarray:
+    """Places of the tokens that both tables know."""
+    shift = np.uint64(64 - bits)
+    at = np.flatnonzero(sieves[0][(token >> shift).astype(np.int64)])
+    return at[sieves[1][((token[at] << np.uint64(bits)) >> shift).astype(np.int64)]]
+
+
+def _count_shingles(ks: list[int], count_bits: int, bits: int, tables: list[np.ndarray]):
+    """Places of the windows' shingles by the first bits of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieves = [np.unpackbits(t.view(np.uint8), bitorder="little").view(bool) for t in tables]
+        total = np.zeros(1 << count_bits, np.int64)
         for batch in batches:
             for block in blocks(batch.column(0), alphanumeric_words(), lower_ascii()):
                 hashes = block.hashes()
                 for k in ks:
-                    total += np.bincount((window_hashes(hashes, k) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                    token = window_hashes(hashes, k)
+                    token = token[_sieved_places(token, bits, sieves)]
+                    if len(token):
+                        np.add.at(total, (token >> np.uint64(64 - count_bits)).astype(np.int64), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
@@ -90,6 +122,8 @@ def _count_shingles(ks: list[int]):
 def _prefixes(shingle: int, counts: np.ndarray):
     """Adds to windows their rarest shingle (token) and its place (offset); ties by value."""
 
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("words")
@@ -101,7 +135,7 @@ def _prefixes(shingle: int, counts: np.ndarray):
                 k = min(shingle, n)
                 own = flat[begin[of][:, None] + np.arange(n)]
                 each = np.stack([window_hashes(own[:, j : j + k].ravel(), k)[::k] for j in range(n - k + 1)], 1)
-                first = np.lexsort((each, counts[(each >> np.uint64(64 - BITS)).astype(np.int64)]), axis=1)[:, 0]
+                first = np.lexsort((each, counts[(each >> shift).astype(np.int64)]), axis=1)[:, 0]
                 token[of], offset[of] = each[np.arange(len(of)), first], first
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(token.view(np.int64)), pa.array(offset)], names=[*batch.schema.names, "token", "offset"])
 
@@ -127,14 +161,12 @@ def _candidates(ks: list[int], size: int, bits: int, tables: list[np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = [np.unpackbits(t.view(np.uint8), bitorder="little").view(bool) for t in tables]
-        shift = np.uint64(64 - bits)
         for batch in batches:
             for block in blocks(batch.column(2), alphanumeric_words(), lower_ascii()):
                 hashes, row_of = block.hashes(), None
                 for k in ks:
                     token = window_hashes(hashes, k)
-                    at = np.flatnonzero(sieves[0][(token >> shift).astype(np.int64)])
-                    at = at[sieves[1][((token[at] << np.uint64(bits)) >> shift).astype(np.int64)]]
+                    at = _sieved_places(token, bits, sieves)
                     if not len(at):
                         continue
                     row_of = block.rows() if row_of is None else row_of
@@ -184,8 +216,11 @@ def _hits(texts: DataFrame, windows: DataFrame, size: int, shingle: int) -> Data
     if not told.n:
         return None
     ks = sorted(told.ks)
-    counts = np.zeros(1 << BITS, np.int64)
-    counted = texts.select("text").mapInArrow(_count_shingles(ks), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows at most
+    tokens = written(windows.select("words").mapInArrow(_tokens(shingle), "token long").distinct(), "tokens")
+    n_tokens = tokens.count()
+    count_bits = min(MOST_BITS, max(BITS, (COUNT_SHARE * n_tokens).bit_length()))
+    counts = np.zeros(1 << count_bits, np.int64)
+    counted = texts.select("text").mapInArrow(_count_shingles(ks, count_bits, *_sieve(tokens, n_tokens)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**MOST_BITS rows at most
     counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     prefixed = written(windows.select("words", "sa", "sb").mapInArrow(_prefixes(shingle, counts), "words array<long>, sa long, sb long, token long, offset int"), "prefixes")
     bits, tables = _sieve(prefixed, told.n)

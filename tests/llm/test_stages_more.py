@@ -5,9 +5,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from glossaloom.llm import decontaminate, ngram_join
 from glossaloom.llm.ngram_join import bitmap, connected, folded, promising, width_for
 from glossaloom.llm.shared import sieved
 from glossaloom.llm.substring_dedup import FmIndex, WaveletMatrix
+from tests.llm import plain
 
 
 def random_sets(seed):
@@ -71,3 +73,28 @@ def test_sieve(spark):
     held = {r.id for r in some.collect()}
     assert set(ids) <= held and len(held) < 600
     assert some.columns == rows.columns and some.count() + others.count() == 10_001
+
+
+def test_orders_of_shingles_that_tell_little(spark, monkeypatch):
+    """With tiny tables of counts, and hardly any shingle that is light, links and hits are the same."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(60)}" for _ in range(400)]
+    rows = []
+    for i in range(120):
+        at = draw.randrange(360)
+        words = base[at : at + 40]
+        for _ in range(draw.randrange(3)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    items = [(k, " ".join(base[a : a + 15])) for k, a in enumerate(range(0, 390, 30))] + [(99, "w1 w2")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for name, value in (("BITS", 2), ("MOST_BITS", 5), ("LOAD", 2), ("LIGHT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(decontaminate, "BITS", 1)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 2)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_classes(docs).collect()}
+    assert found == plain.ngram_classes(rows)
+    assert len(ngram_join._counts(docs, 4)) == 32
+    hits = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert hits == plain.contamination(rows, items)
