@@ -10,6 +10,12 @@ from pyspark.sql import Column, functions as F, types as T
 from .html import strip_markup
 from .numbers import digits_to_words
 
+# What is replaced by what, in this order. The order is the meaning.
+MARKS = ((",", ""), (":", "."), ("*", "."), (" .", "."))
+MARKS_OF_FILES = ((",", " "), (":", " "), ("*", " "))
+ENDS_OF_FILES = ((" .", "."),)
+PARTS_OF_WORDS = (("-site", "site"), (" site", "site"), ("-life", "life"), (" life", "life"), (" s ", " "))
+
 
 @F.pandas_udf(T.StringType())
 def _strip_markup(texts: pd.Series) -> pd.Series:
@@ -66,21 +72,20 @@ def clean(text: Column, keep_num: bool = False, html: bool = True) -> Column:
     """Cleaning before extraction; white space is not collapsed."""
     t = _head(text, html)
     t = spell_digits(t) if keep_num else _no_digits(t)
-    t = _replace(t, (",", ""), (":", "."), ("*", "."), (" .", "."))
-    return _replace(_ascii(t), ("-site", "site"), (" site", "site"), ("-life", "life"), (" life", "life"), (" s ", " "))
+    return _replace(_ascii(_replace(t, *MARKS)), *PARTS_OF_WORDS)
 
 
 def clean_sample(text: Column, html: bool = True) -> Column:
     """Cleaning of sampled rows: no digits, white space collapsed, ASCII."""
     t = _collapse(_no_digits(_head(text, html)))
-    return _ascii(_replace(t, (",", ""), (":", "."), ("*", "."), (" .", ".")))
+    return _ascii(_replace(t, *MARKS))
 
 
 def clean_file(text: Column, abbreviations: Mapping[str, str] | None = None, html: bool = True) -> Column:
     """Cleaning of text files: letters, digits and sentence marks, abbreviations spelt out, lower case."""
-    t = _replace(_no_digits(_head(text, html)), (",", " "), (":", " "), ("*", " "))
+    t = _replace(_no_digits(_head(text, html)), *MARKS_OF_FILES)
     t = _collapse(F.regexp_replace(_ascii(t), r"[^0-9a-zA-Z.?! ]+", " "))
-    t = F.regexp_replace(_replace(t, (" .", ".")), r"\.{2,}", ".")
+    t = F.regexp_replace(_replace(t, *ENDS_OF_FILES), r"\.{2,}", ".")
     if abbreviations:
         known = F.create_map(*(F.lit(x) for pair in abbreviations.items() for x in pair))
         t = F.array_join(F.transform(F.split(t, " "), lambda x: F.coalesce(F.try_element_at(known, F.lower(x)), x)), " ")

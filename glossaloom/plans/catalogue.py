@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import RuleSet, TagSet
-from ..functions.clean import clean, clean_file, clean_sample, spell_digits, without_markup
+from ..functions.clean import ENDS_OF_FILES, MARKS, MARKS_OF_FILES, PARTS_OF_WORDS, clean, clean_file, clean_sample, spell_digits, without_markup
 from ..functions.tokens import trim_to_keyword
 from ..ml.light import Light, classify_light
 from ..ml.train import STOP, classify, train
@@ -84,8 +84,7 @@ def _sql_ascii(t: str) -> str:
 
 
 def _sql_clean(t: str) -> str:
-    t = _sql_ascii(_sql_replace(_sql_head(t), (",", ""), (":", "."), ("*", "."), (" .", ".")))
-    return _sql_replace(t, ("-site", "site"), (" site", "site"), ("-life", "life"), (" life", "life"), (" s ", " "))
+    return _sql_replace(_sql_ascii(_sql_replace(_sql_head(t), *MARKS)), *PARTS_OF_WORDS)
 
 
 def _sql_any(x: str, keys) -> str:
@@ -163,12 +162,12 @@ def clean_text(spark, sf):
 _COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
-@query("clean_text_sample", f"SELECT doc_id, {_sql_ascii(_sql_replace(_COLLAPSE.format(_sql_head('text')), (',', ''), (':', '.'), ('*', '.'), (' .', '.')))} AS cleaned FROM documents")
+@query("clean_text_sample", f"SELECT doc_id, {_sql_ascii(_sql_replace(_COLLAPSE.format(_sql_head('text')), *MARKS))} AS cleaned FROM documents")
 def clean_text_sample(spark, sf):
     return _docs(spark, sf).select("doc_id", clean_sample(F.col("text")).alias("cleaned"))
 
 
-_PDF_TOKENS = r"regexp_replace(" + _sql_replace(_COLLAPSE.format("regexp_replace(" + _sql_ascii(_sql_replace(_sql_head("text"), (",", " "), (":", " "), ("*", " "))) + r", '[^0-9a-zA-Z.?! ]+', ' ', 'g')"), (" .", ".")) + r", '\.{2,}', '.', 'g')"
+_PDF_TOKENS = r"regexp_replace(" + _sql_replace(_COLLAPSE.format("regexp_replace(" + _sql_ascii(_sql_replace(_sql_head("text"), *MARKS_OF_FILES)) + r", '[^0-9a-zA-Z.?! ]+', ' ', 'g')"), *ENDS_OF_FILES) + r", '\.{2,}', '.', 'g')"
 
 
 @query("clean_text_pdf", rf"""
