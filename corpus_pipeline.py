@@ -17,7 +17,7 @@ from glossaloom.llm.line_dedup import dedupe_lines
 from glossaloom.llm.ngram_join import keep_one
 from glossaloom.llm.quality import judge
 from glossaloom.llm.sentencepiece import Vocabulary, encode
-from glossaloom.llm.shared import written
+from glossaloom.llm.shared import clear, tables, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZERS = os.environ.get("GLOSSALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -67,10 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. Of what a stage has written for itself, and of its input, nothing is left when its rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            clear(spark, before, but_last=True)
     return docs

@@ -6,31 +6,16 @@ those of this process once its results are written elsewhere.
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_paths: list[str] = []
+from glossaloom.functions.names import unused
+from glossaloom.sources.shared import shared_dir
 
+__all__ = ["SIEVE_BITS", "clear", "shared_dir", "sieved", "tables", "unused", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a local one, which only a local master can use."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="glossaloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        path = f"file://{path}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+_paths: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,24 +31,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Remove the tables that this process has written; results that were not yet computed need them. Gives their number."""
-    n = 0
-    while _paths:
+def clear(spark: SparkSession, since: int = 0, *, but_last: bool = False) -> int:
+    """Remove the tables that this process has written, or those since it had written so many; results that were not yet computed need them. Gives their number."""
+    n, kept = 0, [_paths.pop()] if but_last and len(_paths) > since else []
+    while len(_paths) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _paths.extend(kept)
     return n
 
 
-def unused(names: list[str], *wanted: str) -> list[str]:
-    """``wanted`` as column names that do not clash with ``names``, whatever their case."""
-    taken, out = {x.lower() for x in names}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def tables() -> int:
+    """How many tables this process has written and not removed."""
+    return len(_paths)
 
 
 SIEVE_BITS = 1 << 22
