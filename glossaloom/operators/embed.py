@@ -14,6 +14,8 @@ from ..functions.names import unused
 from ..functions.tokens import any_in
 
 DIMENSIONS = 256
+#: Numbers of all class vectors that may be sent to every task.
+MOST = 1 << 24
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -45,21 +47,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def best_class(rows: DataFrame, classes: DataFrame, *, vector: str = "embedding", name: str = "class", of: str = "vector", most: int = 1 << 24) -> DataFrame:
-    """``rows`` with the class of the nearest vector and its cosine, ties to the first by name; null where a vector has no length.
+def cosines(rows: DataFrame, classes: DataFrame, to: str = "cosines", *, vector: str = "embedding", name: str = "class", of: str = "vector", most: int = MOST) -> DataFrame:
+    """``rows`` with an array (cosine, class) for all classes, by name; the cosine is null where a vector has no length.
 
-    The classes come as one array to every row, so no pairs are made; their numbers must be at most ``most`` in all.
+    The classes come as one array to every row, so nothing is shuffled; their numbers must be at most ``most`` in all.
     """
     size = classes.agg(F.sum(F.size(of))).first()[0] or 0
     if size > most:
         raise ValueError(f"the class vectors have {size} numbers; most is {most}")
-    listed, = unused(rows.columns, "listed")
+    (listed,) = unused([*rows.columns, to], "listed")
     one = classes.agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("class"), F.col(of).alias("vector")))).alias(listed))
     told = F.transform(F.col(listed), lambda c: F.struct(cosine(F.col(vector), c["vector"]).alias("cosine"), c["class"].alias("class")))
+    return rows.crossJoin(F.broadcast(one)).withColumn(to, told).drop(listed)  # one row
+
+
+def best_class(rows: DataFrame, classes: DataFrame, *, vector: str = "embedding", name: str = "class", of: str = "vector", most: int = MOST) -> DataFrame:
+    """``rows`` with the class of the nearest vector and its cosine, ties to the first by name; null where a vector has no length."""
+    all_, best = unused([*rows.columns, name, "cosine"], "all", "best")
+    rows_ = cosines(rows, classes, all_, vector=vector, name=name, of=of, most=most)
     nearer = lambda a, b: F.when(a["cosine"].isNull() | (b["cosine"] > a["cosine"]), b).otherwise(a)
-    none = F.get(told, F.lit(0))
-    best = F.aggregate(told, none, nearer)
-    return rows.crossJoin(F.broadcast(one)).withColumn("best", best).select(*rows.columns, F.col("best.class").alias(name), F.col("best.cosine").alias("cosine"))
+    found = rows_.withColumn(best, F.aggregate(F.col(all_), F.get(F.col(all_), F.lit(0)), nearer))
+    return found.select(*rows.columns, F.col(best)["class"].alias(name), F.col(best)["cosine"].alias("cosine"))
 
 
 def apply_embeddings(extracts: DataFrame, rulesets: Sequence[RuleSet], tags: TagSet, threshold: float = 0.6, *, encoder: Encoder = hashing_encoder, chunks: str = "chunks") -> DataFrame:

@@ -514,9 +514,9 @@ SELECT vec_id, label, class, round(cosine, 6) AS cosine, (cosine > 0.6)::INT AS
 def embedding_cosine_match(spark, sf):
     classes = _means(spark, sf).groupBy(F.col("label").alias("class")).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("v"))
     classes = classes.select("class", F.transform("v", lambda x: x["mean"]).alias("vector"))
-    # one vector for each class of the label column; Spark broadcasts them if they are small
-    pairs = _table(spark, sf, "embeddings").crossJoin(classes).withColumn("c", embed.cosine(F.col("embedding"), F.col("vector")))
-    return pairs.select("vec_id", "label", "class", F.round("c", 6).alias("cosine"), (F.col("c") > 0.6).cast("int").alias("tag"))
+    told = embed.cosines(_table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), classes, "c")
+    pairs = told.select("vec_id", "label", F.inline("c"))
+    return pairs.select("vec_id", "label", "class", F.round("cosine", 6).alias("cosine"), (F.col("cosine") > 0.6).cast("int").alias("tag"))
 
 
 @query("embedding_best_class", f"""WITH {_MEANS}, c AS (SELECT label AS class, list(mean ORDER BY pos) AS vector FROM m GROUP BY label),
