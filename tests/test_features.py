@@ -1,6 +1,7 @@
 """Rule indexes, readers by name, stored states, light classifiers, word vectors, cell changes."""
 
 import csv
+import html
 import io
 import json
 import multiprocessing
@@ -442,3 +443,60 @@ def test_index_of_rules_with_odd_texts():
     index = Index.of(RuleSet.of([("", 0, 1), ("\x00", 0, 1), ("REGEX:::.*", 0, 1), ("a", 0, 1)], ["t"]).rules)
     assert index.always == [0, 2] and set(index.words) == {"a", "REGEX:::.*"}
     assert json.loads(json.dumps(rule_index.GAP)) == "\x00"
+
+
+# Queries without SQL against plain versions -----------------------------------------------------------------------
+
+
+def plain_markup(text):
+    """Without hidden elements, comments, declarations and tags; character references are decoded before and after."""
+    if "&" in text:
+        text = html.unescape(text.strip())
+    if "<" not in text:
+        return text
+    text = re.sub(r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", "", text)
+    return html.unescape(re.sub(r"(?s)<!--.*?-->|<![^>]*>|</?[a-zA-Z][^>]*>", "", text))
+
+
+def plain_spelling(text):
+    """Numbers below a hundred spelled one by one, for texts that have no others."""
+    ones = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    say = lambda n: ones[n] if n < 20 else tens[n // 10 - 2] + (f"-{ones[n % 10]}" if n % 10 else "")
+    return " ".join(re.sub(r"\d+", lambda m: say(int(m[0])), w) for w in text.split())
+
+
+def test_markup_of_pages_against_plain(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    told = {r.page_id: r.text for r in catalogue.queries()["html_to_text"](spark, "/root/testdata/sf0.001").collect()}
+    assert told == {r.page_id: plain_markup(r.html) for r in pages.collect()}
+
+
+def test_digits_of_documents_against_plain(spark):
+    from glossaloom.functions.clean import spell_digits
+
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice(["word", str(draw.randrange(100)), f"a{draw.randrange(10)}"]) for _ in range(12)) for _ in range(200)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spell_digits(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in found if re.search(r"\d", r.t)} == {t: plain_spelling(t) for t in texts if re.search(r"\d", t)}
+
+
+def test_embedding_evidence_against_plain(spark):
+    """Every chunk with a keyword of the tag whose cosine with the mean of the tag's rules is above the threshold, and no other."""
+    sf = "/root/testdata/sf0.001"
+    chunks = {r.doc_id: r.chunks for r in catalogue._extracts(spark, sf).collect()}
+    found = {r.doc_id: r for r in catalogue.queries()["embedding_evidence"](spark, sf).collect()}
+    assert set(found) == set(chunks)
+    seen = 0
+    for tag, keys in catalogue.TAGS.keywords.items():
+        positive = [r.text for r in catalogue.RULES_A.rules if r.encoding.get(tag) == 1]
+        vector = embed.hashing_encoder(positive).astype(float).mean(0) if positive else None
+        for doc, held in list(chunks.items())[:60]:
+            asked = [c for c in held if any(k in c for k in keys)] if vector is not None else []
+            cosine = embed.hashing_encoder(asked).astype(float) @ vector / np.linalg.norm(vector) if asked else []
+            near = [c for c, x in zip(asked, cosine, strict=True) if x > 0.2]
+            edge = any(abs(x - 0.2) < 1e-5 for x in cosine)
+            if not edge:
+                assert found[doc][f"{tag}_evidence"] == "|".join(near) and found[doc][tag] == bool(near)
+                seen += len(near)
+    assert seen > 20
