@@ -181,3 +181,9 @@ def shard_texts(docs: DataFrame, **options) -> DataFrame:
     run = F.array_join(F.slice(words, F.col("from_word").cast("int") + 1, (F.col("to_word") - F.col("from_word")).cast("int")), " ")
     joined = pieces.join(own, [pieces["h"] == own["h"], pieces["id"].eqNullSafe(own["id"])])
     return joined.select("shard", "order", own["id"].alias(id), own["source"].alias(source), run.alias(text))
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> None:
+    """Write the pieces as Parquet, a folder for each shard with its rows in the shard's own order; a task holds a shard, of about ``shard_words``."""
+    rows = shard_texts(docs, **options).repartition("shard").sortWithinPartitions("shard", "order")
+    rows.write.partitionBy("shard").parquet(path)

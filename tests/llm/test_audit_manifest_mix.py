@@ -8,12 +8,13 @@ from fractions import Fraction
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from glossaloom.llm import source_audit
 from glossaloom.llm.manifest import manifest
-from glossaloom.llm.mixing import mix, n_words, shard_texts, split, taken
+from glossaloom.llm.mixing import mix, n_words, shard_texts, split, taken, write_shards
 from glossaloom.llm.source_audit import audit
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -219,6 +220,19 @@ def test_mix_gives_each_shard_blocks_of_its_own(spark):
     assert {w for t in texts["text"] for w in t.split(" ")} <= {w for x in told.values() for w in x}
 
 
+def test_shards_as_files(spark, tmp_path):
+    df = spark.createDataFrame(mixed_rows(60), SCHEMA)
+    options = {"block_words": 16, "shard_words": 800}
+    write_shards(df, f"{tmp_path}/mix", **options)
+    folders = sorted((tmp_path / "mix").glob("shard=*"))
+    expected = shard_texts(df, **options).toPandas()
+    assert len(folders) == expected["shard"].nunique() > 3
+    for folder in folders:
+        own = pd.concat([pd.read_parquet(f) for f in sorted(folder.glob("*.parquet"))])
+        assert own["order"].is_monotonic_increasing and len(list(folder.glob("*.parquet"))) == 1
+        assert sorted(own["text"]) == sorted(expected[expected["shard"] == int(folder.name[6:])]["text"])
+
+
 def test_splitting_tree():
     quotas = np.array([1000, 0, 7, 300, 1])
     parts = split(quotas, 11, 0, 5, 99)
