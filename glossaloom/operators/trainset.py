@@ -37,15 +37,15 @@ def training_set(extracts: DataFrame, rules: RuleSet, *, negatives: bool = False
         extracts = sample_rows(extracts, percent, key=list(key) or list(keep))
     at, found, more, one = unused([*extracts.columns, *keep], "at", "found", "more", "one")
     rows = extracts.select(*keep, F.col(chunks).alias(at)).withColumn(found, _matches(F.col(at), rules.rules))
-    tell = lambda x, hit: F.struct(x["pos"].alias("pos"), x["place"].alias("place"), F.lit(hit).alias("hit"))
+    tell = lambda x, hit: F.struct(x["pos"].alias("pos"), x["place"].alias("place"), F.lit(hit).alias("hit"), F.get(F.col(at), x["pos"]).alias("chunk"))
     listed = F.transform(F.col(found)["hits"], lambda x: tell(x, True))
     if negatives:
         rows = rows.withColumn(more, take_negatives(F.col(found), len(rules.tags)))
         listed = F.concat(listed, F.transform(more, lambda x: tell(x, False)))
-    rows = rows.select(*keep, at, F.explode(listed).alias(one))
+    rows = rows.select(*keep, F.explode(listed).alias(one))
     kind = f"struct<rule:string,ord:int,match:int,{','.join(f't{i}:int' for i in range(len(rules.tags)))}>"
     told = F.get(constant([{"rule": r.text, "ord": r.order, "match": r.priority, **{f"t{i}": r.encoding[t] for i, t in enumerate(rules.tags)}} for r in rules.rules], kind), F.col(one)["place"])
-    return rows.select(*keep, F.col(one)["pos"].alias("pos"), F.get(at, F.col(one)["pos"]).alias("chunk"), *(told[c].alias(c) for c in ("rule", "ord", "match")), *(F.when(F.col(one)["hit"], told[f"t{i}"]).otherwise(0).cast("int").alias(t) for i, t in enumerate(rules.tags)))
+    return rows.select(*keep, F.col(one)["pos"].alias("pos"), F.col(one)["chunk"].alias("chunk"), *(told[c].alias(c) for c in ("rule", "ord", "match")), *(F.when(F.col(one)["hit"], told[f"t{i}"]).otherwise(0).cast("int").alias(t) for i, t in enumerate(rules.tags)))
 
 
 def dedupe(train: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
