@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import Rule, RuleSet
-from ..functions.let import constant
+from ..functions.let import constant, once
 from ..functions.names import unused
 from ..functions.tokens import any_in
 from .rule_index import all_matches, negatives as take_negatives
@@ -36,7 +36,7 @@ def training_set(extracts: DataFrame, rules: RuleSet, *, negatives: bool = False
     if percent < 100:
         extracts = sample_rows(extracts, percent, key=list(key) or list(keep))
     at, found, more, one = unused([*extracts.columns, *keep], "at", "found", "more", "one")
-    rows = extracts.select(*keep, F.col(chunks).alias(at)).withColumn(found, _matches(F.col(at), rules.rules))
+    rows = extracts.select(*keep, F.col(chunks).alias(at)).withColumn(found, once(_matches(F.col(at), rules.rules)))
     tell = lambda x, hit: F.struct(x["pos"].alias("pos"), x["place"].alias("place"), F.lit(hit).alias("hit"), F.get(F.col(at), x["pos"]).alias("chunk"))
     listed = F.transform(F.col(found)["hits"], lambda x: tell(x, True))
     if negatives:
